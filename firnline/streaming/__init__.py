@@ -1,0 +1 @@
+"""Reserved.  None of the engine's jobs reads a stream, so nothing is defined here."""
