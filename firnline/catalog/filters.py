@@ -157,8 +157,8 @@ v AS (SELECT s.*, regexp_replace(frame_id, '_[^_]*$', '') AS segment FROM {sites
 w AS (SELECT v.*, c.S_dB FROM v JOIN {clip_fx} c ON v.season = c.season AND v.segment = c.segment WHERE c.S_dB IS NOT NULL AND c.S_dB - surface_power_dB >= 4e0),
 f AS (SELECT site_id, frame_id, median(r_surf) AS h FROM w GROUP BY site_id, frame_id),
 o AS (SELECT site_id, list_sort(list(h)) AS hs, count(*) AS nf FROM f GROUP BY site_id),
-lev AS (SELECT site_id, CASE WHEN nf < 2 THEN 0 ELSE list_reduce(list_transform(hs, h -> {{'n': 1, 'last': h}}),
-   (a, b) -> CASE WHEN b.last - a.last >= 200e0 THEN {{'n': a.n + 1, 'last': b.last}} ELSE a END).n END AS n_lev FROM o)
+lev AS (SELECT site_id, CASE WHEN nf < 2 THEN 0 ELSE list_reduce(list_transform(hs, lambda h: {{'n': 1, 'last': h}}),
+   lambda a, b: CASE WHEN b.last - a.last >= 200e0 THEN {{'n': a.n + 1, 'last': b.last}} ELSE a END).n END AS n_lev FROM o)
 """
 
 

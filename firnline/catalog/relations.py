@@ -277,10 +277,10 @@ SELECT * FROM (VALUES
 
 # A sidelobe table from a rule: levels fall with time-bandwidth product and delay.
 RELATIONS["sidelobe_fx"] = """
-SELECT w.window, i.i, j.j, 10e0 * pow(10e0, i.i * 4e0 / 10e0) AS tb,
+SELECT w.win, i.i, j.j, 10e0 * pow(10e0, i.i * 4e0 / 10e0) AS tb,
   CASE WHEN j.j = 0 THEN 0e0 ELSE pow(10e0, -3e0 + (j.j - 1) * 3e0 / 12e0) END AS x,
   CASE WHEN j.j = 0 THEN 0e0 WHEN j.j = 13 THEN -200e0 ELSE -1e0 * w.slope * (i.i + 1) * j.j / 3e0 END AS level
-FROM (VALUES ('rect', 1e0), ('hann', 1.75e0)) AS w(window, slope)
+FROM (VALUES ('rect', 1e0), ('hann', 1.75e0)) AS w(win, slope)
 CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10)) AS i(i)
 CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13)) AS j(j)
 """
