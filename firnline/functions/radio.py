@@ -47,7 +47,8 @@ def speed_error(vx: Column, vy: Column, ex: Column, ey: Column) -> Column:
 
 
 def pair_exponent(p1: Column, r1: Column, p2: Column, r2: Column) -> Column:
-    return -(p2 - p1) / (10 * F.log10(r2 / r1))
+    # A pair at one range has no exponent; the optimizer may look at such pairs before a gap filter.
+    return F.try_divide(p1 - p2, 10 * F.log10(F.try_divide(r2, r1)))
 
 
 def clip_level(vpp: Column, gain_dB: Column) -> Column:
