@@ -13,6 +13,7 @@ from firnline.operators import ordering as od, qc, stats
 from firnline.operators.levels import site_levels
 from firnline.plans import exponent, linkbudget as lb, split
 from firnline.schema import TARGET, THICKNESS
+from firnline.session import cut_lineage
 from firnline.sources import covariates
 
 
@@ -150,8 +151,7 @@ def d13(c):
     pairs = cross_season(c).select("season_a", "season_b", "delta").unionByName(
         within_season(c).select(F.col("season").alias("season_a"), F.col("season").alias("season_b"), "delta"))
     keys = ["season_a", "season_b"]
-    spread = pairs.groupBy(*keys).agg(F.stddev_pop("delta").alias("sd"), F.count(F.lit(1)).alias("n_pairs"))
-    half = od.exact_median(pairs, keys, "delta", "med").drop("n_values").join(spread, keys)
+    half = od.exact_quantiles(cut_lineage(pairs), keys, "delta", {"med": 0.5}, extra={"sd": F.stddev_pop("delta")}).withColumnRenamed("n_values", "n_pairs")
     enough = F.col("n_pairs") >= MIN_PAIRS
     half = half.select("season_a", "season_b", F.when(enough, F.col("med")).alias("med"), F.when(enough, F.col("sd")).alias("sd"), "n_pairs")
     # Both triangles come out of one row each, so the pairs are matched once.
@@ -169,9 +169,9 @@ FROM (SELECT sheet, bed_power_dB - post_bed_noise_dB AS m FROM {traces_fx} WHERE
 """)
 def d14(c):
     t = c("traces_fx").where(F.col(TARGET).isNotNull()).select("sheet", (F.col("bed_power_dB") - F.col("post_bed_noise_dB")).alias("m")).where("m is not null")
-    q = od.exact_quantiles(t, ["sheet"], "m", {"q01": 0.01, "q05": 0.05, "q25": 0.25, "q50": 0.5}).withColumnRenamed("n_values", "n")
-    low = t.groupBy("sheet").agg(*[F.avg((F.col("m") < v).cast("double")).alias(f"lt{v}") for v in (3, 5, 10)])
-    return rounded(q.join(low, "sheet"))
+    low = {f"lt{v}": F.avg((F.col("m") < v).cast("double")) for v in (3, 5, 10)}
+    q = od.exact_quantiles(t, ["sheet"], "m", {"q01": 0.01, "q05": 0.05, "q25": 0.25, "q50": 0.5}, extra=low)
+    return rounded(q.withColumnRenamed("n_values", "n"))
 
 
 @query("d15_binned_median", """
@@ -213,9 +213,8 @@ FROM (SELECT collection, (record_end_twtt - bed_twtt) * 1e6 AS h FROM {traces_fx
 """)
 def d18(c):
     t = with_headroom(c)
-    q = od.exact_quantiles(t, ["collection"], "headroom_us", {"med": 0.5, "q05": 0.05}).drop("n_values")
-    a = t.groupBy("collection").agg(F.min("headroom_us").alias("lowest"), *[F.avg((F.col("headroom_us") < v).cast("double")).alias(f"lt{v}") for v in (5, 10)])
-    j = q.join(a, "collection")
+    more = {"lowest": F.min("headroom_us"), **{f"lt{v}": F.avg((F.col("headroom_us") < v).cast("double")) for v in (5, 10)}}
+    j = od.exact_quantiles(t, ["collection"], "headroom_us", {"med": 0.5, "q05": 0.05}, extra=more)
     return j.select("collection", *[F.round(k, 5).alias(k) for k in ("med", "q05", "lowest")], F.round("lt5", 6).alias("lt5"), F.round("lt10", 6).alias("lt10"))
 
 
@@ -240,9 +239,9 @@ WITH {GATE_VALID} SELECT season, count(*) AS n, round(quantile_cont(headroom, 0.
 """)
 def d20(c):
     g = gate_valid(c)
-    q = od.exact_quantiles(g, ["season"], "headroom", {"edge_p01": 0.001, "p1": 0.01, "med": 0.5}).withColumnRenamed("n_values", "n")
-    a = g.groupBy("season").agg(*[(100 * F.avg((F.col("headroom") < v).cast("double"))).alias(f"within{v}") for v in (3, 6, 10)])
-    return q.join(a, "season").select("season", "n", *[F.round(k, 5).alias(k) for k in ("edge_p01", "p1", "med")],
+    more = {f"within{v}": 100 * F.avg((F.col("headroom") < v).cast("double")) for v in (3, 6, 10)}
+    q = od.exact_quantiles(g, ["season"], "headroom", {"edge_p01": 0.001, "p1": 0.01, "med": 0.5}, extra=more).withColumnRenamed("n_values", "n")
+    return q.select("season", "n", *[F.round(k, 5).alias(k) for k in ("edge_p01", "p1", "med")],
                                       *[F.round(f"within{v}", 4).alias(f"within{v}") for v in (3, 6, 10)]).orderBy("edge_p01")
 
 
@@ -299,9 +298,9 @@ def d23(c):
                                   ("external_prediction_footprint", F.when(F.col("inside"), F.col("snr_pred")))))
     rows = a.unionByName(b).select("e.*", F.explode(F.array("cls", F.lit("All Antarctica"))).alias("class")).where("val is not null")
     keys = ["source", "class"]
-    q = od.exact_quantiles(rows, keys, "val", {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}).withColumnRenamed("n_values", "n")
-    f = rows.groupBy(*keys).agg(*[F.avg((F.col("val") <= v).cast("double")).alias(f"le{v}") for v in (40, 60, 80, 100)])
-    return rounded(q.join(f, keys))
+    low = {f"le{v}": F.avg((F.col("val") <= v).cast("double")) for v in (40, 60, 80, 100)}
+    q = od.exact_quantiles(rows, keys, "val", {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}, extra=low)
+    return rounded(q.withColumnRenamed("n_values", "n"))
 
 
 @query("d24_unique_external_cells", f"WITH {EXT} SELECT x, y, round(snr_pred, 6) AS snr_pred, round(snr_pred_std, 6) AS snr_pred_std, round(snr, 6) AS snr, mask, v FROM ext")
@@ -397,9 +396,8 @@ WITH {SOURCE_ERR} SELECT coalesce(name, 'All sources') AS name, count(*) AS n, m
 """)
 def d30(c):
     rows = source_errors(c).select(F.explode(F.array("name", F.lit("All sources"))).alias("name"), "e")
-    a = rows.groupBy("name").agg(F.min("e").alias("lowest"), F.max("e").alias("highest"))
-    m = od.exact_median(rows, ["name"], "e", "med").withColumnRenamed("n_values", "n")
-    return m.join(a, "name").select("name", "n", "lowest", "med", "highest")
+    m = od.exact_quantiles(rows, ["name"], "e", {"med": 0.5}, extra={"lowest": F.min("e"), "highest": F.max("e")}).withColumnRenamed("n_values", "n")
+    return m.select("name", "n", "lowest", "med", "highest")
 
 
 @query("d31_error_field_distributions", """
@@ -417,8 +415,8 @@ def d31(c):
     err = F.when((F.col("row") % 2 == 0) & (F.col("col") % 2 == 0), radio.speed_error(F.col("vx"), F.col("vy"), F.col("ex"), F.col("ey")))
     f = w.select(F.explode(F.array(F.struct(F.lit("speed_error").alias("field"), err.alias("v")), F.struct(F.lit("heat_flow_band").alias("field"), ((F.col("hi") - F.col("lo")) * 1000).alias("v")))).alias("e")).select("e.*")
     f = f.where("v is not null")
-    q = od.exact_quantiles(f, ["field"], "v", {"med": 0.5, "p99": 0.99, "clip": 0.995}).withColumnRenamed("n_values", "n")
-    return rounded(q.join(f.groupBy("field").agg(F.min("v").alias("lowest"), F.max("v").alias("highest")), "field"))
+    q = od.exact_quantiles(f, ["field"], "v", {"med": 0.5, "p99": 0.99, "clip": 0.995}, extra={"lowest": F.min("v"), "highest": F.max("v")})
+    return rounded(q.withColumnRenamed("n_values", "n"))
 
 
 @query("d32_bed_sanity", """
@@ -428,10 +426,9 @@ SELECT count(*) AS n, round(corr(a, b), 6) AS r, round(median(a - b), 6) AS medi
 """)
 def d32(c):
     d = c("traces_fx").where("bed_elevation is not null").select(
-        F.col("bed_elevation").alias("b"), (F.col("bed_elevation") + ((F.col("trace_id") * 13) % 200) / 2.0 - 50.0).alias("a")).withColumns({"d": F.col("a") - F.col("b"), "k": F.lit(0)})
-    q = od.exact_quantiles(d, ["k"], "d", {"med": 0.5, "lo": 0.25, "hi": 0.75})
-    a = d.groupBy("k").agg(F.corr("a", "b").alias("r"), *[f(v).alias(f"{v}_{n}") for v in "ab" for n, f in (("min", F.min), ("max", F.max))])
-    j = q.join(a, "k")
+        F.col("bed_elevation").alias("b"), (F.col("bed_elevation") + ((F.col("trace_id") * 13) % 200) / 2.0 - 50.0).alias("a")).withColumn("d", F.col("a") - F.col("b"))
+    more = {"r": F.corr("a", "b"), **{f"{v}_{n}": f(v) for v in "ab" for n, f in (("min", F.min), ("max", F.max))}}
+    j = od.exact_quantiles(d, [], "d", {"med": 0.5, "lo": 0.25, "hi": 0.75}, extra=more)
     return j.select(F.col("n_values").alias("n"), F.round("r", 6).alias("r"), F.round("med", 6).alias("median_diff"), F.round(F.col("hi") - F.col("lo"), 6).alias("iqr_diff"),
                     "a_min", "a_max", "b_min", "b_max", (F.col("r") > 0.9).alias("passes"))
 
@@ -551,9 +548,8 @@ SELECT param, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(valu
 """)
 def d42(c):
     d = c("orders").select(F.col("o_orderstatus").alias("param"), (F.col("o_totalprice") / 1e5 - 1.0).alias("value"))
-    a = d.groupBy("param").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.avg((F.col("value") > 0).cast("double")).alias("p_positive"))
-    q = od.exact_quantiles(d, ["param"], "value", {"eti_lo": 0.055, "eti_hi": 0.945}).withColumnRenamed("n_values", "n")
-    return rounded(q.join(a, "param"))
+    more = {"mean": F.avg("value"), "sd": F.stddev_pop("value"), "p_positive": F.avg((F.col("value") > 0).cast("double"))}
+    return rounded(od.exact_quantiles(d, ["param"], "value", {"eti_lo": 0.055, "eti_hi": 0.945}, extra=more).withColumnRenamed("n_values", "n"))
 
 
 @query("d43_prediction_shift", """
@@ -561,9 +557,8 @@ WITH s AS (SELECT a.ice_sheet, b.pred_mean - a.pred_mean AS d, b.pred_std / a.pr
 SELECT ice_sheet, count(*) AS n_grid, round(median(d), 6) AS median_shift_dB, round(quantile_cont(d, 0.05), 6) AS p5_dB, round(quantile_cont(d, 0.95), 6) AS p95_dB, round(median(r), 6) AS median_pred_std_ratio FROM s GROUP BY ice_sheet
 """)
 def d43(c):
-    s = shifts(c)
-    q = od.exact_quantiles(s, ["ice_sheet"], "shift", {"median_shift_dB": 0.5, "p5_dB": 0.05, "p95_dB": 0.95}).withColumnRenamed("n_values", "n_grid")
-    return rounded(q.join(od.exact_median(s, ["ice_sheet"], "std_ratio", "median_pred_std_ratio").drop("n_values"), "ice_sheet"))
+    q = od.quantiles_of(shifts(c), ["ice_sheet"], {"median_shift_dB": ("shift", 0.5), "p5_dB": ("shift", 0.05), "p95_dB": ("shift", 0.95), "median_pred_std_ratio": ("std_ratio", 0.5)})
+    return rounded(q.withColumnRenamed("n_values", "n_grid"))
 
 
 @query("d44_fixed_subset_scores", f"""
@@ -617,9 +612,8 @@ def d46(c):
     s = truth_rows(c).where("pred_mean is not null")
     ppc = F.col("pred_mean") + hash_normal(F.col("grid_id"), 0) * F.col("pred_std")
     rows = s.select("ice_sheet", F.explode(F.array(F.struct(F.lit("predictive").alias("series"), ppc.alias("v")), F.struct(F.lit("observed").alias("series"), F.col(TARGET).alias("v")))).alias("e")).select("ice_sheet", "e.*").where("v is not null")
-    q = od.exact_quantiles(rows, ["ice_sheet", "series"], "v", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
-    sd = rows.groupBy("ice_sheet", "series").agg(F.when(F.first("series") == "observed", F.stddev_samp("v")).otherwise(F.stddev_pop("v")).alias("sd"))
-    return q.join(sd, ["ice_sheet", "series"])
+    sd = F.when(F.first("series") == "observed", F.stddev_samp("v")).otherwise(F.stddev_pop("v"))
+    return od.exact_quantiles(rows, ["ice_sheet", "series"], "v", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, extra={"sd": sd})
 
 
 @query("d47_window_summary", """
@@ -628,8 +622,8 @@ FROM {windows_fx} GROUP BY season
 """)
 def d47(c):
     w = c("windows_fx").select("season", (F.col("lo_s") * 1e6).alias("lo"), (F.col("hi_s") * 1e6).alias("hi"))
-    a = w.groupBy("season").agg(F.min("lo").alias("lo_min"), F.max("lo").alias("lo_max"), F.min("hi").alias("hi_min"), F.max("hi").alias("hi_max"))
-    return rounded(a.join(od.exact_median(w, ["season"], "lo", "lo_med").drop("n_values"), "season").join(od.exact_median(w, ["season"], "hi", "hi_med").drop("n_values"), "season"))
+    more = {f"{v}_{n}": f(v) for v in ("lo", "hi") for n, f in (("min", F.min), ("max", F.max))}
+    return rounded(od.quantiles_of(w, ["season"], {"lo_med": ("lo", 0.5), "hi_med": ("hi", 0.5)}, extra=more).drop("n_values"))
 
 
 @query("d48_missing_coverage", f"""

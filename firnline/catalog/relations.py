@@ -197,7 +197,7 @@ SELECT p_partkey AS row_id, concat('season_', CAST(p_partkey % 20 AS STRING)) AS
   CASE p_partkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '{{}}' WHEN 2 THEN '{{[ones(1,6).'' (1:6).'']}}'
     WHEN 3 THEN '{{[1*ones(7,1) (1:7).''],[2*ones(7,1) (1:7).'']}}' WHEN 4 THEN '{{[1 2; 3 4],[2 1; 2 2],[5 6]}}'
     WHEN 5 THEN '{{[2*ones(3,1) [1 2 3].''; 3*ones(3,1) [1 2 3].'']}}' ELSE '{{[1 1],[2 1]}}' END AS imgs,
-  CASE p_partkey % 9 WHEN 0 THEN NULL WHEN 1 THEN '72 - 12*ones(1,7)' WHEN 2 THEN '10.^((52-0*ones(1,6))/20)'
+  CASE p_partkey % 9 WHEN 0 THEN NULL WHEN 1 THEN '72 - 12*ones(1,7)' WHEN 2 THEN '10.^((52-0*ones(1,6)/20)'
     WHEN 3 THEN '10^((44 - [3 3 4])/20)' WHEN 4 THEN '63.5 - [1.5 1 2]' WHEN 5 THEN '48*ones(1,3);' WHEN 6 THEN '51.25'
     WHEN 7 THEN '[45 45 45]' ELSE '(72 - 20*ones(1,6))' END AS gain_expr,
   CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 1e0 + p_partkey % 3 END AS vpp,

@@ -1,6 +1,7 @@
-"""Exact order statistics and ranks without sorting any group in one task.
+"""Exact order statistics and ranks without sorting a large group in one task.
 
-Values are first counted per (keys, bucket, value).  The bucket is a monotone
+Group sizes are counted first.  Groups below ``GROUP_ROWS`` use the built-in
+exact percentile, one shuffle.  Larger ones are spread out: values are counted per (keys, bucket, value).  The bucket is a monotone
 function of the value with a bounded number of steps, so the counts of a hot
 group are spread over many tasks, copies of one value collapse into one row,
 and the running total over a group's buckets stays small.  Only the buckets
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 STEPS_PER_E_FOLD = 512
 SALTS = 32
+GROUP_ROWS = 1_000_000
 
 
 def order_bucket(value: Column) -> Column:
@@ -44,19 +46,67 @@ def _join_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(renamed, cond).drop(*[f"_r_{k}" for k in keys])
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], *,
+                    extra: dict[str, Column] | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Linear-interpolation quantiles per group: one output column per entry of ``probs``.
 
     NULL values are ignored; groups without any value do not appear.  The
-    result also carries ``n_values``, the number of values per group.
+    result also carries ``n_values``, the number of values per group, and the
+    ``extra`` aggregates of the same groups.
     """
-    keys = list(keys)
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .select(*keys, F.col(value).cast("double").alias("_v"))
-        .withColumn("_b", order_bucket(F.col("_v")))
-        .groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    )
+    return quantiles_of(df, keys, {n: (value, p) for n, p in probs.items()}, extra=extra, group_rows=group_rows)
+
+
+def quantiles_of(df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[str, float]], *,
+                 extra: dict[str, Column] | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Quantiles of several columns of the same groups; ``n_values`` counts the first column.
+
+    Sizes are checked with one small aggregation while the plan is built.
+    """
+    keys, extra = list(keys), extra or {}
+    first = next(iter(specs.values()))[0]
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    largest = sizes.agg(F.max("_n")).first()[0]
+    if largest is None or largest <= group_rows:
+        return _quantiles_in_group(df, keys, first, specs, extra)
+    if not keys:
+        return _quantiles_spread(df, keys, first, specs, extra)
+    hot = sizes.where(F.col("_n") > group_rows).drop("_n").withColumnsRenamed({k: f"_h_{k}" for k in keys})
+    same = None
+    for k in keys:
+        eq = F.col(k).eqNullSafe(F.col(f"_h_{k}"))
+        same = eq if same is None else same & eq
+    return _quantiles_in_group(df.join(hot, same, "left_anti"), keys, first, specs, extra).unionByName(
+        _quantiles_spread(df.join(hot, same, "left_semi"), keys, first, specs, extra))
+
+
+def _quantiles_in_group(df: DataFrame, keys: list[str], first: str, specs: dict, extra: dict[str, Column]) -> DataFrame:
+    by_column: dict[str, list[str]] = {}
+    for n, (v, _) in specs.items():
+        by_column.setdefault(v, []).append(n)
+    aggs = [F.percentile(F.col(v).cast("double"), F.array(*[F.lit(float(specs[n][1])) for n in ns])).alias(f"_q{i}")
+            for i, (v, ns) in enumerate(by_column.items())]
+    out = df.groupBy(*keys).agg(F.count(first).alias("n_values"), *aggs, *[c.alias(n) for n, c in extra.items()])
+    at = {n: F.col(f"_q{i}")[k] for i, ns in enumerate(by_column.values()) for k, n in enumerate(ns)}
+    return out.where("n_values > 0").select(*keys, "n_values", *[at[n].alias(n) for n in specs], *extra)
+
+
+def _quantiles_spread(df: DataFrame, keys: list[str], first: str, specs: dict, extra: dict[str, Column]) -> DataFrame:
+    out = None
+    for v in dict.fromkeys(v for v, _ in specs.values()):
+        rows = df.where(F.col(v).isNotNull()).select(*keys, F.col(v).cast("double").alias("_v"))
+        part = _spread(rows, keys, {n: p for n, (c, p) in specs.items() if c == v})
+        part = part if v == first else part.drop("n_values")
+        out = part if out is None else _join_keys(out, part, keys) if keys else out.crossJoin(part)
+    if extra:
+        more = df.groupBy(*keys).agg(*[c.alias(n) for n, c in extra.items()])
+        out = _join_keys(out, more, keys) if keys else out.crossJoin(more)
+    return out.select(*keys, "n_values", *specs, *extra)
+
+
+def _spread(rows: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
+    """The same for groups of any size: counts per bucket, then only the buckets that matter."""
+    counts = rows.withColumn("_b", order_bucket(F.col("_v"))).groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_n"))
     totals = _totals(counts, keys)
     wanted = None
     for p in probs.values():

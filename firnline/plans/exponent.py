@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from firnline.functions import labels
 from firnline.functions.normal import add_db, hash_normal, soft_min
+from firnline.functions.radio import pair_exponent
 from firnline.operators.levels import site_levels
+from firnline.operators.ordering import quantiles_of
 from firnline.session import cut_lineage
 
 NU = 4.0
@@ -218,16 +220,11 @@ def pass_pairs(t: DataFrame, clip_levels: DataFrame, min_gap: float = 200.0) ->
 
     Passes are medians per (site, frame), so a pair is two overflights, not two traces.
     """
-    from firnline.functions.radio import pair_exponent
-    from firnline.operators.ordering import exact_quantiles
     seg = t.where(F.coalesce("surface_gate_ok", F.lit(False)) & F.col("surface_power_dB").isNotNull()).withColumn(
         "segment", labels.segment(F.col("frame_id")))
     j = seg.join(clip_levels.select("season", "segment", "S_dB").where("S_dB is not null"), ["season", "segment"])
     keys = ["site_id", "sheet", "season", "frame_id"]
-    p = exact_quantiles(j, keys, "surface_power_dB", {"P": 0.5}).drop("n_values")
-    r = exact_quantiles(j, keys, "r_surf", {"R": 0.5}).drop("n_values")
-    s = j.groupBy(*keys).agg(F.min("S_dB").alias("S"))
-    passes = p.join(r, keys).join(s, keys)
+    passes = quantiles_of(j, keys, {"P": ("surface_power_dB", 0.5), "R": ("r_surf", 0.5)}, extra={"S": F.min("S_dB")})
     a, b = passes.alias("a"), passes.alias("b")
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys[:3]]
     pairs = a.join(b, [*on, F.col("b.R") - F.col("a.R") >= min_gap])
