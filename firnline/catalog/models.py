@@ -39,14 +39,14 @@ def train_rows(c, design=LINEAR, extra=()):
 WITH z AS (SELECT 1e0 AS o, (bedmachine_thickness_m - 1600e0) / 900e0 AS t, (era5_t2m_mean_K - 245e0) / 14e0 AS a, CASE WHEN ice_sheet = 'greenland' THEN 1e0 ELSE 0e0 END AS g, required_surface_snr_dB AS y
   FROM {split_fx} WHERE fold >= 0 AND bedmachine_thickness_m IS NOT NULL AND required_surface_snr_dB IS NOT NULL),
 l AS (SELECT unnest([{{'i': 'alpha', 'v': o}}, {{'i': 'beta[bedmachine_thickness_m]', 'v': t}}, {{'i': 'beta[era5_t2m_mean_K]', 'v': a}}, {{'i': 'beta[is_greenland]', 'v': g}}, {{'i': 'y', 'v': y}}]) AS e, row_number() OVER () AS k FROM z)
-SELECT a.e.i AS term_i, b.e.i AS term_j, round(sum(a.e.v * b.e.v), 3) AS value FROM l a JOIN l b ON a.k = b.k
+SELECT a.e.i AS term_i, b.e.i AS term_j, round(sum(a.e.v * b.e.v), 1) AS value FROM l a JOIN l b ON a.k = b.k
 WHERE list_position(['alpha', 'beta[bedmachine_thickness_m]', 'beta[era5_t2m_mean_K]', 'beta[is_greenland]', 'y'], a.e.i) >= list_position(['alpha', 'beta[bedmachine_thickness_m]', 'beta[era5_t2m_mean_K]', 'beta[is_greenland]', 'y'], b.e.i)
 GROUP BY 1, 2
 """)
 def i01(c):
     d = Design("linear", features=(THICKNESS, "era5_t2m_mean_K"), indicators=("is_greenland",))
     s = split_rows(c).where((F.col("fold") >= 0) & F.col(THICKNESS).isNotNull() & F.col(TARGET).isNotNull())
-    return rounded(ft.gram(s, d.terms(F.col, NORM, F.lit(1.0)), F.col(TARGET)), 3)
+    return rounded(ft.gram(s, d.terms(F.col, NORM, F.lit(1.0)), F.col(TARGET)), 1)
 
 
 @query("i01_linear_posterior")
@@ -252,24 +252,24 @@ def i17(c):
 
 @query("i18_site_selection_robustness")
 def i18(c):
-    out = []
-    mixed = c("sites_fx").groupBy("site_id", "season").agg(F.lit(1).alias("o")).groupBy("site_id").agg(F.count("o").alias("n_seasons"))
-    for scope in ("within", "cross"):
-        t = c("sites_fx")
-        if scope == "within":
-            t = t.join(mixed.where("n_seasons = 1").select("site_id"), "site_id", "left_semi")
-        for lev in (2, 3):
-            for channel in ("surface", "bed"):
-                if channel == "surface":
-                    d = exponent.prepare(t, "r_surf", "surface_power_dB", gate=True, clip_levels=c("clip_fx"), min_headroom=4.0, min_levels=lev)
-                else:
-                    d = exponent.prepare(t, "r_bed_refr", "bed_power_dB", noise_floor=True, min_levels=lev)
-                d = cut_lineage(d)
-                n = d.select("site_id").distinct().join(mixed.where("n_seasons > 1"), "site_id").count()
-                p = "surface_power_dB" if channel == "surface" else "bed_power_dB"
-                f = exponent.fit_exponent(d, p, season_offset=(scope == "cross"), max_iter=8)
-                out.append((f"{channel} / {scope} / >={lev}", f, {"channel": channel, "scope": scope, "min_levels": lev, "n_seasons_mixed_sites": n}))
-    return exponent.fit_rows(c.spark, out)
+    """{within, cross} x {>= 2, >= 3 levels} x {surface, bed}: one table of eight fits, one series of jobs."""
+    t = c("sites_fx")
+    seasons = t.select("site_id", "season").distinct().groupBy("site_id").agg(F.count(F.lit(1)).alias("n_seasons"))
+    t = t.join(seasons, "site_id")
+    surface = exponent.prepare(t, "r_surf", "surface_power_dB", gate=True, clip_levels=c("clip_fx"), min_headroom=4.0)
+    bed = exponent.prepare(t, "r_bed_refr", "bed_power_dB", noise_floor=True)
+    chan = exponent.as_fit_rows(surface, "surface_power_dB").withColumn("channel", F.lit("surface")).unionByName(
+        exponent.as_fit_rows(bed, "bed_power_dB", censor=True).withColumn("channel", F.lit("bed")))
+    combos = [(scope, lev, ch) for scope in ("within", "cross") for lev in (2, 3) for ch in ("surface", "bed")]
+    ids = [F.when((F.col("channel") == ch) & (F.col("levels") >= lev) & (F.lit(scope == "cross") | (F.col("n_seasons") == 1)), i)
+           for i, (scope, lev, ch) in enumerate(combos)]
+    rows = chan.withColumn("fit_id", F.explode(F.filter(F.array(*ids), lambda v: v.isNotNull())))
+    rows = cut_lineage(rows)
+    mixed = {r["fit_id"]: r["n"] for r in rows.where("n_seasons > 1").groupBy("fit_id", "site_id").agg(F.lit(1).alias("o")).groupBy("fit_id").agg(F.count("o").alias("n")).collect()}
+    fits = exponent.fit_exponents(rows, season_fits=[i for i, (s, _, _) in enumerate(combos) if s == "cross"], max_iter=15)
+    return exponent.fit_rows(c.spark, [
+        (f"{ch} / {scope} / >={lev}", fits[i], {"channel": ch, "scope": scope, "min_levels": lev, "n_seasons_mixed_sites": int(mixed.get(i, 0))})
+        for i, (scope, lev, ch) in enumerate(combos) if i in fits])
 
 
 @query("i19_synthetic_recovery")

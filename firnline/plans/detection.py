@@ -16,7 +16,7 @@ STARTS = [(8.0, 3.0, -4.0), (15.0, 5.0, -3.0), (5.0, 2.0, -5.0)]
 
 
 def fit_mixture_probit(df: DataFrame, group: str, margin: str, detected: str, *, pooled: str = "ALL", max_iter: int = 60,
-                       tol: float = 1e-6) -> DataFrame:
+                       tol: float = 1e-4) -> DataFrame:
     """Maximum likelihood per group and for all rows together.
 
     Rows are first counted per (group, margin, detected).  Each scoring step is

@@ -2,8 +2,10 @@
 
 Each step is iteratively reweighted least squares with the site intercepts
 eliminated: rows are summed per site, sites give the reduced normal equations,
-and the driver sees one small matrix.  The intercepts stay in a site table that
-is checkpointed after every step.
+and the driver sees one small matrix per fit.  The intercepts stay in a site
+table that is checkpointed after every step.  All fits of a study run in the
+same jobs, told apart by ``fit_id``; parameters come in as a small table, so the
+generated code of a step is compiled once.
 """
 
 from __future__ import annotations
@@ -48,8 +50,8 @@ def prepare(t: DataFrame, range_col: str, power: str, *, margin: bool = False, g
         d = d.join(clip_levels.select("season", "segment", "S_dB").where("S_dB is not null"), ["season", "segment"])
         if min_headroom is not None:
             d = d.where(F.col("S_dB") - F.col(power) >= min_headroom)
-    ok = site_levels(d, ["site_id"], "frame_id", "r_surf", "_lev").where(F.col("_lev") >= min_levels).select("site_id")
-    d = d.join(ok, "site_id", "left_semi").withColumn("logR", F.log10(range_col))
+    ok = site_levels(d, ["site_id"], "frame_id", "r_surf", "levels").where(F.col("levels") >= min_levels)
+    d = d.drop("levels").join(ok, "site_id").withColumn("logR", F.log10(range_col))
     means = d.groupBy("site_id").agg(F.avg("logR").alias("_mr"), F.avg(power).alias("_mp"))
     return d.join(means, "site_id").withColumns({"clogR": F.col("logR") - F.col("_mr"), "cP": F.col(power) - F.col("_mp")}).drop("_mr", "_mp")
 
@@ -92,103 +94,135 @@ def _t_cdf(z: Column) -> Column:
     return F.greatest(F.lit(0.5) + F.lit(0.375) * z / F.sqrt(q) * (1 - z * z / (12 * q)), F.lit(1e-12))
 
 
+def as_fit_rows(d: DataFrame, power: str, *, censor: bool = False, saturate: bool = False) -> DataFrame:
+    """Rows of one fit.  A known ``noise_dB`` adds the pedestal and left-censors picks at the
+    floor; a known ``S_dB`` limits the mean softly with one global offset."""
+    none = F.lit(None).cast("double")
+    noise = F.col("noise_dB").cast("double") if censor else none
+    clip = F.col("S_dB").cast("double") if saturate else none
+    keep = [n for n in ("levels", "n_seasons") if n in d.columns]
+    return d.select(F.lit(0).alias("fit_id"), "site_id", F.col("season").cast("string").alias("season"), "clogR", "is_high",
+                    F.col(power).cast("double").alias("P"), noise.alias("noise_dB"), clip.alias("S_dB"), *keep)
+
+
 def fit_exponent(d: DataFrame, power: str, *, censor: bool = False, saturate: bool = False, season_offset: bool = False,
-                 likelihood: str = "studentt", max_iter: int = 40, tol: float = 1e-4) -> ExponentFit:
-    """One channel.  ``censor``: the mean adds the noise pedestal and picks at the floor are
-    left-censored.  ``saturate``: the mean is softly limited by the clip level plus one offset."""
-    cols = ["site_id", "clogR", "is_high", F.col(power).cast("double").alias("_P")]
-    cols += ["noise_dB"] if censor else []
-    cols += ["S_dB"] if saturate else []
-    cols += ["season"] if season_offset else []
-    d = cut_lineage(d.select(*cols))
-    has_high = d.where(F.col("is_high") > 0).limit(1).count() > 0
-    seasons = sorted(r[0] for r in d.select("season").distinct().collect()) if season_offset else []
-    names = ["x", *(["delta_high"] if has_high else []), *[f"season[{s}]" for s in seasons], *(["clip_offset"] if saturate else [])]
-    prior_mean = np.array([PRIOR_X[0]] + [0.0] * (len(names) - 1))
-    prior_sd = np.array([PRIOR_X[1]] + [PRIOR_SD["delta_high"]] * has_high + [PRIOR_SD["season"]] * len(seasons) + [PRIOR_SD["clip"]] * saturate)
-    theta, sigma, b_clip = prior_mean.copy(), 5.0, 0.0
-    sites = cut_lineage(d.groupBy("site_id").agg(F.avg("_P").alias("alpha"), F.avg("_P").alias("mean_P")))
-    n_sites = sites.count()
+                 likelihood: str = "studentt", max_iter: int = 40, tol: float = 1e-3) -> ExponentFit:
+    """One channel on its own."""
+    rows = as_fit_rows(d, power, censor=censor, saturate=saturate)
+    return fit_exponents(rows, season_fits=[0] if season_offset else [], likelihood=likelihood, max_iter=max_iter, tol=tol)[0]
+
+
+def _step_sums(rows: DataFrame, sites: DataFrame, params: DataFrame, names: Sequence[str], seasons: Sequence[str],
+               likelihood: str, observed: bool) -> DataFrame:
+    """Per (fit, site): curvature and score sums of the intercept and of the shared parameters."""
     k = len(names)
     pairs = [(i, j) for i in range(k) for j in range(i + 1)]
+    c = F.col
+    lin = [-10 * c("clogR"), c("is_high"), *[F.coalesce((c("season") == s).cast("double"), F.lit(0.0)) for s in seasons]]
+    mu = c("alpha")
+    for i, v in enumerate(lin):
+        mu = mu + c(f"t{i}") * v
+    j = rows.join(sites, ["fit_id", "site_id"]).join(F.broadcast(params), "fit_id").withColumn("_mu", mu)
+    top = c("S_dB") + c(f"t{k - 1}")
+    limited = c("S_dB").isNotNull()
+    j = j.withColumns({
+        "_m1": F.when(limited, soft_min(c("_mu"), top)).otherwise(c("_mu")),
+        "_g1": F.when(limited, 1 / (1 + F.exp(c("_mu") - top))).otherwise(1.0)})
+    floor = c("noise_dB").isNotNull()
+    kdb = math.log(10) / 10
+    g2 = F.when(floor, 1 / (1 + F.exp(kdb * (c("noise_dB") - c("_m1"))))).otherwise(1.0)
+    j = j.withColumns({"_m": F.when(floor, add_db(c("_m1"), c("noise_dB"))).otherwise(c("_m1")), "_g2": g2, "_a": c("_g1") * g2})
+    r = F.greatest(c("P"), c("noise_dB")) - c("_m")
+    s2 = c("sigma") * c("sigma")
+    if likelihood == "studentt":
+        w = (NU + 1) / (NU * s2 + r * r)
+        score = w * r
+        bend = (NU + 1) * (NU * s2 - r * r) / ((NU * s2 + r * r) * (NU * s2 + r * r)) if observed else w
+        scale = (NU + 1) * r * r / (NU + r * r / s2)
+    else:
+        score, bend, scale = r / s2, 1 / s2, r * r
+    at_floor = floor & (c("P") <= c("noise_dB"))
+    z = (c("noise_dB") - c("_m")) / c("sigma")
+    mills = _t_density(z) / _t_cdf(z) / c("sigma")
+    j = j.withColumns({
+        "_s": F.when(at_floor, -mills).otherwise(score), "_h": F.when(at_floor, mills * mills).otherwise(bend),
+        "_r2": F.when(~at_floor, scale)})
+    q = [c("_a") * v for v in lin] + [F.when(limited, (1 - c("_g1")) * c("_g2")).otherwise(0.0)]
+    j = j.withColumns({f"_q{i}": v for i, v in enumerate(q)})
+    h, s, a = c("_h"), c("_s"), c("_a")
+    per = j.groupBy("fit_id", "site_id", "alpha", "mean_P").agg(
+        F.sum(h * a * a).alias("Saa"), F.sum(s * a).alias("Sar"),
+        *[F.sum(h * a * c(f"_q{i}")).alias(f"Saq{i}") for i in range(k)],
+        *[F.sum(s * c(f"_q{i}")).alias(f"Sq{i}") for i in range(k)],
+        *[F.sum(h * c(f"_q{i}") * c(f"_q{l}")).alias(f"Sqq{i}_{l}") for i, l in pairs],
+        F.sum("_r2").alias("S2"), F.count("_r2").alias("N2"), F.count(F.lit(1)).alias("N"))
     lam = 1 / PRIOR_SD["alpha"] ** 2
-    done = 0
-    H = np.eye(k)
-
-    def summed(theta: np.ndarray, sigma: float, sites: DataFrame, observed: bool) -> DataFrame:
-        lin = [-10 * F.col("clogR")] + ([F.col("is_high")] if has_high else []) + [(F.col("season") == s).cast("double") for s in seasons]
-        mu = F.col("alpha")
-        for v, q in zip(theta, lin):
-            mu = mu + F.lit(float(v)) * q
-        slope, mean, extra = F.lit(1.0), F.col("_mu"), []
-        if saturate:
-            top = F.col("S_dB") + F.lit(float(theta[-1]))
-            mean = soft_min(mean, top)
-            slope = 1 / (1 + F.exp(F.col("_mu") - top))
-            extra = [1 - slope]
-        if censor:
-            kdb = math.log(10) / 10
-            slope = slope / (1 + F.exp(kdb * (F.col("noise_dB") - mean)))
-            mean = add_db(mean, F.col("noise_dB"))
-        rows = d.join(sites, "site_id").withColumn("_mu", mu)
-        rows = rows.withColumns({"_m": mean, "_a": slope})
-        obs = F.greatest(F.col("_P"), F.col("noise_dB")) if censor else F.col("_P")
-        r = obs - F.col("_m")
-        s2 = float(sigma) ** 2
-        if likelihood == "studentt":
-            w = (NU + 1) / (NU * s2 + r * r)
-            s, h = w * r, (((NU + 1) * (NU * s2 - r * r) / F.pow(NU * s2 + r * r, F.lit(2.0))) if observed else w)
-            scale = (NU + 1) * r * r / (NU + r * r / s2)
-        else:
-            s, h, scale = r / s2, F.lit(1 / s2), r * r
-        if censor:
-            at_floor = F.col("_P") <= F.col("noise_dB")
-            z = (F.col("noise_dB") - F.col("_m")) / float(sigma)
-            mills = _t_density(z) / _t_cdf(z) / float(sigma)
-            s, h = F.when(at_floor, -mills).otherwise(s), F.when(at_floor, mills * mills).otherwise(h)
-            scale = F.when(at_floor, F.lit(None)).otherwise(scale)
-        rows = rows.withColumns({"_s": s, "_h": h, "_r2": scale})
-        q = [F.col("_a") * v for v in lin] + extra
-        rows = rows.withColumns({f"_q{i}": v for i, v in enumerate(q)})
-        hc, sc, a = F.col("_h"), F.col("_s"), F.col("_a")
-        per = rows.groupBy("site_id", "alpha", "mean_P").agg(
-            F.sum(hc * a * a).alias("Saa"), F.sum(sc * a).alias("Sar"),
-            *[F.sum(hc * a * F.col(f"_q{i}")).alias(f"Saq{i}") for i in range(k)],
-            *[F.sum(sc * F.col(f"_q{i}")).alias(f"Sq{i}") for i in range(k)],
-            *[F.sum(hc * F.col(f"_q{i}") * F.col(f"_q{j}")).alias(f"Sqq{i}_{j}") for i, j in pairs],
-            F.sum("_r2").alias("S2"), F.count("_r2").alias("N2"), F.count(F.lit(1)).alias("N"))
-        return cut_lineage(per.withColumns({
-            "A": F.col("Saa") + lam, "ra": F.col("Sar") + lam * (F.col("mean_P") - F.col("alpha"))}))
-
-    def reduced(per: DataFrame):
-        g = per.agg(
+    return cut_lineage(per.withColumns({"A": c("Saa") + lam, "ra": c("Sar") + lam * (c("mean_P") - c("alpha"))}))
+
+
+def fit_exponents(rows: DataFrame, *, season_fits: Sequence[int] = (), likelihood: str = "studentt", max_iter: int = 40,
+                  tol: float = 1e-3) -> dict[int, ExponentFit]:
+    """Every fit of the table in lockstep: fit_id -> result."""
+    spark = rows.sparkSession
+    rows = cut_lineage(rows.select("fit_id", "site_id", "season", "clogR", "is_high", "P", "noise_dB", "S_dB"))
+    facts = {r["fit_id"]: r for r in rows.groupBy("fit_id").agg(
+        (F.max("is_high") > 0).alias("high"), F.count("S_dB").alias("clip"), F.count(F.lit(1)).alias("n")).collect()}
+    seasons = sorted(r[0] for r in rows.where(F.col("fit_id").isin(list(season_fits))).select("season").distinct().collect()) if season_fits else []
+    names = ["x", "delta_high", *[f"season[{s}]" for s in seasons], "clip_offset"]
+    k = len(names)
+    pairs = [(i, j) for i in range(k) for j in range(i + 1)]
+    fixed = 1e-6  # a parameter a fit does not have is held at zero
+    prior_mean = np.array([PRIOR_X[0]] + [0.0] * (k - 1))
+    prior_sd = {f: np.array([PRIOR_X[1], PRIOR_SD["delta_high"] if r["high"] else fixed,
+                             *[PRIOR_SD["season"] if f in season_fits else fixed] * len(seasons), PRIOR_SD["clip"] if r["clip"] else fixed])
+                for f, r in facts.items()}
+    theta = {f: prior_mean.copy() for f in facts}
+    sigma = dict.fromkeys(facts, 5.0)
+    sites = cut_lineage(rows.groupBy("fit_id", "site_id").agg(F.avg("P").alias("alpha"), F.avg("P").alias("mean_P")))
+    n_sites = {r["fit_id"]: r["n"] for r in sites.groupBy("fit_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def small(values: dict[int, np.ndarray], prefix: str, with_sigma: bool = False) -> DataFrame:
+        schema = "fit_id int, " + ", ".join(f"{prefix}{i} double" for i in range(k)) + (", sigma double" if with_sigma else "")
+        return spark.createDataFrame([(f, *map(float, v), *([float(sigma[f])] if with_sigma else [])) for f, v in values.items()], schema)
+
+    def reduced(per: DataFrame) -> dict:
+        g = per.groupBy("fit_id").agg(
             *[F.sum(F.col(f"Sqq{i}_{j}") - F.col(f"Saq{i}") * F.col(f"Saq{j}") / F.col("A")).alias(f"h{i}_{j}") for i, j in pairs],
             *[F.sum(F.col(f"Sq{i}") - F.col(f"Saq{i}") * F.col("ra") / F.col("A")).alias(f"g{i}") for i in range(k)],
-            F.sum("S2").alias("S2"), F.sum("N2").alias("N2"), F.sum("N").alias("N")).first()
-        H = np.zeros((k, k))
-        for i, j in pairs:
-            H[i, j] = H[j, i] = g[f"h{i}_{j}"]
-        return H + np.diag(1 / prior_sd**2), np.array([g[f"g{i}"] for i in range(k)]) + (prior_mean - theta) / prior_sd**2, g
-
-    n_rows = 0
-    for done in range(1, max_iter + 1):
-        per = summed(theta, sigma, sites, observed=False)
-        H, grad, g = reduced(per)
-        n_rows = int(g["N"])
-        step = np.linalg.solve(H, grad)
+            F.sum("S2").alias("S2"), F.sum("N2").alias("N2"), F.sum(F.col("Saa") / F.col("A")).alias("V"))
+        out = {}
+        for r in g.collect():  # one short row per fit
+            f, H = r["fit_id"], np.zeros((k, k))
+            for i, j in pairs:
+                H[i, j] = H[j, i] = r[f"h{i}_{j}"]
+            sd = prior_sd[f]
+            out[f] = (H + np.diag(1 / sd**2), np.array([r[f"g{i}"] for i in range(k)]) + (prior_mean - theta[f]) / sd**2, r)
+        return out
+
+    rounds = 0
+    for rounds in range(1, max_iter + 1):
+        per = _step_sums(rows, sites, small(theta, "t", True), names, seasons, likelihood, observed=False)
+        moved, steps = 0.0, {}
+        for f, (H, grad, r) in reduced(per).items():
+            steps[f] = np.linalg.solve(H, grad)
+            theta[f] = theta[f] + steps[f]
+            # Residuals around a fitted intercept are too small by its own uncertainty.
+            new = math.sqrt(max((r["S2"] + sigma[f] ** 2 * r["V"]) / max(r["N2"], 1), 1e-8))
+            moved = max(moved, float(np.abs(steps[f]).max()), abs(new - sigma[f]))
+            sigma[f] = new
         shift = F.col("ra")
         for i in range(k):
-            shift = shift - F.col(f"Saq{i}") * F.lit(float(step[i]))
-        sites = per.select("site_id", (F.col("alpha") + shift / F.col("A")).alias("alpha"), "mean_P")
-        theta = theta + step
-        new_sigma = math.sqrt(max(g["S2"] / max(g["N2"], 1), 1e-8))
-        moved = max(float(np.abs(step).max()), abs(new_sigma - sigma))
-        sigma = new_sigma
+            shift = shift - F.col(f"Saq{i}") * F.col(f"d{i}")
+        sites = per.join(F.broadcast(small(steps, "d")), "fit_id").select(
+            "fit_id", "site_id", (F.col("alpha") + shift / F.col("A")).alias("alpha"), "mean_P")
         if moved < tol:
             break
-    H, _, _ = reduced(summed(theta, sigma, sites, observed=True))
-    cov = np.linalg.pinv(H)
-    return ExponentFit(names, theta, cov, sigma, n_rows, n_sites, done)
+    last = reduced(_step_sums(rows, sites, small(theta, "t", True), names, seasons, likelihood, observed=True))
+    out = {}
+    for f, (H, _, _) in last.items():
+        has = [i for i in range(k) if prior_sd[f][i] != fixed]
+        out[f] = ExponentFit([names[i] for i in has], theta[f][has], np.linalg.pinv(H)[np.ix_(has, has)], sigma[f], int(facts[f]["n"]), int(n_sites[f]), rounds)
+    return out
 
 
 def simulate_power(d: DataFrame, x_true: float = 2.5, sigma: float = 3.0, seed: int = 20260831, clip: bool = False) -> DataFrame:

@@ -349,7 +349,7 @@ def held_out_predictions(split: DataFrame, design: Design, fits: Sequence[Fit],
 
 
 def _draws(fit: Fit, n: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).multivariate_normal(fit.params, fit.cov, size=n, method="cholesky")
+    return np.random.default_rng(seed).multivariate_normal(fit.params, fit.cov, size=n, method="eigh")
 
 
 def log_scores(rows: DataFrame, design: Design, fits: Sequence[Fit], *, held_out: bool = True, draws: int = 400,
