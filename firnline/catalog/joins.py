@@ -377,8 +377,7 @@ snr AS (SELECT *, surface_snr_dB + spread + gain - mu_dB AS snr_dB FROM (SELECT
 
 def cell_snr(c):
     rows = lb.with_scenarios(c("cells_fx"), c("designs_fx"))
-    work = lb.basal_snr(lb.SidelobeTable(c("sidelobe_fx")), F.col("thickness_m"), F.col("mu_dB"))
-    return rows.withColumns(work)
+    return lb.with_basal_snr(rows, lb.SidelobeTable(c("sidelobe_fx")))
 
 
 @query("c22_scenario_cells", """
@@ -393,8 +392,9 @@ def c22(c):
 def c23(c):
     rows = lb.with_scenarios(c("cells_fx"), c("designs_fx")).withColumn("delay", 2 * F.col("thickness_m") * F.col("n_ice") / lb.LIGHT_M_S)
     table = lb.SidelobeTable(c("sidelobe_fx"))
-    lev = table.level(F.col("sidelobe_window"), F.col("bandwidth_Hz") * F.col("pulse_length_s"), F.col("delay") / F.col("pulse_length_s"))
-    return rounded(rows.where("delay < pulse_length_s").select("grid_id", "scenario_id", lev.alias("sidelobe_dB")))
+    lev = table.attach(rows.where("delay < pulse_length_s"), F.col("sidelobe_window"), F.col("bandwidth_Hz") * F.col("pulse_length_s"),
+                       F.col("delay") / F.col("pulse_length_s"), "sidelobe_dB")
+    return rounded(lev.select("grid_id", "scenario_id", "sidelobe_dB"))
 
 
 @query("c24_excluded_season_flag", """

@@ -16,17 +16,21 @@ from firnline.functions import geo
 CENTRE, PIXEL = "centre", "pixel"
 
 
-def blocks(cells: DataFrame, keys: Sequence[str] = ("raster_id", "var"), value: str = "value") -> DataFrame:
+SPOTS = [("v00", 0, 0), ("v10", 1, 0), ("v01", 0, 1), ("v11", 1, 1)]
+
+
+def blocks(cells: DataFrame, keys: Sequence[str] = ("raster_id", "var"), values: Sequence[str] = ("value",)) -> DataFrame:
     """2 x 2 blocks keyed by their low-index corner: v00, v10 (col + 1), v01 (row + 1), v11.
 
     Every cell goes to the four blocks it belongs to and one partial aggregation
-    puts them together, so a later point lookup is a single equi-join.
+    puts them together, so a later point lookup is a single equi-join.  With
+    several value columns the corners are named ``<column>_v00`` and so on.
     """
-    spots = [("v00", 0, 0), ("v10", 1, 0), ("v01", 0, 1), ("v11", 1, 1)]
-    spread = cells.select(*keys, "row", "col", F.col(value).alias("_v")).withColumn("_q", F.explode(F.array(*[
-        F.struct(F.lit(n).alias("n"), (F.col("row") - dr).alias("r"), (F.col("col") - dc).alias("c")) for n, dc, dr in spots])))
+    spread = cells.select(*keys, "row", "col", *values).withColumn("_q", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("n"), (F.col("row") - dr).alias("r"), (F.col("col") - dc).alias("c")) for n, dc, dr in SPOTS])))
+    name = (lambda v, n: n) if len(values) == 1 else (lambda v, n: f"{v}_{n}")
     return spread.groupBy(*keys, F.col("_q.r").alias("row"), F.col("_q.c").alias("col")).agg(
-        *[F.max(F.when(F.col("_q.n") == n, F.col("_v"))).alias(n) for n, _, _ in spots])
+        *[F.max(F.when(F.col("_q.n") == n, F.col(v))).alias(name(v, n)) for v in values for n, _, _ in SPOTS])
 
 
 def _place(points: DataFrame, meta: DataFrame, lon: str, lat: str) -> DataFrame:
@@ -66,45 +70,75 @@ def sample(points: DataFrame, meta: DataFrame, cells: DataFrame, *, point_id: st
     if method not in ("bilinear", "nearest"):
         raise ValueError(f"unknown sampling method {method!r}")
     pts = _place(points.select(point_id, lon, lat), meta, lon, lat)
-    fc, fr, nx, ny = F.col("fc"), F.col("fr"), F.col("nx"), F.col("ny")
-    inside = (fc >= 0) & (fc <= nx - 1) & (fr >= 0) & (fr <= ny - 1)
+    pts, u, v = _locate(pts, method, edge)
     if method == "nearest":
-        c = F.ceil(fc - 0.5) if edge == CENTRE else F.rint(fc)
-        r = F.ceil(fr - 0.5) if edge == CENTRE else F.rint(fr)
-        ok = inside if edge == CENTRE else F.lit(True)
-        pts = pts.withColumns({"col": F.when(ok, c).cast("long"), "row": F.when(ok, r).cast("long")})
         hit = pts.join(cells, ["raster_id", "var", "row", "col"], "left")
-        return hit.select(point_id, "raster_id", "var", F.when(~F.coalesce(F.col("value") == F.col("nodata"), F.lit(False)), F.col("value")).alias("value"))
-
-    c0, r0 = F.floor(fc), F.floor(fr)
-    if edge == CENTRE:
-        # The last centre itself is in range: step back one pixel and give it full weight there.
-        c0 = F.when(inside, F.greatest(F.least(c0, nx - 2), F.lit(0)))
-        r0 = F.when(inside, F.greatest(F.least(r0, ny - 2), F.lit(0)))
-    pts = pts.withColumns({"col": c0.cast("long"), "row": r0.cast("long")})
-    u, v = F.col("fc") - F.col("col"), F.col("fr") - F.col("row")
+        return hit.select(point_id, "raster_id", "var", _known("value", F.col("nodata")).alias("value"))
     hit = pts.join(blocks(cells), ["raster_id", "var", "row", "col"], "left")
+    value = _bilinear(u, v, *[_known(n, F.col("nodata")) for n, _, _ in SPOTS])
+    return hit.select(point_id, "raster_id", "var", value.alias("value"))
+
+
+def _known(name: str, nodata: Column) -> Column:
+    return F.when(~F.coalesce(F.col(name) == nodata, F.lit(False)), F.col(name))
 
-    def corner(name: str) -> Column:
-        return F.when(~F.coalesce(F.col(name) == F.col("nodata"), F.lit(False)), F.col(name))
 
-    top = corner("v00") * (1 - u) + corner("v10") * u
-    low = corner("v01") * (1 - u) + corner("v11") * u
-    return hit.select(point_id, "raster_id", "var", (top * (1 - v) + low * v).alias("value"))
+def _bilinear(u: Column, v: Column, v00: Column, v10: Column, v01: Column, v11: Column) -> Column:
+    return (v00 * (1 - u) + v10 * u) * (1 - v) + (v01 * (1 - u) + v11 * u) * v
+
+
+def _locate(pts: DataFrame, method: str, edge: str) -> tuple[DataFrame, Column, Column]:
+    """Adds the cell (nearest) or block (bilinear) a point falls on, and its weights inside it."""
+    fc, fr, nx, ny = F.col("fc"), F.col("fr"), F.col("nx"), F.col("ny")
+    inside = (fc >= 0) & (fc <= nx - 1) & (fr >= 0) & (fr <= ny - 1)
+    if method == "nearest":
+        col, row = (F.ceil(fc - 0.5), F.ceil(fr - 0.5)) if edge == CENTRE else (F.rint(fc), F.rint(fr))
+    elif edge == CENTRE:
+        # The last centre itself is in range: step back one pixel and give it full weight there.
+        col, row = F.greatest(F.least(F.floor(fc), nx - 2), F.lit(0)), F.greatest(F.least(F.floor(fr), ny - 2), F.lit(0))
+    else:
+        col, row = F.floor(fc), F.floor(fr)
+    if edge == CENTRE:
+        col, row = F.when(inside, col), F.when(inside, row)
+    out = pts.withColumns({"col": col.cast("long"), "row": row.cast("long")})
+    return out, fc - F.col("col"), fr - F.col("row")
 
 
 def attach(points: DataFrame, meta: DataFrame, cells: DataFrame, names: dict[str, str], *, point_id: str,
            edge: str = CENTRE, lon: str = "longitude", lat: str = "latitude") -> DataFrame:
     """All layers as columns: nearest for categorical ones, bilinear for the rest, one row per point."""
-    parts = None
-    for method in ("bilinear", "nearest"):
-        m = meta.where(F.col("method") == method)
-        if m.isEmpty():
-            continue
-        s = sample(points, m, cells, point_id=point_id, method=method, edge=edge, lon=lon, lat=lat)
-        parts = s if parts is None else parts.unionByName(s)
-    wide = parts.groupBy(point_id).agg(*[F.max(F.when(F.col("var") == v, F.col("value"))).alias(n) for v, n in names.items()])
-    return points.join(wide, point_id, "left")
+    layers = [r.asDict() for r in meta.where(F.col("var").isin(list(names))).select(
+        "raster_id", "var", "method", "crs", "x0", "dx", "nx", "y0", "dy", "ny", "nodata").collect()]
+    groups: dict[tuple, list[dict]] = {}
+    for m in layers:
+        groups.setdefault(tuple(m[k] for k in ("method", "raster_id", "crs", "x0", "dx", "nx", "y0", "dy", "ny")), []).append(m)
+    out = points
+    for (method, raster_id, crs, x0, dx, nx, y0, dy, ny), ms in groups.items():
+        # Layers on one grid are one wide table: one position and one join for all of them.
+        px, py = geo.project(F.col(lon), F.col(lat), crs)
+        pts = out.withColumns({
+            "fc": (px - F.lit(float(x0))) / F.lit(float(dx)), "fr": (py - F.lit(float(y0))) / F.lit(float(dy)),
+            "nx": F.lit(int(nx)).cast("long"), "ny": F.lit(int(ny)).cast("long")})
+        pts, u, v = _locate(pts, method, edge)
+        pts = pts.withColumns({"_u": u, "_v": v}).drop("fc", "fr", "nx", "ny")
+        mine = cells.where((F.col("raster_id") == raster_id) & F.col("var").isin([m["var"] for m in ms]))
+        col = {m["var"]: f"_l{i}" for i, m in enumerate(ms)}
+        known = F.lit(False)
+        for m in ms:
+            if m["nodata"] is not None:
+                known = known | ((F.col("var") == m["var"]) & (F.col("value") == F.lit(float(m["nodata"]))))
+        mine = mine.where(~known)
+        if method == "nearest":
+            wide = mine.groupBy("row", "col").agg(*[F.max(F.when(F.col("var") == n, F.col("value"))).alias(k) for n, k in col.items()])
+            picked = {n: F.col(k) for n, k in col.items()}
+        else:
+            spread = mine.select("row", "col", *[F.when(F.col("var") == n, F.col("value")).alias(k) for n, k in col.items()])
+            wide = blocks(spread, keys=(), values=list(col.values()))
+            corner = (lambda k, s: s) if len(col) == 1 else (lambda k, s: f"{k}_{s}")
+            picked = {n: _bilinear(F.col("_u"), F.col("_v"), *[F.col(corner(k, s)) for s, _, _ in SPOTS]) for n, k in col.items()}
+        out = pts.join(wide, ["row", "col"], "left").select(*out.columns, *[picked[n].alias(names[n]) for n in col])
+    absent = [n for v, n in names.items() if v not in {m["var"] for m in layers}]
+    return out.withColumns({n: F.lit(None).cast("double") for n in absent}) if absent else out
 
 
 def region_layers(meta: DataFrame, sheet: str) -> DataFrame:
@@ -135,7 +169,7 @@ def boundary_segments(cells: DataFrame, inside: Column, valid: Column | None = N
     with a missing or invalid corner are skipped.
     """
     z = F.when(valid if valid is not None else F.lit(True), inside.cast("int"))
-    b = blocks(cells.select("row", "col", z.alias("z")), keys=(), value="z")
+    b = blocks(cells.select("row", "col", z.alias("z")), keys=(), values=("z",))
     code = F.col("v00") + 2 * F.col("v10") + 4 * F.col("v11") + 8 * F.col("v01")
     mid = {"t": (0.5, 0.0), "r": (1.0, 0.5), "b": (0.5, 1.0), "l": (0.0, 0.5)}
     # Crossed edges (top, right, bottom, left) per corner code; a saddle has two segments.
