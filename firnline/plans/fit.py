@@ -244,9 +244,12 @@ def fit_all(rows: DataFrame, design: Design, fits: Sequence[Fit], detection: Det
             max_iter: int = 40, tol: float = 1e-5) -> list[Fit]:
     """Damped Newton on all fits in lockstep; fills params, cov and diagnostics.
 
-    ``rows`` are persisted on the executors (memory, then disk) for the steps.
+    ``rows`` are spread evenly once and persisted on the executors (memory, then
+    disk), because every step scans them.
     """
-    rows = rows.persist()
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = rows.repartition(tasks).persist()
     try:
         d = len(design.term_names())
         p = d + 1 + (2 if detection else 0)
