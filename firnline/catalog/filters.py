@@ -92,7 +92,7 @@ WHERE m.region IN ('global', 'greenland') GROUP BY m.raster_id, m.var
 """)
 def b10(c):
     m = raster.region_layers(c("raster_meta_fx"), "greenland").select("raster_id", "var")
-    return c("raster_cells_fx").join(F.broadcast(m), ["raster_id", "var"]).groupBy("raster_id", "var").agg(F.count(F.lit(1)).alias("n_cells"))
+    return c("raster_cells_fx").join(m, ["raster_id", "var"]).groupBy("raster_id", "var").agg(F.count(F.lit(1)).alias("n_cells"))
 
 
 @query("b11_unknown_test_cells", """

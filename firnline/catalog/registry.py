@@ -14,6 +14,19 @@ from firnline.catalog.relations import RELATIONS, TABLES
 NAME = r"(?<!\{)\{(\w+)\}(?!\})"
 
 
+SPREAD = r"@@(.*?)@@"
+
+
+def _spread_spark(m: re.Match) -> str:
+    alias, columns, *rows = m.group(1).split("|")
+    return f"LATERAL VIEW inline(array({', '.join(f'struct({r})' for r in rows)})) {alias} AS {columns}"
+
+
+def _spread_values(m: re.Match) -> str:
+    alias, columns, *rows = m.group(1).split("|")
+    return f"CROSS JOIN (VALUES {', '.join(f'({r})' for r in rows)}) AS {alias}({columns})"
+
+
 class Context:
     """Gives DataFrames of the given tables and of the relations derived from them."""
 
@@ -27,7 +40,7 @@ class Context:
                 self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             else:
                 text = RELATIONS[name]
-                self._made[name] = self.spark.sql(text, **{d: self(d) for d in _inputs(text)})
+                self._made[name] = self.spark.sql(re.sub(SPREAD, _spread_spark, text, flags=re.S), **{d: self(d) for d in _inputs(text)})
         return self._made[name]
 
 
@@ -36,6 +49,7 @@ def _inputs(text: str) -> list[str]:
 
 
 def _plain(text: str) -> str:
+    text = re.sub(SPREAD, _spread_values, text, flags=re.S)
     return re.sub(NAME, r"\1", text).replace("{{", "{").replace("}}", "}")
 
 

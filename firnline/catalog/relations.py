@@ -5,6 +5,15 @@ reads a given table (``{name}``), so its size follows that table; columns come
 from integer arithmetic on ids, which both engines compute exactly.
 """
 
+def spread(alias: str, columns: str, *rows: str) -> str:
+    """A short list of literal rows beside every row of the relation before it.
+
+    Written as an exploded literal array in Spark (no join) and as a VALUES list
+    in the checking engine; the registry picks the form.
+    """
+    return "@@" + "|".join([alias, columns, *rows]) + "@@"
+
+
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
     "benchmark", "labels", "conversations",
@@ -141,21 +150,13 @@ SELECT v.raster_id, v.var, CAST(floor(e.event_id / 100e0) AS BIGINT) AS row, e.e
     WHEN v.var = 'HFmin' THEN 0.04e0 + (e.event_id % 60) / 1000e0
     WHEN v.var = 'HFmax' THEN 0.062e0 + (e.event_id % 60) / 1000e0
     END AS value
-FROM {events} e CROSS JOIN (VALUES ('bed', 'bed'), ('bed', 'thickness'), ('bed', 'mask'), ('bed', 'errbed'), ('bed', 'source'),
-  ('velocity', 'v'), ('velocity', 'v_error'), ('vector_velocity', 'vx'), ('vector_velocity', 'vy'), ('vector_velocity', 'errx'),
-  ('vector_velocity', 'erry'), ('heat_flow', 'HF'), ('heat_flow', 'HFmin'), ('heat_flow', 'HFmax')) AS v(raster_id, var)
+FROM {events} e """ + spread("v", "raster_id, var", "'bed', 'bed'", "'bed', 'thickness'", "'bed', 'mask'", "'bed', 'errbed'", "'bed', 'source'", "'velocity', 'v'", "'velocity', 'v_error'", "'vector_velocity', 'vx'", "'vector_velocity', 'vy'", "'vector_velocity', 'errx'", "'vector_velocity', 'erry'", "'heat_flow', 'HF'", "'heat_flow', 'HFmin'", "'heat_flow', 'HFmax'") + """
 """
 RELATIONS["raster_meta_fx"] = """
 SELECT v.raster_id, v.var, v.method, v.region, 'EPSG:3031' AS crs, -1750000e0 AS x0, 2500e0 AS dx, CAST(100 AS BIGINT) AS nx,
   -620000e0 AS y0, 4000e0 AS dy, e.ny, -9999e0 AS nodata
 FROM (SELECT CAST(floor((max(event_id) + 1) / 100e0) AS BIGINT) AS ny FROM {events}) e
-CROSS JOIN (VALUES ('bed', 'bed', 'bilinear', 'global'), ('bed', 'thickness', 'bilinear', 'global'), ('bed', 'mask', 'nearest', 'global'),
-  ('bed', 'errbed', 'bilinear', 'global'), ('bed', 'source', 'nearest', 'global'),
-  ('velocity', 'v', 'bilinear', 'greenland'), ('velocity', 'v_error', 'bilinear', 'greenland'),
-  ('vector_velocity', 'vx', 'bilinear', 'antarctic'), ('vector_velocity', 'vy', 'bilinear', 'antarctic'),
-  ('vector_velocity', 'errx', 'bilinear', 'antarctic'), ('vector_velocity', 'erry', 'bilinear', 'antarctic'),
-  ('heat_flow', 'HF', 'bilinear', 'antarctic'), ('heat_flow', 'HFmin', 'bilinear', 'antarctic'), ('heat_flow', 'HFmax', 'bilinear', 'antarctic'))
-  AS v(raster_id, var, method, region)
+""" + spread("v", "raster_id, var, method, region", "'bed', 'bed', 'bilinear', 'global'", "'bed', 'thickness', 'bilinear', 'global'", "'bed', 'mask', 'nearest', 'global'", "'bed', 'errbed', 'bilinear', 'global'", "'bed', 'source', 'nearest', 'global'", "'velocity', 'v', 'bilinear', 'greenland'", "'velocity', 'v_error', 'bilinear', 'greenland'", "'vector_velocity', 'vx', 'bilinear', 'antarctic'", "'vector_velocity', 'vy', 'bilinear', 'antarctic'", "'vector_velocity', 'errx', 'bilinear', 'antarctic'", "'vector_velocity', 'erry', 'bilinear', 'antarctic'", "'heat_flow', 'HF', 'bilinear', 'antarctic'", "'heat_flow', 'HFmin', 'bilinear', 'antarctic'", "'heat_flow', 'HFmax', 'bilinear', 'antarctic'") + """
 """
 
 # Hour x day x latitude x longitude temperatures, one per event.
@@ -281,8 +282,7 @@ SELECT w.win, i.i, j.j, 10e0 * pow(10e0, i.i * 4e0 / 10e0) AS tb,
   CASE WHEN j.j = 0 THEN 0e0 ELSE pow(10e0, -3e0 + (j.j - 1) * 3e0 / 12e0) END AS x,
   CASE WHEN j.j = 0 THEN 0e0 WHEN j.j = 13 THEN -200e0 ELSE -1e0 * w.slope * (i.i + 1) * j.j / 3e0 END AS level
 FROM (VALUES ('rect', 1e0), ('hann', 1.75e0)) AS w(win, slope)
-CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10)) AS i(i)
-CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13)) AS j(j)
+""" + spread("i", "i", *map(str, range(11))) + " " + spread("j", "j", *map(str, range(14))) + """
 """
 
 # Stage chain: suppliers augment, nations split, regions train.

@@ -77,17 +77,13 @@ def wrap_longitude(lon: Column) -> Column:
 def close_antimeridian(field: DataFrame, x: str = "x") -> DataFrame:
     """Repeat the x = -180 column at x = +180 unless it is already there.
 
-    The check is one global maximum, attached as a one-row table; a field that
-    already reaches 180 is returned unchanged, so the operator is idempotent.
+    A field that already reaches 180 is returned unchanged, so the operator is
+    idempotent; the check reads one maximum.
     """
-    closed = field.agg(F.max(x).alias("_xmax"))
-    seam = (
-        field.where(F.col(x) == -180.0)
-        .join(F.broadcast(closed), F.col("_xmax") < 180.0)
-        .drop("_xmax")
-        .withColumn(x, F.lit(180.0))
-    )
-    return field.unionByName(seam.select(field.columns))
+    top = field.agg(F.max(x)).first()[0]
+    if top is None or top >= 180.0:
+        return field
+    return field.unionByName(field.where(F.col(x) == -180.0).withColumn(x, F.lit(180.0)))
 
 
 def cell_id(x: Column, y: Column, sheet: Column, size_m: float, codes: dict[str, str]) -> Column:

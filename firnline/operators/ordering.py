@@ -70,7 +70,7 @@ def quantiles_of(df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[str,
     if largest is None or largest <= group_rows:
         return _quantiles_in_group(df, keys, first, specs, extra)
     if not keys:
-        return _quantiles_spread(df, keys, first, specs, extra)
+        return _quantiles_spread(df.withColumn("_all", F.lit(0)), ["_all"], first, specs, extra).drop("_all")
     hot = sizes.where(F.col("_n") > group_rows).drop("_n").withColumnsRenamed({k: f"_h_{k}" for k in keys})
     same = None
     for k in keys:
@@ -97,10 +97,10 @@ def _quantiles_spread(df: DataFrame, keys: list[str], first: str, specs: dict, e
         rows = df.where(F.col(v).isNotNull()).select(*keys, F.col(v).cast("double").alias("_v"))
         part = _spread(rows, keys, {n: p for n, (c, p) in specs.items() if c == v})
         part = part if v == first else part.drop("n_values")
-        out = part if out is None else _join_keys(out, part, keys) if keys else out.crossJoin(part)
+        out = part if out is None else _join_keys(out, part, keys)
     if extra:
         more = df.groupBy(*keys).agg(*[c.alias(n) for n, c in extra.items()])
-        out = _join_keys(out, more, keys) if keys else out.crossJoin(more)
+        out = _join_keys(out, more, keys)
     return out.select(*keys, "n_values", *specs, *extra)
 
 

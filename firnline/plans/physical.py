@@ -15,11 +15,12 @@ def physical_coefficients(posterior: DataFrame, norm: DataFrame) -> DataFrame:
     the fit, whose columns are ``<name>__sd``.
     """
     base = F.regexp_replace(F.regexp_extract("param", r"\[(.*)\]", 1), "^(" + "|".join(INDICATORS) + ")_x_", "")
-    sds = [n[: -len("__sd")] for n in norm.columns if n.endswith("__sd")]
-    by_name = F.create_map(*[v for n in sds for v in (F.lit(n), F.col(f"{n}__sd"))])
-    j = posterior.withColumn("_base", base).join(F.broadcast(norm.select(*[f"{n}__sd" for n in sds])))
+    stats = norm.first().asDict()
+    sd = {n[: -len("__sd")]: float(v) for n, v in stats.items() if n.endswith("__sd")}
+    by_name = F.create_map(*[F.lit(v) for n in sd for v in (n, sd[n])])
+    j = posterior.withColumn("_base", base)
     per = F.when((F.col("_base") == "") | F.col("_base").isin(list(INDICATORS)), 1.0).otherwise(F.try_element_at(by_name, F.col("_base")))
     atten = F.col("param").contains("atten")
-    sy, st = F.col(f"{TARGET}__sd"), F.col(f"{THICKNESS}__sd")
+    sy, st = F.lit(sd[TARGET]), F.lit(sd[THICKNESS])
     value = F.when(atten, F.col("mean") * sy / st * 1000 / per).otherwise(-F.col("mean") * sy / per)
     return j.select(*posterior.columns, value.alias("value"), F.when(atten, "dB/km").otherwise("dB").alias("unit"))
