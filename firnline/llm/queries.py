@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from firnline.llm import licenses, quality
+from firnline.llm import licenses, quality, toxicity
 from firnline.llm.common import remainder, table
 
 
@@ -16,6 +17,13 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, labels, ~held_out).withColumn("held_out", held_out)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = remainder(5) == 0
+    found = toxicity.classify(docs, labels, ~held_out)
+    return found.withColumn("held_out", held_out).withColumn("n_spans", F.size("spans")).drop("spans")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -23,6 +31,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_quality_classifier": op5_quality_classifier,
+        "op9_toxicity": op9_toxicity,
         "op10_license_scan": op10_license_scan,
     }
 
