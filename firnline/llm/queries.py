@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firnline.llm import licenses, quality, toxicity
+from firnline.llm import licenses, lm, quality, toxicity
 from firnline.llm.common import remainder, table
 
 
@@ -17,6 +17,11 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, labels, ~held_out).withColumn("held_out", held_out)
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(7) == 2
+    return lm.score(table(spark, sf_dir, "documents"), ~held_out).withColumn("held_out", held_out)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = remainder(5) == 0
@@ -31,6 +36,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_quality_classifier": op5_quality_classifier,
+        "op8_lm_scores": op8_lm_scores,
         "op9_toxicity": op9_toxicity,
         "op10_license_scan": op10_license_scan,
     }
