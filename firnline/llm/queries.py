@@ -8,14 +8,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firnline.llm import licenses, lm, packing, pieces, quality, toxicity
+from firnline.llm import html, licenses, lm, packing, pieces, quality, search, toxicity
 from firnline.llm.common import remainder, table
 
 
+TOPK_SQL = """
+WITH bits AS (SELECT vec_id, i, embedding[i] > 0 AS bit FROM embeddings, range(1, 65) AS t(i)),
+pairs AS (
+  SELECT q.vec_id AS query_id, b.vec_id AS vec_id, CAST(sum(CASE WHEN q.bit <> b.bit THEN 1 ELSE 0 END) AS INTEGER) AS distance
+  FROM bits q JOIN bits b ON q.i = b.i WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, b.vec_id
+),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM pairs)
+SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
+"""
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, dims=64)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -26,6 +42,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, labels, ~held_out).withColumn("held_out", held_out)
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(7) == 2
     return lm.score(table(spark, sf_dir, "documents"), ~held_out).withColumn("held_out", held_out)
@@ -45,8 +65,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_topk_search": op2_topk_search,
         "op3_sentencepiece": op3_sentencepiece,
         "op5_quality_classifier": op5_quality_classifier,
+        "op7_html_text": op7_html_text,
         "op8_lm_scores": op8_lm_scores,
         "op9_toxicity": op9_toxicity,
         "op10_license_scan": op10_license_scan,
@@ -54,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_topk_search": TOPK_SQL}
