@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firnline.llm import html, licenses, lm, packing, pieces, quality, search, toxicity
+from firnline.llm import fingerprint, html, licenses, lm, packing, pieces, quality, search, toxicity
 from firnline.llm.common import remainder, table
 
 
@@ -36,6 +36,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edits(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = remainder(3) == 1
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_topk_search": op2_topk_search,
         "op3_sentencepiece": op3_sentencepiece,
+        "op4_document_fingerprints": op4_document_fingerprints,
         "op5_quality_classifier": op5_quality_classifier,
         "op7_html_text": op7_html_text,
         "op8_lm_scores": op8_lm_scores,
