@@ -72,3 +72,23 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 def segment_sums(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(doc, weights=values, minlength=n)
+
+
+class WordCache:
+    """Values of words, made for many new words at once. Of the words met most lately about `size` are remembered."""
+
+    def __init__(self, size: int, make: Callable[[list[str]], list]):
+        self.size, self.make = size, make
+        self.known: dict = {}
+        self.before: dict = {}
+
+    def of(self, words: set[str]) -> dict:
+        """A dictionary that has all of these words."""
+        fresh = words.difference(self.known)
+        if len(self.known) + len(fresh) > self.size:
+            self.known, self.before, fresh = {}, self.known, words
+        met = fresh & self.before.keys()
+        self.known.update((w, self.before[w]) for w in met)
+        new = list(fresh.difference(met))
+        self.known.update(zip(new, self.make(new)))
+        return self.known

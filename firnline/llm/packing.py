@@ -22,42 +22,72 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from firnline.llm.common import column, crc, spread, stored
+from firnline.llm.common import WordCache, column, crc, spread, stored
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 18
 #: Pieces that are ranked in one bucket of a length, about.
 BUCKET_ROWS = 200_000
 
-# Letters of which the tokenizer's normal form is the lower case, so that words can be looked up one by one. Texts with any
-# other character, or with what might be a special token, go through the tokenizer as a whole.
+# Characters of which the tokenizer's normal form is the lower case, so that a text can be looked up chunk by chunk between blanks.
+# Texts with any other character, or with what might be a special token, go through the tokenizer as a whole.
 _PLAIN = re.compile("[^\t\n\x0b\x0c\r -~À-ÖØ-öø-ÿ¡¿«»]|<\\|")
-# The word forms of the tokenizer's own splitting rule, for these characters.
-_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
+# Where the tokenizer's splitting rule cuts such a chunk, contractions aside: around digits, and between letters and marks.
+_LETTERS = "a-zß-öø-ÿ"
+_CUTS = re.compile(f"(?<=[{_LETTERS}])(?=[^\\s{_LETTERS}])|(?<=[^\\s{_LETTERS}])(?=[{_LETTERS}])|(?<=[0-9])(?=\\S)|(?<=\\S)(?=[0-9])")
+#: Chunks that the tokenizer gets as one text, and texts that are worked on together.
+CHUNKS = 2000
+TEXTS = 512
 
 
-class WordEncoder:
-    """Little-endian 32-bit ids of texts; words are encoded by the tokenizer once and remembered."""
+class ChunkEncoder:
+    """Little-endian 32-bit ids of texts; a chunk between blanks is encoded by the tokenizer once and remembered.
+
+    New chunks go through the tokenizer's merges many at a time, their words already cut and in its byte alphabet: a word ends with a
+    token that carries the end-of-word mark. Chunks with an apostrophe go through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        mark = self.tokenizer.model.end_of_word_suffix
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(mark)]] = True
+        alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: alphabet.pre_tokenize_str(chr(c))[0][0] for c in (*range(0x21, 0x7F), *range(0xA1, 0x100))}
+        self.cache = WordCache(CACHE_WORDS, self._chunks)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        out = dict(zip(some, self._whole(some))) if (some := [c for c in chunks if "'" in c]) else {}
+        plain = [c for c in chunks if c not in out]
+        for lo in range(0, len(plain), CHUNKS):
+            some = plain[lo : lo + CHUNKS]
+            text = _CUTS.sub(" ", "\n".join(some))
+            words = np.array([line.count(" ") + 1 for line in text.split("\n")])
+            [found] = self.words.encode_batch_fast([text.translate(self.letters)], add_special_tokens=False)
+            ids = np.array(found.ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids])
+            if len(ends) != words.sum():
+                out.update(zip(some, self._whole(some)))
+                continue
+            cuts = [0, *(4 * (ends[np.cumsum(words) - 1] + 1)).tolist()]
+            data = ids.tobytes()
+            out.update(zip(some, map(data.__getitem__, map(slice, cuts, cuts[1:]))))
+        return [out[c] for c in chunks]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [None if _PLAIN.search(t) else _WORDS.findall(t.lower()) for t in texts]
-        used = set().union(*(w for w in plain if w is not None))
-        fresh = list(used.difference(self.known))
-        if len(self.known) + len(fresh) > CACHE_WORDS:
-            self.known, fresh = {}, list(used)
-        self.known.update(zip(fresh, self._encode(fresh)))
-        whole = iter(self._encode([t for t, w in zip(texts, plain) if w is None]))
-        return [next(whole) if w is None else b"".join(map(self.known.__getitem__, w)) for w in plain]
+        plain = [None if _PLAIN.search(t) else t.lower().split() for t in texts]
+        known = self.cache.of(set().union(*(c for c in plain if c is not None)))
+        whole = iter(self._whole([t for t, c in zip(texts, plain) if c is None]))
+        return [next(whole) if c is None else b"".join(map(known.__getitem__, c)) for c in plain]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -66,12 +96,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     full = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = ChunkEncoder(tokenizer_path)
         for batch in batches:
-            texts = [t or "" for t in column(batch, "text").to_pylist()]
-            for lo in range(0, len(texts), 512):
+            for lo in range(0, batch.num_rows, TEXTS):
+                texts = [t or "" for t in column(batch, "text").slice(lo, TEXTS).to_pylist()]
                 which, piece, length, sums = [], [], [], []
-                for i, ids in enumerate(encoder.encode(texts[lo : lo + 512]), lo):
+                for i, ids in enumerate(encoder.encode(texts), lo):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), full)):
                         part = ids[at : at + full]

@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firnline.llm.common import column, map_batches
+from firnline.llm.common import WordCache, column, map_batches
 
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 17
 #: Texts whose words are encoded together.
 TEXTS = 512
 BLANK = "▁"
@@ -172,30 +172,25 @@ def cut(text: str) -> list[str]:
 
 
 class Encoder:
-    """Encodes texts word by word and remembers words: ids as decimal text, their number, and decoded bytes."""
+    """Encodes texts word by word and remembers words: ids as decimal text, and decoded bytes."""
 
     def __init__(self, path: str):
         self.model = load(path)
-        self.digits: dict[str, str] = {}
-        self.decoded: dict[str, bytes] = {}
-
-    def learn(self, texts: list[list[str]]) -> None:
-        fresh = list(set().union(*texts).difference(self.digits)) if texts else []
-        if len(self.digits) + len(fresh) > CACHE_WORDS:
-            self.digits, self.decoded = {}, {}
-            fresh = list(set().union(*texts))
-        for w, ids in zip(fresh, self.model.encode_words(fresh)):
-            self.digits[w] = ",".join(map(str, ids))
-            self.decoded[w] = b"".join(map(self.model.bytes.__getitem__, ids))
-
-    def ids(self, words: list[str]) -> str:
-        """Decimal ids, joined by commas."""
-        return ",".join(map(self.digits.__getitem__, words))
-
-    def text(self, words: list[str]) -> bytes:
-        """What the words' ids decode to."""
-        out = b"".join(map(self.decoded.__getitem__, words))
-        return out[1:] if out.startswith(b" ") else out
+        self.cache = WordCache(CACHE_WORDS, self._words)
+
+    def _words(self, words: list[str]) -> list[tuple[str, bytes]]:
+        return [(",".join(map(str, ids)), b"".join(map(self.model.bytes.__getitem__, ids))) for ids in self.model.encode_words(words)]
+
+    def encode(self, texts: list[str]) -> list[tuple[str, bytes]]:
+        """Decimal ids joined by commas, and the bytes that they decode to."""
+        cuts = [cut(t) for t in texts]
+        known = self.cache.of(set().union(*cuts))
+        out = []
+        for words in cuts:
+            found = [known[w] for w in words]
+            text = b"".join([t for _, t in found])
+            out.append((",".join([i for i, _ in found]), text[1:] if text.startswith(b" ") else text))
+        return out
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,9 +198,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     def work(batch: pa.RecordBatch):
         model = load(model_path)
-        texts = [t or "" for t in column(batch, "text").to_pylist()]
-        for lo in range(0, len(texts), TEXTS):
-            cuts = [cut(t) for t in texts[lo : lo + TEXTS]]
+        for lo in range(0, batch.num_rows, TEXTS):
+            cuts = [cut(t or "") for t in column(batch, "text").slice(lo, TEXTS).to_pylist()]
             fresh = list(set().union(*cuts))
             ids = dict(zip(fresh, model.encode_words(fresh)))
             yield {"doc_id": column(batch, "doc_id").slice(lo, len(cuts)), "ids": [[i for w in c for i in ids[w]] for c in cuts]}
@@ -229,14 +223,11 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model_path)
         for batch in batches:
-            texts = [t or "" for t in column(batch, "text").to_pylist()]
-            for lo in range(0, len(texts), TEXTS):
-                cuts = [cut(t) for t in texts[lo : lo + TEXTS]]
-                encoder.learn(cuts)
-                ids = [encoder.ids(c) for c in cuts]
+            for lo in range(0, batch.num_rows, TEXTS):
+                found = encoder.encode([t or "" for t in column(batch, "text").slice(lo, TEXTS).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
-                    [column(batch, "doc_id").slice(lo, len(cuts)), pa.array([i.count(",") + 1 if i else 0 for i in ids], pa.int64()),
-                     pa.array([hashlib.sha256(i.encode()).hexdigest() for i in ids]), pa.array([hashlib.sha256(encoder.text(c)).hexdigest() for c in cuts])],
+                    [column(batch, "doc_id").slice(lo, len(found)), pa.array([i.count(",") + 1 if i else 0 for i, _ in found], pa.int64()),
+                     pa.array([hashlib.sha256(i.encode()).hexdigest() for i, _ in found]), pa.array([hashlib.sha256(t).hexdigest() for _, t in found])],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
