@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firnline.llm import fingerprint, html, licenses, lm, packing, pieces, quality, search, toxicity
+from firnline.llm import fingerprint, html, jaccard, licenses, lm, packing, pieces, quality, search, toxicity
 from firnline.llm.common import remainder, table
 
 
@@ -46,6 +46,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, labels, ~held_out).withColumn("held_out", held_out)
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
@@ -73,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sentencepiece": op3_sentencepiece,
         "op4_document_fingerprints": op4_document_fingerprints,
         "op5_quality_classifier": op5_quality_classifier,
+        "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
         "op7_html_text": op7_html_text,
         "op8_lm_scores": op8_lm_scores,
         "op9_toxicity": op9_toxicity,
