@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from firnline.session import shared_dir
 
@@ -37,7 +38,7 @@ def crc(data: bytes) -> int:
 
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """Apply work to each Arrow batch of df; each dict of columns that it yields becomes a batch of the result."""
-    kinds = df.sparkSession.createDataFrame([], schema).schema
+    kinds = T.StructType.fromDDL(schema)
     arrow = _arrow_schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,6 +56,20 @@ def record_batch(columns: dict, arrow: pa.Schema) -> pa.RecordBatch:
     )
 
 
+def add_column(df: DataFrame, text_col: str, work: Callable[[pa.Array], Iterator[tuple]], name: str, kind: str) -> DataFrame:
+    """df with one more column; work yields runs of texts (with their place and length) and their values."""
+    schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL(f"`{name}` {kind}").fields])
+    arrow = _arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, values in work(column(batch, text_col)):
+                rows = batch.slice(part.first, len(part))
+                yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(rows.columns, arrow)), pa.array(values).cast(arrow[-1].type)], schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
 def _arrow_schema(kinds) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -70,10 +85,6 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def segment_sums(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(doc, weights=values, minlength=n)
-
-
 class WordCache:
     """Values of words, made for many new words at once. Of the words met most lately about `size` are remembered."""
 

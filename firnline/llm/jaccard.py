@@ -83,13 +83,13 @@ def set_key(shingles: np.ndarray) -> int:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, n, key) of documents, and rows (token, times) of shingles frequent in a batch."""
+    """Rows (id, mark, n, key) of documents, and rows (token, times) of shingles frequent in a batch."""
     for batch in batches:
-        ids = column(batch, "id").to_numpy()
+        ids, marks = column(batch, "id"), column(batch, "mark")
         for part in flat.slices(column(batch, "text")):
             sets = shingle_sets(part)
             keys = [set_key(s) for s in sets]
@@ -99,12 +99,12 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             token, times = token[often].view(np.int64), times[often]
             none = pa.nulls(len(sets), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[part.first : part.first + len(part)]), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), none, none],
-                names=["id", "n", "key", "token", "times"],
+                [ids.slice(part.first, len(part)), marks.slice(part.first, len(part)), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), none, none],
+                names=["id", "mark", "n", "key", "token", "times"],
             )
             if len(token):
                 none = pa.nulls(len(token), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, pa.array(token), pa.array(times)], names=["id", "n", "key", "token", "times"])
+                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(token), pa.array(times)], names=["id", "mark", "n", "key", "token", "times"])
 
 
 def _leading(ranked: tuple[np.ndarray, np.ndarray], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,11 +198,11 @@ def _salted(rows: DataFrame, group: str) -> DataFrame:
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
+    """(doc_id, mark, n_shingles, component_id) of every row; mark is the hash of its text."""
     spark = docs.sparkSession
     texts = _texts(docs, id_col, text_col)
-    seen = stored(texts.mapInArrow(_first_pass, "id long, n long, key long, token long, times long"), "jaccard-sets")
-    rows = seen.filter(F.col("token").isNull()).select("id", "n", "key")
+    seen = stored(texts.mapInArrow(_first_pass, "id long, mark long, n long, key long, token long, times long"), "jaccard-sets")
+    rows = seen.filter(F.col("token").isNull()).select("id", "mark", "n", "key")
     nodes = rows.filter(F.col("n") > 0).groupBy("key").agg(F.min("id").alias("id"), F.min("n").alias("n"))
     nodes = stored(nodes, "jaccard-nodes")
 
@@ -275,10 +275,25 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     # Documents without shingles have no node.
     result = rows.withColumn("key", F.when(F.col("n") > 0, F.col("key"))).join(by_node, "key", "left")
     return result.select(
-        F.nullif("id", F.lit(_NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("least", "id"), F.lit(_NO_ID)).alias("component_id")
+        F.nullif("id", F.lit(_NO_ID)).alias("doc_id"), "mark", F.col("n").alias("n_shingles"), F.nullif(F.coalesce("least", "id"), F.lit(_NO_ID)).alias("component_id")
     )
 
 
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each component, that of the smallest id; rows without an id stay, and one of rows that repeat id and text."""
+    found = stored(linked(docs, id_col, text_col).filter(F.col("doc_id").isNotNull()), "jaccard-result")
+    names = {"id": "__id", "mark": "__mark"}
+    marked = docs.withColumns({names["id"]: F.col(id_col).cast("long"), names["mark"]: F.xxhash64(text_col)})
+    by = list(names.values())
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    left = marked.join(gone, by, "left_anti")
+    repeated = found.groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).count().filter(F.col("count") > 1).drop("count")
+    if not repeated.isEmpty():
+        again = left.join(repeated, by, "left_semi").dropDuplicates(by)
+        left = left.join(repeated, by, "left_anti").unionByName(again)
+    return left.drop(*by)
+
+
 def _may_link(c: Column, low: Column, high: Column, other_low: Column, other_high: Column) -> Column:
     """Whether sets of low..high shingles can link with sets of other_low..other_high, if they share at most c leading shingles.
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firnline.llm import flat
-from firnline.llm.common import column, map_batches, stored
+from firnline.llm.common import add_column, column, stored
 
 BITS = 18
 #: Most labelled rows that the model is fitted on, and passes over them.
@@ -120,20 +120,26 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str, id_col:
     return weights
 
 
-def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) for every row of docs."""
+def with_scores(docs: DataFrame, weights: np.ndarray, name: str, text_col: str = "text") -> DataFrame:
+    """All rows and columns of docs, and a column of that name with their scores."""
     bits = (len(weights) - 1).bit_length() - 1
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
-    def work(batch: pa.RecordBatch):
-        ids, w = column(batch, "doc_id"), sent.value
-        for part in flat.slices(column(batch, "text")):
+    def work(text: pa.Array) -> Iterator[tuple[flat.Flat, np.ndarray]]:
+        w = sent.value
+        for part in flat.slices(text):
             bucket, doc = features(part, bits)
             n = np.bincount(doc, minlength=len(part))
             total = np.bincount(doc, weights=w[bucket], minlength=len(part)) / np.sqrt(np.maximum(n, 1)) + w[-1]
-            yield {"doc_id": ids.slice(part.first, len(part)), "score": 1 / (1 + np.exp(-np.clip(total, -35, 35)))}
+            yield part, 1 / (1 + np.exp(-np.clip(total, -35, 35)))
+
+    return add_column(docs, text_col, work, name, "double")
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), work, "doc_id long, score double")
+
+def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score) for every row of docs."""
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return with_scores(given, weights, "score").drop("text")
 
 
 def classify(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

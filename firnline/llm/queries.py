@@ -47,7 +47,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.linked(table(spark, sf_dir, "documents"))
+    return jaccard.linked(table(spark, sf_dir, "documents")).drop("mark")
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -82,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_scores": op8_lm_scores,
         "op9_toxicity": op9_toxicity,
         "op10_license_scan": op10_license_scan,
+        "pipeline": pipeline,
     }
 
 

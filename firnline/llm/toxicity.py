@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firnline.llm import flat
-from firnline.llm.common import column, map_batches, stored
+from firnline.llm.common import add_column, column, stored
 from firnline.llm.quality import sample
 
 BITS = 18
@@ -222,16 +222,16 @@ def _by_turn(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield batch.slice(lo, hi - lo)
 
 
-def tag(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score, spans) for every row; spans are (start, end) in code points and the largest marginal, in their order."""
+def with_tags(docs: DataFrame, model: np.ndarray, name: str, text_col: str = "text") -> DataFrame:
+    """All rows and columns of docs, and a column of that name: score, and spans as (start, end) in code points and the largest marginal, in their order."""
     bits = (len(model) - N_REST).bit_length() - 1
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def work(batch: pa.RecordBatch):
-        ids, m = column(batch, "doc_id"), sent.value
+    def work(text: pa.Array) -> Iterator[tuple[flat.Flat, pa.Array]]:
+        m = sent.value
         weights, (bias, start, t01, t10, t11), coefficients = m[:-N_REST], m[-N_REST:-4].astype(float), m[-4:].astype(float)
         trans = np.array([[0.0, t01], [t10, t11]])
-        for part in flat.slices(column(batch, "text")):
+        for part in flat.slices(text):
             words, found, _ = features(part, bits)
             emission = weights[found].sum(axis=0, dtype=float) + bias
             marginal = forward_backward(emission, words.doc, trans, start)[2]
@@ -251,14 +251,16 @@ def tag(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: st
                 names=["start", "end", "score"],
             )
             offsets = np.searchsorted(where, np.arange(len(part) + 1)).astype(np.int32)
-            yield {
-                "doc_id": ids.slice(part.first, len(part)),
-                "score": 1 / (1 + np.exp(-np.clip(total, -35, 35))),
-                "spans": pa.ListArray.from_arrays(pa.array(offsets), spans),
-            }
+            score = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
+            yield part, pa.StructArray.from_arrays([pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), spans)], names=["score", "spans"])
+
+    return add_column(docs, text_col, work, name, "struct<score: double, spans: array<struct<start: long, end: long, score: double>>>")
 
+
+def tag(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score, spans) for every row."""
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_batches(given, work, "doc_id long, score double, spans array<struct<start: long, end: long, score: double>>")
+    return with_tags(given, model, "tags").select("doc_id", "tags.*")
 
 
 def classify(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
