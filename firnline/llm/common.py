@@ -98,8 +98,10 @@ class WordCache:
         fresh = words.difference(self.known)
         if len(self.known) + len(fresh) > self.size:
             self.known, self.before, fresh = {}, self.known, words
-        met = fresh & self.before.keys()
-        self.known.update((w, self.before[w]) for w in met)
-        new = list(fresh.difference(met))
+        if self.before:
+            met = self.before.keys() & fresh
+            self.known.update((w, self.before[w]) for w in met)
+            fresh = fresh - met
+        new = list(fresh)
         self.known.update(zip(new, self.make(new)))
         return self.known

@@ -26,7 +26,7 @@ from firnline.llm.common import WordCache, column, crc, spread, stored
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 19
 #: Pieces that are ranked in one bucket of a length, about.
 BUCKET_ROWS = 200_000
 
@@ -36,6 +36,8 @@ _PLAIN = re.compile("[^\t\n\x0b\x0c\r -~À-ÖØ-öø-ÿ¡¿«»]|<\\|")
 # Where the tokenizer's splitting rule cuts such a chunk, contractions aside: around digits, and between letters and marks.
 _LETTERS = "a-zß-öø-ÿ"
 _CUTS = re.compile(f"(?<=[{_LETTERS}])(?=[^\\s{_LETTERS}])|(?<=[^\\s{_LETTERS}])(?=[{_LETTERS}])|(?<=[0-9])(?=\\S)|(?<=\\S)(?=[0-9])")
+# Marks side by side, which are one word, or an apostrophe.
+_MARKS = re.compile(f"[^\\s{_LETTERS}0-9][^\\s{_LETTERS}0-9]|'")
 #: Chunks that the tokenizer gets as one text, and texts that are worked on together.
 CHUNKS = 2000
 TEXTS = 512
@@ -66,25 +68,42 @@ class ChunkEncoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
-        out = dict(zip(some, self._whole(some))) if (some := [c for c in chunks if "'" in c]) else {}
-        plain = [c for c in chunks if c not in out]
-        for lo in range(0, len(plain), CHUNKS):
-            some = plain[lo : lo + CHUNKS]
-            text = _CUTS.sub(" ", "\n".join(some))
-            words = np.array([line.count(" ") + 1 for line in text.split("\n")])
+        out: list[bytes] = []
+        for lo in range(0, len(chunks), CHUNKS):
+            some = chunks[lo : lo + CHUNKS]
+            text = "\n".join(some)
+            marked = [i for i, c in enumerate(some) if "'" in c] if "'" in text else []
+            if marked:
+                text = "\n".join(["" if "'" in c else c for c in some])
+            text = _CUTS.sub(" ", text)
+            # Words so far at the end of each chunk.
+            codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+            upto = np.cumsum((codes == 10) | (codes == 32))[np.append(np.flatnonzero(codes == 10), len(codes) - 1)] + np.append(np.zeros(len(some) - 1, dtype=int), 1) if len(codes) else np.zeros(len(some), dtype=int)
+            upto = upto - np.cumsum(np.isin(np.arange(len(some)), marked))
             [found] = self.words.encode_batch_fast([text.translate(self.letters)], add_special_tokens=False)
             ids = np.array(found.ids, dtype="<u4")
-            ends = np.flatnonzero(self.ends[ids])
-            if len(ends) != words.sum():
-                out.update(zip(some, self._whole(some)))
+            ends = np.append(-1, np.flatnonzero(self.ends[ids]))
+            if len(ends) - 1 != upto[-1]:
+                out += self._whole(some)
                 continue
-            cuts = [0, *(4 * (ends[np.cumsum(words) - 1] + 1)).tolist()]
+            cuts = (4 * (ends[upto] + 1)).tolist()
             data = ids.tobytes()
-            out.update(zip(some, map(data.__getitem__, map(slice, cuts, cuts[1:]))))
-        return [out[c] for c in chunks]
+            made = list(map(data.__getitem__, map(slice, [0, *cuts], cuts)))
+            if marked:
+                for i, ids_of in zip(marked, self._whole([some[i] for i in marked])):
+                    made[i] = ids_of
+            out += made
+        return out
+
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        """Chunks of a text. Single marks are words of their own for the tokenizer: cut off, they leave fewer different chunks."""
+        if not _MARKS.search(text):
+            text = text.replace(",", " ,").replace(".", " .")
+        return text.split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [None if _PLAIN.search(t) else t.lower().split() for t in texts]
+        plain = [None if _PLAIN.search(t) else self._cut(t.lower()) for t in texts]
         known = self.cache.of(set().union(*(c for c in plain if c is not None)))
         whole = iter(self._whole([t for t, c in zip(texts, plain) if c is None]))
         return [next(whole) if c is None else b"".join(map(known.__getitem__, c)) for c in plain]
