@@ -405,14 +405,14 @@ WITH w AS (SELECT row, col, max(CASE WHEN var = 'vx' THEN value END) AS vx, max(
   max(CASE WHEN var = 'erry' THEN value END) AS ey, max(CASE WHEN var = 'HFmin' THEN value END) AS lo, max(CASE WHEN var = 'HFmax' THEN value END) AS hi
   FROM {raster_cells_fx} WHERE value <> -9999 AND var IN ('vx', 'vy', 'errx', 'erry', 'HFmin', 'HFmax') GROUP BY row, col),
 f AS (SELECT 'speed_error' AS field, CASE WHEN sqrt(vx * vx + vy * vy) > 0 THEN sqrt(pow(vx * ex, 2) + pow(vy * ey, 2)) / sqrt(vx * vx + vy * vy) ELSE sqrt(ex * ex + ey * ey) END AS v
-  FROM w WHERE row % 2 = 0 AND col % 2 = 0 UNION ALL SELECT 'heat_flow_band', (hi - lo) * 1000 FROM w)
+  FROM w UNION ALL SELECT 'heat_flow_band', (hi - lo) * 1000 FROM w)
 SELECT field, count(*) AS n, round(min(v), 6) AS lowest, round(median(v), 6) AS med, round(quantile_cont(v, 0.99), 6) AS p99, round(quantile_cont(v, 0.995), 6) AS clip, round(max(v), 6) AS highest FROM f WHERE v IS NOT NULL GROUP BY field
 """)
 def d31(c):
     names = {"vx": "vx", "vy": "vy", "errx": "ex", "erry": "ey", "HFmin": "lo", "HFmax": "hi"}
     w = c("raster_cells_fx").where(F.col("var").isin(list(names)) & (F.col("value") != -9999.0)).groupBy("row", "col").agg(
         *[F.max(F.when(F.col("var") == v, F.col("value"))).alias(n) for v, n in names.items()])
-    err = F.when((F.col("row") % 2 == 0) & (F.col("col") % 2 == 0), radio.speed_error(F.col("vx"), F.col("vy"), F.col("ex"), F.col("ey")))
+    err = radio.speed_error(F.col("vx"), F.col("vy"), F.col("ex"), F.col("ey"))
     f = w.select(F.explode(F.array(F.struct(F.lit("speed_error").alias("field"), err.alias("v")), F.struct(F.lit("heat_flow_band").alias("field"), ((F.col("hi") - F.col("lo")) * 1000).alias("v")))).alias("e")).select("e.*")
     f = f.where("v is not null")
     q = od.exact_quantiles(f, ["field"], "v", {"med": 0.5, "p99": 0.99, "clip": 0.995}, extra={"lowest": F.min("v"), "highest": F.max("v")})

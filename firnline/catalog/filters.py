@@ -169,7 +169,7 @@ SELECT w.trace_id, w.site_id, round(log10(r_surf) - avg(log10(r_surf)) OVER (PAR
 FROM w JOIN lev ON w.site_id = lev.site_id WHERE n_lev >= 2
 """)
 def b18(c):
-    d = exponent.prepare(c("sites_fx"), "r_surf", "surface_power_dB", gate=True, clip_levels=c("clip_fx"), min_headroom=4.0)
+    d = exponent.prepare(c("sites_fx"), "r_surf", "surface_power_dB", exponent.GATED, exponent.with_clip_levels(c("clip_fx"), 4.0))
     return rounded(d.select("trace_id", "site_id", "clogR", "cP"))
 
 

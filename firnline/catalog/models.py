@@ -231,7 +231,7 @@ def i14(c):
 
 
 def surface_channel(c, **kw):
-    return exponent.prepare(c("sites_fx"), "r_surf", "surface_power_dB", gate=True, clip_levels=c("clip_fx"), **kw)
+    return exponent.prepare(c("sites_fx"), "r_surf", "surface_power_dB", exponent.GATED, exponent.with_clip_levels(c("clip_fx")), **kw)
 
 
 @query("i15_range_exponent")
@@ -241,13 +241,13 @@ def i15(c):
 
 @query("i16_noise_pedestal_exponent")
 def i16(c):
-    d = exponent.prepare(c("sites_fx"), "r_bed_refr", "bed_power_dB", noise_floor=True)
-    return exponent.fit_rows(c.spark, [("bed", exponent.fit_exponent(d, "bed_power_dB", censor=True, max_iter=15), {})])
+    d = exponent.prepare(c("sites_fx"), "r_bed_refr", "bed_power_dB", exponent.with_noise_floor)
+    return exponent.fit_rows(c.spark, [("bed", exponent.fit_exponent(d, "bed_power_dB", censor=True), {})])
 
 
 @query("i17_clip_level_exponent")
 def i17(c):
-    return exponent.fit_rows(c.spark, [("surface clipped", exponent.fit_exponent(surface_channel(c), "surface_power_dB", saturate=True, max_iter=15), {})])
+    return exponent.fit_rows(c.spark, [("surface clipped", exponent.fit_exponent(surface_channel(c), "surface_power_dB", saturate=True), {})])
 
 
 @query("i18_site_selection_robustness")
@@ -256,8 +256,8 @@ def i18(c):
     t = c("sites_fx")
     seasons = t.select("site_id", "season").distinct().groupBy("site_id").agg(F.count(F.lit(1)).alias("n_seasons"))
     t = t.join(seasons, "site_id")
-    surface = exponent.prepare(t, "r_surf", "surface_power_dB", gate=True, clip_levels=c("clip_fx"), min_headroom=4.0)
-    bed = exponent.prepare(t, "r_bed_refr", "bed_power_dB", noise_floor=True)
+    surface = exponent.prepare(t, "r_surf", "surface_power_dB", exponent.GATED, exponent.with_clip_levels(c("clip_fx"), 4.0))
+    bed = exponent.prepare(t, "r_bed_refr", "bed_power_dB", exponent.with_noise_floor)
     chan = exponent.as_fit_rows(surface, "surface_power_dB").withColumn("channel", F.lit("surface")).unionByName(
         exponent.as_fit_rows(bed, "bed_power_dB", censor=True).withColumn("channel", F.lit("bed")))
     combos = [(scope, lev, ch) for scope in ("within", "cross") for lev in (2, 3) for ch in ("surface", "bed")]
@@ -266,7 +266,7 @@ def i18(c):
     rows = chan.withColumn("fit_id", F.explode(F.filter(F.array(*ids), lambda v: v.isNotNull())))
     rows = cut_lineage(rows)
     mixed = {r["fit_id"]: r["n"] for r in rows.where("n_seasons > 1").groupBy("fit_id", "site_id").agg(F.lit(1).alias("o")).groupBy("fit_id").agg(F.count("o").alias("n")).collect()}
-    fits = exponent.fit_exponents(rows, season_fits=[i for i, (s, _, _) in enumerate(combos) if s == "cross"], max_iter=15)
+    fits = exponent.fit_exponents(rows, season_fits=[i for i, (s, _, _) in enumerate(combos) if s == "cross"])
     return exponent.fit_rows(c.spark, [
         (f"{ch} / {scope} / >={lev}", fits[i], {"channel": ch, "scope": scope, "min_levels": lev, "n_seasons_mixed_sites": int(mixed.get(i, 0))})
         for i, (scope, lev, ch) in enumerate(combos) if i in fits])
@@ -280,6 +280,6 @@ def i19(c):
 
 @query("i20_fit_summary")
 def i20(c):
-    f = exponent.fit_exponent(surface_channel(c), "surface_power_dB", max_iter=6)
+    f = exponent.fit_exponent(surface_channel(c), "surface_power_dB")
     row = f.row("surface")
     return c.spark.createDataFrame([(k, None if v is None else str(v)) for k, v in row.items()], "field string, value string")

@@ -54,7 +54,7 @@ WITH {PREPARED} SELECT w.trace_id, round(log10(r_surf), 6) AS logR, round(log10(
 FROM w JOIN lev ON w.site_id = lev.site_id WHERE n_lev >= 2
 """)
 def e03(c):
-    d = exponent.prepare(c("sites_fx"), "r_surf", "surface_power_dB", gate=True, clip_levels=c("clip_fx"), min_headroom=4.0)
+    d = exponent.prepare(c("sites_fx"), "r_surf", "surface_power_dB", exponent.GATED, exponent.with_clip_levels(c("clip_fx"), 4.0))
     return rounded(d.select("trace_id", "logR", "clogR"))
 
 
@@ -89,11 +89,13 @@ def e06(c):
     return stats.every_kth_draw(d, "draw", d.count())
 
 
-@query("e07_fold_assignment")
+@query("e07_fold_assignment", """
+WITH n AS (SELECT cell_id, count(*) AS n_obs FROM {split_fx} WHERE required_surface_snr_dB IS NOT NULL AND NOT is_test GROUP BY cell_id),
+o AS (SELECT cell_id, sum(n_obs) OVER (ORDER BY md5(concat('42:', cell_id)), cell_id) - n_obs AS before, sum(n_obs) OVER () AS total FROM n)
+SELECT cell_id, CAST(floor(before * 5e0 / total) AS INTEGER) AS fold FROM o
+""")
 def e07(c):
-    counts = {r["cell_id"]: r["n_obs"] for r in split.cell_counts(c("split_fx")).collect()}
-    folds = split.assign_folds(counts, 5, 42)
-    return c.spark.createDataFrame(sorted(folds.items()), "cell_id string, fold int")
+    return split.assign_folds(split.cell_counts(c("split_fx")), 5, 42)
 
 
 @query("e08_site_partition")

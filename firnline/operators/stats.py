@@ -88,28 +88,28 @@ def detection_curve(df: DataFrame, keys: Sequence[str], margin: str, detected: C
         .select(*keys, "bin", "n", F.when(F.col("n") >= min_n, F.col("_f")).alias("fraction")))
 
 
-def gaussian_kernels(spark, sd_levels: int, sd_scale: float, width: float) -> DataFrame:
-    """(sd, offset, weight) for every quantised sd: normalised over offsets up to four sigma."""
-    s = F.col("id") / F.lit(sd_scale * width)
+def gaussian_kernels(levels: DataFrame, sd_scale: float, width: float) -> DataFrame:
+    """(sd, offset, weight) for every quantised sd of levels (column sd): normalised over offsets up to four sigma."""
+    s = F.col("sd") / F.lit(sd_scale * width)
     half = F.greatest(F.lit(1), F.ceil(4 * s)).cast("int")
-    k = spark.range(sd_levels).select(F.col("id").cast("int").alias("sd"), s.alias("s"), F.explode(F.sequence(-half, half)).alias("offset"))
+    k = levels.select("sd", s.alias("s"), F.explode(F.sequence(-half, half)).alias("offset"))
     w = F.when(F.col("s") > 0, F.exp(-0.5 * F.col("offset") * F.col("offset") / (F.col("s") * F.col("s")))).otherwise((F.col("offset") == 0).cast("double"))
     k = k.select("sd", "offset", w.alias("w"))
     return k.join(k.groupBy("sd").agg(F.sum("w").alias("t")), "sd").select("sd", "offset", (F.col("w") / F.col("t")).alias("weight"))
 
 
 def mixture_histogram(cells: DataFrame, keys: Sequence[str], value: str, sd: str, sd_scale: float, lo: float, hi: float,
-                      nbins: int, sd_levels: int = 256) -> DataFrame:
+                      nbins: int) -> DataFrame:
     """Area-weighted mixture of every cell's normal, on fixed bins.
 
-    ``sd`` is a quantised integer below ``sd_levels``, so cells collapse to
-    (group, sd, bin) counts first; each count is then spread over the kernel of
-    its sd.  Mass beyond the axis is dropped.
+    ``sd`` is a quantised integer, so cells collapse to (group, sd, bin) counts
+    first; each count is then spread over the kernel of its sd.  A cell without
+    sd is a point mass.  Mass beyond the axis is dropped.
     """
     keys = list(keys)
-    counts = cells.groupBy(*keys, F.col(sd).cast("int").alias("sd"), clamped_bin(F.col(value), lo, hi, nbins).alias("_b")).agg(
+    counts = cells.groupBy(*keys, F.coalesce(F.col(sd).cast("int"), F.lit(0)).alias("sd"), clamped_bin(F.col(value), lo, hi, nbins).alias("_b")).agg(
         F.count(F.lit(1)).alias("_c"))
-    k = gaussian_kernels(cells.sparkSession, sd_levels, sd_scale, (hi - lo) / nbins)
+    k = gaussian_kernels(counts.select("sd").distinct(), sd_scale, (hi - lo) / nbins)
     spread = counts.join(k, "sd").select(*keys, (F.col("_b") + F.col("offset")).alias("bin"), (F.col("_c") * F.col("weight")).alias("_m"))
     return spread.where((F.col("bin") >= 0) & (F.col("bin") < nbins)).groupBy(*keys, "bin").agg(F.sum("_m").alias("mass"))
 

@@ -11,7 +11,7 @@ generated code of a step is compiled once.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,28 +32,45 @@ MIN_MARGIN_DB = 10.0
 MIN_HEADROOM_DB = 10.0
 
 
-def prepare(t: DataFrame, range_col: str, power: str, *, margin: bool = False, gate: bool = False, low_only: bool = False,
-            noise_floor: bool = False, clip_levels: DataFrame | None = None, min_headroom: float | None = None,
-            min_levels: int = 2) -> DataFrame:
-    """Valid traces of one channel; sites must still have enough height levels afterwards."""
-    d = t.where(F.col(power).isNotNull() & F.coalesce(F.col(range_col) > 0, F.lit(False)))
-    if low_only:
-        d = d.where(F.col("regime") == "low")
-    if gate:
-        d = d.where(F.coalesce("surface_gate_ok", F.lit(False)))
-    if margin:
-        d = d.where(F.coalesce(F.col("bed_margin_dB") > MIN_MARGIN_DB, F.lit(False)))
-    if noise_floor:
-        d = d.where(F.col("bed_margin_dB").isNotNull()).withColumn("noise_dB", F.col(power) - F.col("bed_margin_dB"))
-    d = d.withColumns({"is_high": (F.col("regime") == "high").cast("double"), "segment": labels.segment(F.col("frame_id"))})
-    if clip_levels is not None:
-        d = d.join(clip_levels.select("season", "segment", "S_dB").where("S_dB is not null"), ["season", "segment"])
-        if min_headroom is not None:
-            d = d.where(F.col("S_dB") - F.col(power) >= min_headroom)
-    ok = site_levels(d, ["site_id"], "frame_id", "r_surf", "levels").where(F.col("levels") >= min_levels)
-    d = d.drop("levels").join(ok, "site_id").withColumn("logR", F.log10(range_col))
-    means = d.groupBy("site_id").agg(F.avg("logR").alias("_mr"), F.avg(power).alias("_mp"))
-    return d.join(means, "site_id").withColumns({"clogR": F.col("logR") - F.col("_mr"), "cP": F.col(power) - F.col("_mp")}).drop("_mr", "_mp")
+Step = Callable[[DataFrame, str], DataFrame]
+
+
+def only(condition: str) -> Step:
+    """Rows for which the condition is known to hold."""
+    return lambda d, power: d.where(condition)
+
+
+LOW_REGIME: Step = only("regime = 'low'")
+GATED: Step = only("surface_gate_ok")
+WITH_MARGIN: Step = only(f"bed_margin_dB > {MIN_MARGIN_DB}D")
+
+
+def with_noise_floor(d: DataFrame, power: str) -> DataFrame:
+    """The floor that the margin is counted from; rows without a margin go."""
+    return d.withColumn("noise_dB", F.col(power) - F.col("bed_margin_dB")).where("noise_dB IS NOT NULL")
+
+
+def with_clip_levels(levels: DataFrame, min_headroom: float | None = None) -> Step:
+    """The clip level of the row's season and segment; rows without one, or nearer to it than the headroom, go."""
+    known = levels.select("season", "segment", "S_dB").where("S_dB IS NOT NULL")
+
+    def step(d: DataFrame, power: str) -> DataFrame:
+        j = d.withColumn("segment", labels.segment(F.col("frame_id"))).join(known, ["season", "segment"])
+        return j if min_headroom is None else j.where(F.col("S_dB") - F.col(power) >= min_headroom)
+
+    return step
+
+
+def prepare(t: DataFrame, range_col: str, power: str, *steps: Step, min_levels: int = 2) -> DataFrame:
+    """Rows of one channel with a known power and range after the given steps, at sites that still have enough height levels;
+    log range and power are centred per site."""
+    for step in (only(f"{range_col} > 0 AND {power} IS NOT NULL"), *steps):
+        t = step(t, power)
+    t = t.withColumns({"logR": F.log10(range_col), "is_high": (F.col("regime") == "high").cast("double"), "segment": labels.segment(F.col("frame_id"))})
+    rich = site_levels(t, ["site_id"], "frame_id", "r_surf", "levels").where(F.col("levels") >= min_levels)
+    centre = t.groupBy("site_id").agg(F.avg("logR").alias("_r"), F.avg(power).alias("_p"))
+    joined = t.drop("levels").join(rich.join(centre, "site_id"), "site_id")
+    return joined.withColumns({"clogR": F.col("logR") - F.col("_r"), "cP": F.col(power) - F.col("_p")}).drop("_r", "_p")
 
 
 def near_clip_by_season(t: DataFrame, power: str, clip_levels: DataFrame, min_headroom: float, top: int = 3) -> DataFrame:
@@ -106,7 +123,7 @@ def as_fit_rows(d: DataFrame, power: str, *, censor: bool = False, saturate: boo
 
 
 def fit_exponent(d: DataFrame, power: str, *, censor: bool = False, saturate: bool = False, season_offset: bool = False,
-                 likelihood: str = "studentt", max_iter: int = 40, tol: float = 1e-3) -> ExponentFit:
+                 likelihood: str = "studentt", max_iter: int = 200, tol: float = 1e-3) -> ExponentFit:
     """One channel on its own."""
     rows = as_fit_rows(d, power, censor=censor, saturate=saturate)
     return fit_exponents(rows, season_fits=[0] if season_offset else [], likelihood=likelihood, max_iter=max_iter, tol=tol)[0]
@@ -160,7 +177,7 @@ def _step_sums(rows: DataFrame, sites: DataFrame, params: DataFrame, names: Sequ
     return cut_lineage(per.withColumns({"A": c("Saa") + lam, "ra": c("Sar") + lam * (c("mean_P") - c("alpha"))}))
 
 
-def fit_exponents(rows: DataFrame, *, season_fits: Sequence[int] = (), likelihood: str = "studentt", max_iter: int = 40,
+def fit_exponents(rows: DataFrame, *, season_fits: Sequence[int] = (), likelihood: str = "studentt", max_iter: int = 200,
                   tol: float = 1e-3) -> dict[int, ExponentFit]:
     """Every fit of the table in lockstep: fit_id -> result."""
     spark = rows.sparkSession
@@ -200,12 +217,16 @@ def fit_exponents(rows: DataFrame, *, season_fits: Sequence[int] = (), likelihoo
         return out
 
     rounds = 0
+    # A fit whose steps turn back on themselves takes shorter ones.
+    pace, before = dict.fromkeys(facts, 1.0), {f: np.zeros(k) for f in facts}
     for rounds in range(1, max_iter + 1):
         per = _step_sums(rows, sites, small(theta, "t", True), names, seasons, likelihood, observed=False)
         moved, steps = 0.0, {}
         for f, (H, grad, r) in reduced(per).items():
             steps[f] = np.linalg.solve(H, grad)
-            theta[f] = theta[f] + steps[f]
+            pace[f] = max(pace[f] / 2, 1 / 64) if steps[f] @ before[f] < 0 else min(1.0, 1.2 * pace[f])
+            before[f] = steps[f]
+            theta[f] = theta[f] + pace[f] * steps[f]
             # Residuals around a fitted intercept are too small by its own uncertainty.
             new = math.sqrt(max((r["S2"] + sigma[f] ** 2 * r["V"]) / max(r["N2"], 1), 1e-8))
             moved = max(moved, float(np.abs(steps[f]).max()), abs(new - sigma[f]))
@@ -213,10 +234,13 @@ def fit_exponents(rows: DataFrame, *, season_fits: Sequence[int] = (), likelihoo
         shift = F.col("ra")
         for i in range(k):
             shift = shift - F.col(f"Saq{i}") * F.col(f"d{i}")
+        paces = F.create_map(*[F.lit(v) for f, p in pace.items() for v in (f, p)])
         sites = per.join(F.broadcast(small(steps, "d")), "fit_id").select(
-            "fit_id", "site_id", (F.col("alpha") + shift / F.col("A")).alias("alpha"), "mean_P")
+            "fit_id", "site_id", (F.col("alpha") + F.element_at(paces, F.col("fit_id")) * shift / F.col("A")).alias("alpha"), "mean_P")
         if moved < tol:
             break
+    else:
+        raise RuntimeError(f"the fit still moved by {moved:.2g} in step {max_iter}")
     last = reduced(_step_sums(rows, sites, small(theta, "t", True), names, seasons, likelihood, observed=True))
     out = {}
     for f, (H, _, _) in last.items():

@@ -34,20 +34,18 @@ def manifest(stage: str, section: dict, input_ids: list[str], **extra) -> dict:
     }
 
 
-def ancestry(lineage: DataFrame, max_depth: int = 16) -> DataFrame:
-    """All (run_id, ancestor, depth) of a (run_id, input_id) table, shortest depth per pair.
+def ancestry(lineage: DataFrame) -> DataFrame:
+    """All (run_id, ancestor, depth) of a (run_id, input_id) table, shortest depth per pair, however deep the chains are.
 
-    The frontier is checkpointed every round; stages form short chains, so few
-    rounds run.
+    A round extends the pairs found in the one before; pairs that are known already
+    are left out, so chains that run in a circle end too.
     """
-    edges = lineage.select("run_id", "input_id").distinct()
-    step = edges.select("run_id", F.col("input_id").alias("ancestor"), F.lit(1).alias("depth"))
-    found = step
-    for depth in range(2, max_depth + 1):
-        nxt = step.alias("s").join(edges.alias("e"), F.col("s.ancestor") == F.col("e.run_id")).select(
-            F.col("s.run_id"), F.col("e.input_id").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
-        step = cut_lineage(nxt)
-        if step.isEmpty():
-            break
-        found = found.unionByName(step)
-    return found.groupBy("run_id", "ancestor").agg(F.min("depth").alias("depth"))
+    edges = cut_lineage(lineage.select("run_id", "input_id").distinct())
+    latest = edges.select("run_id", F.col("input_id").alias("ancestor"), F.lit(1).alias("depth"))
+    found = latest
+    while not latest.isEmpty():
+        further = latest.join(edges.withColumnRenamed("run_id", "ancestor"), "ancestor").select(
+            "run_id", F.col("input_id").alias("ancestor"), (F.col("depth") + 1).alias("depth")).distinct()
+        latest = cut_lineage(further.join(found, ["run_id", "ancestor"], "left_anti"))
+        found = cut_lineage(found.unionByName(latest))
+    return found

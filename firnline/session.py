@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, name: str = "firnline") -> SparkSession:
+def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, name: str = "firnline", checkpoint_dir: str | None = None) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own session."""
     return (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -19,6 +19,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, name: str
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", checkpoint_dir or tempfile.mkdtemp(prefix="firnline-"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -30,20 +32,16 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, name: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    A temporary folder is created only where the setting is missing on a local
-    master; on a cluster a missing setting is an error, because a machine-local
-    folder would be lost with its machine.
+    Where the setting is missing on a local master, one folder is made and the
+    session's setting names it from then on; on a cluster a missing setting is an
+    error, because a machine-local folder would be lost with its machine.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        base = named
-    else:
-        base = getattr(spark, "_firnline_shared", None)
-        if base is None:
-            if not spark.sparkContext.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-            base = tempfile.mkdtemp(prefix="firnline-")
-            spark._firnline_shared = base
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        base = tempfile.mkdtemp(prefix="firnline-")
+        spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return base

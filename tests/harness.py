@@ -48,7 +48,8 @@ def kinds(df: pd.DataFrame) -> dict[str, str]:
 
 def compare(spark, con, name: str, fn, sql: str | None, sf_dir: str) -> dict:
     t = time.time()
-    got = fn(spark, sf_dir).toPandas()
+    df = fn(spark, sf_dir)
+    got = df.toPandas()
     sec = time.time() - t
     out = {"name": name, "sec": round(sec, 2), "rows": len(got), "ok": True, "why": ""}
     if sql is None:
@@ -63,9 +64,11 @@ def compare(spark, con, name: str, fn, sql: str | None, sf_dir: str) -> dict:
     if bad:
         return {**out, "ok": False, "why": f"{len(bad)} rows differ, e.g. {bad[0]} {sorted(got.columns)}"}
     ka, kb = kinds(got), kinds(want)
+    # Integers with missing values come as floats from one side and as nullable integers from the other.
+    ka |= {c: {"int": "Int32", "bigint": "Int64"}[t] for c, t in df.dtypes if t in ("int", "bigint") and kb[c].startswith("Int")}
     diff = {c: (ka[c], kb[c]) for c in ka if ka[c] != kb[c]}
     if diff:
-        out["why"] = f"dtypes {diff}"
+        return {**out, "ok": False, "why": f"dtypes {diff}"}
     if not len(got):
         out["why"] += " EMPTY"
     return out
