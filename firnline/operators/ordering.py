@@ -1,11 +1,9 @@
-"""Exact order statistics and ranks without sorting a large group in one task.
-
-Group sizes are counted first.  Groups below ``GROUP_ROWS`` use the built-in
-exact percentile, one shuffle.  Larger ones are spread out: values are counted per (keys, bucket, value).  The bucket is a monotone
-function of the value with a bounded number of steps, so the counts of a hot
-group are spread over many tasks, copies of one value collapse into one row,
-and the running total over a group's buckets stays small.  Only the buckets
-that hold a wanted rank are looked at again.
+"""Exact order statistics and ranks without sorting a large group in one task, one way for groups of any size.
+
+A group is cut into buckets by splitters taken from its own values (an approximate percentile sketch, pre-aggregated in the
+tasks). Values are counted per (keys, bucket, value), so a hot group is spread over many tasks and copies of one value
+collapse into one row. Only the buckets that hold a wanted rank are looked at again. Splitters only decide how evenly
+the work is spread; the counts that the result comes from are exact.
 """
 
 from __future__ import annotations
@@ -14,15 +12,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-STEPS_PER_E_FOLD = 512
+BUCKETS = 128
 SALTS = 32
-GROUP_ROWS = 1_000_000
 
 
-def order_bucket(value: Column) -> Column:
-    """Monotone coarse key: about 0.2 % resolution at any magnitude, bounded in count."""
-    v = value.cast("double")
-    return (F.floor(F.log1p(F.abs(v)) * STEPS_PER_E_FOLD) * F.signum(v)).cast("long")
+def bucketed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with ``_b``, a monotone bucket of ``_v`` in its group that holds about 1 of ``BUCKETS`` parts of the different places."""
+    shares = [i / BUCKETS for i in range(1, BUCKETS)]
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("_v", shares, 20 * BUCKETS).alias("_cuts"))
+    cuts = cuts.withColumn("_cuts", F.array_distinct("_cuts"))
+    with_cuts = _join_keys(rows, cuts, keys)
+    return with_cuts.withColumn("_b", F.size(F.filter("_cuts", lambda x: x <= F.col("_v"))).cast("long")).drop("_cuts")
 
 
 def _totals(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -36,68 +36,40 @@ def _totals(counts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _join_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join on keys where NULL meets NULL; the right-hand keys are dropped."""
+def _join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys where NULL meets NULL; the right-hand keys are dropped."""
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     cond = None
     for k in keys:
         eq = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
         cond = eq if cond is None else cond & eq
-    return left.join(renamed, cond).drop(*[f"_r_{k}" for k in keys])
+    return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], *,
-                    extra: dict[str, Column] | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
+                    extra: dict[str, Column] | None = None) -> DataFrame:
     """Linear-interpolation quantiles per group: one output column per entry of ``probs``.
 
     NULL values are ignored; groups without any value do not appear.  The
     result also carries ``n_values``, the number of values per group, and the
     ``extra`` aggregates of the same groups.
     """
-    return quantiles_of(df, keys, {n: (value, p) for n, p in probs.items()}, extra=extra, group_rows=group_rows)
+    return quantiles_of(df, keys, {n: (value, p) for n, p in probs.items()}, extra=extra)
 
 
 def quantiles_of(df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[str, float]], *,
-                 extra: dict[str, Column] | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Quantiles of several columns of the same groups; ``n_values`` counts the first column.
-
-    Sizes are checked with one small aggregation while the plan is built.
-    """
+                 extra: dict[str, Column] | None = None) -> DataFrame:
+    """Quantiles of several columns of the same groups; ``n_values`` counts the first column."""
     keys, extra = list(keys), extra or {}
-    first = next(iter(specs.values()))[0]
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0]
-    if largest is None or largest <= group_rows:
-        return _quantiles_in_group(df, keys, first, specs, extra)
     if not keys:
-        return _quantiles_spread(df.withColumn("_all", F.lit(0)), ["_all"], first, specs, extra).drop("_all")
-    hot = sizes.where(F.col("_n") > group_rows).drop("_n").withColumnsRenamed({k: f"_h_{k}" for k in keys})
-    same = None
-    for k in keys:
-        eq = F.col(k).eqNullSafe(F.col(f"_h_{k}"))
-        same = eq if same is None else same & eq
-    return _quantiles_in_group(df.join(hot, same, "left_anti"), keys, first, specs, extra).unionByName(
-        _quantiles_spread(df.join(hot, same, "left_semi"), keys, first, specs, extra))
-
-
-def _quantiles_in_group(df: DataFrame, keys: list[str], first: str, specs: dict, extra: dict[str, Column]) -> DataFrame:
-    by_column: dict[str, list[str]] = {}
-    for n, (v, _) in specs.items():
-        by_column.setdefault(v, []).append(n)
-    aggs = [F.percentile(F.col(v).cast("double"), F.array(*[F.lit(float(specs[n][1])) for n in ns])).alias(f"_q{i}")
-            for i, (v, ns) in enumerate(by_column.items())]
-    out = df.groupBy(*keys).agg(F.count(first).alias("n_values"), *aggs, *[c.alias(n) for n, c in extra.items()])
-    at = {n: F.col(f"_q{i}")[k] for i, ns in enumerate(by_column.values()) for k, n in enumerate(ns)}
-    return out.where("n_values > 0").select(*keys, "n_values", *[at[n].alias(n) for n in specs], *extra)
-
-
-def _quantiles_spread(df: DataFrame, keys: list[str], first: str, specs: dict, extra: dict[str, Column]) -> DataFrame:
+        return quantiles_of(df.withColumn("_all", F.lit(0)), ["_all"], specs, extra=extra).drop("_all")
+    first = next(iter(specs.values()))[0]
     out = None
     for v in dict.fromkeys(v for v, _ in specs.values()):
         rows = df.where(F.col(v).isNotNull()).select(*keys, F.col(v).cast("double").alias("_v"))
         part = _spread(rows, keys, {n: p for n, (c, p) in specs.items() if c == v})
         part = part if v == first else part.drop("n_values")
-        out = part if out is None else _join_keys(out, part, keys)
+        out = part if out is None else _join_keys(out, part, keys, "left")
     if extra:
         more = df.groupBy(*keys).agg(*[c.alias(n) for n, c in extra.items()])
         out = _join_keys(out, more, keys)
@@ -105,8 +77,8 @@ def _quantiles_spread(df: DataFrame, keys: list[str], first: str, specs: dict, e
 
 
 def _spread(rows: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
-    """The same for groups of any size: counts per bucket, then only the buckets that matter."""
-    counts = rows.withColumn("_b", order_bucket(F.col("_v"))).groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    """Counts per bucket, then only the buckets that matter."""
+    counts = bucketed(rows, keys).groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_n"))
     totals = _totals(counts, keys)
     wanted = None
     for p in probs.values():
@@ -146,11 +118,10 @@ def with_rank(df: DataFrame, keys: Sequence[str], value: str, tie: str, rank: st
     rows is split over salts, so no task numbers a whole group.
     """
     keys = list(keys)
-    rows = df.where(F.col(value).isNotNull()).withColumns({
-        "_v": F.col(value).cast("double"),
-        "_b": order_bucket(F.col(value)),
-        "_s": F.pmod(F.xxhash64(tie), F.lit(SALTS)),
-    })
+    if not keys:
+        return with_rank(df.withColumn("_all", F.lit(0)), ["_all"], value, tie, rank, total).drop("_all")
+    rows = bucketed(df.where(F.col(value).isNotNull()).withColumns({
+        "_v": F.col(value).cast("double"), "_s": F.pmod(F.xxhash64(tie), F.lit(SALTS))}), keys)
     counts = rows.groupBy(*keys, "_b", "_v", "_s").agg(F.count(F.lit(1)).alias("_n"))
     totals = _totals(counts, keys).drop("_nb")
     on = [*keys, "_b"]

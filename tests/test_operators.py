@@ -75,14 +75,13 @@ def test_near_plans_have_no_product_joins(spark, sf_dir):
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan, name
 
 
-@pytest.mark.parametrize("limit", [10**9, 50, 0])
-def test_quantiles_same_on_every_path(spark, limit):
+def test_quantiles_with_hot_values_and_null_keys(spark):
     rng = np.random.default_rng(5)
     pdf = pd.DataFrame({"g": np.where(rng.random(900) < 0.7, "hot", np.where(rng.random(900) < 0.5, "a", None)), "v": np.round(rng.normal(20, 30, 900), 1)})
     pdf.loc[::17, "v"] = np.nan
     pdf.loc[:200, "v"] = 4.5
     df = missing_as_null(spark.createDataFrame(pdf))
-    got = ordering.exact_quantiles(df, ["g"], "v", {"lo": 0.01, "q": 0.25, "m": 0.5, "hi": 0.995}, extra={"top": F.max("v")}, group_rows=limit).toPandas()
+    got = ordering.exact_quantiles(df, ["g"], "v", {"lo": 0.01, "q": 0.25, "m": 0.5, "hi": 0.995}, extra={"top": F.max("v")}).toPandas()
     for _, r in got.iterrows():
         part = pdf[pdf["g"].isna() if r["g"] is None else pdf["g"] == r["g"]]["v"].dropna()
         assert r["n_values"] == len(part) and r["top"] == part.max()
@@ -90,6 +89,14 @@ def test_quantiles_same_on_every_path(spark, limit):
     assert len(got) == 3
 
 
+def test_quantiles_of_a_narrow_range_are_spread(spark):
+    v = np.random.default_rng(3).random(100_000) * 1e-3
+    rows = spark.createDataFrame(pd.DataFrame({"g": "a", "_v": v}))
+    got = ordering.exact_quantiles(rows, ["g"], "_v", {"p": 0.37, "m": 0.5}).first()
+    assert np.allclose([got.p, got.m], np.quantile(v, [0.37, 0.5]), rtol=1e-12)
+    assert ordering.bucketed(rows, ["g"]).groupBy("_b").count().agg(F.max("count")).first()[0] < 3 * len(v) / ordering.BUCKETS
+
+
 def test_ranks_are_distinct_and_ordered(spark):
     pdf = pd.DataFrame({"id": range(300), "g": ["a"] * 200 + ["b"] * 100, "v": [1.0] * 120 + list(np.linspace(-3, 5, 180))})
     got = ordering.with_rank(spark.createDataFrame(pdf), ["g"], "v", "id").toPandas().sort_values(["g", "rank"])
@@ -190,6 +197,12 @@ def test_normalizer_constant_column(spark):
     assert (r["a__mean"], r["a__sd"], r["b__sd"]) == (1.0, 1.0, 1.0)
 
 
+def test_mixture_histogram_keeps_wide_and_unknown_cells(spark):
+    df = spark.createDataFrame([("a", 50.0, 300), ("b", 50.0, None)], "k string, snr double, sd int")
+    got = stats.mixture_histogram(df, ["k"], "snr", "sd", 40.0, 0.0, 100.0, 160).groupBy("k").agg(F.sum("mass").alias("m")).collect()
+    assert {r.k: round(r.m, 4) for r in got} == {"a": 1.0, "b": 1.0}
+
+
 def test_mixture_histogram_keeps_mass(spark):
     df = spark.createDataFrame([("g", float(v), 8) for v in range(40, 60)], "k string, snr double, sd int")
     got = stats.mixture_histogram(df, ["k"], "snr", "sd", 4.0, 0.0, 100.0, 160).toPandas()
