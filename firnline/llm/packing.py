@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -109,13 +110,19 @@ class ChunkEncoder:
         return [next(whole) if c is None else b"".join(map(known.__getitem__, c)) for c in plain]
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> ChunkEncoder:
+    """One for all tasks of a Python worker, so that words stay known."""
+    return ChunkEncoder(path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, row, piece, start, length, ids_crc32) of every piece of every text; row tells repeated ids apart."""
     end = np.array([end_id], dtype="<u4").tobytes()
     full = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path)
         for batch in batches:
             for lo in range(0, batch.num_rows, TEXTS):
                 texts = [t or "" for t in column(batch, "text").slice(lo, TEXTS).to_pylist()]
