@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from firnline.llm.common import WordCache, column, map_batches
 
-CACHE_WORDS = 1 << 17
+CACHE_WORDS = 1 << 18
 #: Texts whose words are encoded together.
 TEXTS = 512
 BLANK = "▁"
@@ -193,6 +193,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a Python worker, so that words stay known."""
+    return Encoder(path)
+
+
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): the ids of every text."""
 
@@ -221,7 +227,7 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     """Per row: doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model_path)
+        encoder = _encoder(model_path)
         for batch in batches:
             for lo in range(0, batch.num_rows, TEXTS):
                 found = encoder.encode([t or "" for t in column(batch, "text").slice(lo, TEXTS).to_pylist()])
