@@ -8,7 +8,7 @@ exact: no link between different texts is lost.
    frequent, then by hash. The order only decides how much work there is.
 2. If two sets link, at least LEVEL shingles stand in the leading part of both: the first n - ceil(3n/4) + LEVEL of n in that order. Only these are
    shuffled, and those that a single node has are dropped.
-3. Nodes are partitioned into groups of similar ones: with the node that leads most of their shared shingles, in blocks of bounded
+3. Nodes are partitioned into groups of similar ones: with the smallest node of most of their shared shingles, in blocks of bounded
    size. All pairs of a block are verified at once in one task, and components are formed.
 4. The token-group matrix has a row for each leading shingle and each group that still meets nodes of another component in it. Its
    counts bound how much a block of queries can share with a group; only pairs of blocks that reach the bound are opened, and all their pairs
@@ -225,13 +225,11 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     shared = leading.repartition("token").dropDuplicates(["token", "key"]).withColumn("least", F.min("key").over(by_token))
     shared = stored(shared.withColumn("most", F.max("key").over(by_token)).filter(F.col("least") < F.col("most")).select("token", "key", F.col("least").alias("leader")), "jaccard-shared")
 
-    # Similar nodes: a node's group is that of the leader with which it shares most, if it may link with it.
+    # Similar nodes: a node's group is that of the leader with which it shares most. They need not link: a group only has to be compact.
     counts = shared.groupBy("key", "leader").agg(F.count(F.lit(1)).alias("c"))
     enough = counts.groupBy("key").agg(F.sum("c").alias("c")).join(nodes, "key").filter(F.col("c") >= F.least(F.lit(LEVEL), overlap_needed(F.col("n"))))
     enough = stored(enough.select("key", "id", "n"), "jaccard-open")
-    sizes = enough.select(F.col("key").alias("leader"), F.col("n").alias("m"))
-    similar = counts.join(enough.select("key", "n"), "key").join(sizes, "leader").filter(_may_link(F.col("c"), F.col("n"), F.col("n"), F.col("m"), F.col("m")))
-    best = similar.groupBy("key").agg(F.max(F.struct("c", F.negative(F.xxhash64("leader")).alias("h"), "leader")).alias("b"))
+    best = counts.groupBy("key").agg(F.max(F.struct("c", F.bitwise_not("leader").alias("h"), "leader")).alias("b"))
     members = enough.join(best, "key", "left").select("key", "n", F.coalesce("b.leader", "key").alias("label"))
     members = stored(_salted(members, "label"), "jaccard-members")
 
