@@ -149,7 +149,8 @@ def _fit(rows: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     n_docs = np.zeros(2)
     seen: set[int] = set()
     marks = None
-    seen_evidence, seen_labels = [np.zeros((0, 4))], [np.zeros(0)]
+    # One text without evidence that is not toxic keeps the score below 0.5 where nothing is known.
+    seen_evidence, seen_labels = [np.array([[1.0, 0.0, 0.0, 0.0]])], [np.zeros(1)]
     for batch in rows:
         labels, turns = np.array(column(batch, "label").to_pylist()), np.array(column(batch, "turn").to_pylist())
         for part in flat.slices(column(batch, "text"), STEP_BYTES):
@@ -207,6 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
     # At most 2**bits + N_REST rows of two numbers.
     found = ordered.mapInArrow(lambda it: _fit(_by_turn(it), bits), "bucket long, weight double").toPandas()
     model = np.zeros((1 << bits) + N_REST, dtype=np.float32)
+    model[-4] = -1.0
     bucket, weight = found["bucket"].to_numpy(), found["weight"].to_numpy()
     model[np.where(bucket >= 0, bucket, (1 << bits) - 1 - bucket)] = weight
     return model
