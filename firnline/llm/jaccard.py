@@ -4,15 +4,15 @@ A document is its set of distinct word 5-grams (shingles); two link when the sha
 exact: no link between different texts is lost.
 
 1. Equal sets are one node, whatever the number of copies. A first pass over the texts hashes the sets, and adds up shingles that
-   are frequent in a batch; the most frequent ones (a bounded number) give the order in which shingles are ranked: rare before
+   several texts of a window share; the most frequent ones (a bounded number) give the order in which shingles are ranked: rare before
    frequent, then by hash. The order only decides how much work there is.
 2. If two sets link, at least LEVEL shingles stand in the leading part of both: the first n - ceil(3n/4) + LEVEL of n in that order. Only these are
    shuffled, and those that a single node has are dropped.
 3. Nodes are partitioned into groups of similar ones: with the smallest node of most of their shared shingles, in blocks of bounded
    size. All pairs of a block are verified at once in one task, and components are formed.
 4. The token-group matrix has a row for each leading shingle and each group that still meets nodes of another component in it. Its
-   counts bound how much a block of queries can share with a group; only pairs of blocks that reach the bound are opened, and all their pairs
-   are verified. Groups that are in one component already are never opened against each other.
+   counts bound how much a block of queries can share with a group; only pairs of blocks that reach the bound are opened, and there only queries
+   that reach it for themselves are verified against each other. Groups that are in one component already are never opened against each other.
 5. The components of all links give every document the smallest id it is connected with.
 
 Sets are made again from the texts of the nodes that need them; only those are kept in the shared folder.
@@ -38,8 +38,10 @@ from firnline.llm.graph import components
 WORDS = 5
 #: Shingles of the leading parts that a linked pair shares at least.
 LEVEL = 3
-#: A shingle in so many texts of a batch is counted over the corpus; of those counted, the most frequent are ranked by frequency.
-BATCH_TIMES = 3
+#: A shingle that so many of the different texts of a window have is counted over the corpus; of those counted, the most frequent are
+#: ranked by frequency. A window is a run of texts of a task with about so many shingles.
+WINDOW_TIMES = 2
+WINDOW_SHINGLES = 1 << 22
 MOST_RANKED = 1 << 20
 LEAST_TIMES = 16
 #: Nodes, and shingles of all its nodes, that a block may have, unless it is a single node.
@@ -88,23 +90,34 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (id, mark, n, key) of documents, and rows (token, times) of shingles frequent in a batch."""
+    window, keys_seen, size = [], set(), 0
+
+    def frequent() -> pa.RecordBatch:
+        token, times = np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *window]), return_counts=True)
+        often = times >= WINDOW_TIMES
+        token, times = token[often].view(np.int64), times[often]
+        none = pa.nulls(len(token), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(token), pa.array(times)], names=["id", "mark", "n", "key", "token", "times"])
+
     for batch in batches:
         ids, marks = column(batch, "id"), column(batch, "mark")
         for part in flat.slices(column(batch, "text")):
             sets = shingle_sets(part)
             keys = [set_key(s) for s in sets]
-            different = {k: s for k, s in zip(keys, sets) if len(s)}
-            token, times = np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *different.values()]), return_counts=True)
-            often = times >= BATCH_TIMES
-            token, times = token[often].view(np.int64), times[often]
+            for key, s in zip(keys, sets):
+                if key not in keys_seen:
+                    keys_seen.add(key)
+                    window.append(s)
+                    size += len(s)
             none = pa.nulls(len(sets), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(part.first, len(part)), marks.slice(part.first, len(part)), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), none, none],
                 names=["id", "mark", "n", "key", "token", "times"],
             )
-            if len(token):
-                none = pa.nulls(len(token), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(token), pa.array(times)], names=["id", "mark", "n", "key", "token", "times"])
+            if size > WINDOW_SHINGLES:
+                yield frequent()
+                window, keys_seen, size = [], set(), 0
+    yield frequent()
 
 
 def _leading(ranked: tuple[np.ndarray, np.ndarray], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,8 +275,13 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     # Single nodes of a group that was in several blocks meet inside their new block too.
     inside = facts.filter(~F.col("joined") & (F.col("size") > 1) & (F.col("old_salts") > 1)).select(F.col("block").alias("block_a"), F.col("block").alias("block_b"))
     opened = stored(opened.union(inside).withColumn("pair", F.xxhash64("block_a", "block_b")), "jaccard-opened")
-    sides = opened.select("pair", F.col("block_a").alias("block")).union(opened.select("pair", F.col("block_b"))).distinct()
-    facing = sides.join(left.select("block", "key", "component"), "block").join(sets, "key").select("pair", "key", "component", "shingles")
+    # Of an opened pair only the queries go on that can link with the group on the other side.
+    sides = opened.select("pair", F.col("block_a").alias("block"), F.col("block_b").alias("other")).union(opened.select("pair", "block_b", "block_a")).distinct()
+    asked = meet.join(left.select("key", "n", "component", "block"), "key").join(sides, "block").join(
+        matrix.select("token", F.col("block").alias("other"), "low", "high"), ["token", "other"])
+    asked = asked.groupBy("pair", "key", "n", "component", "low", "high").agg(F.count(F.lit(1)).alias("c"))
+    asked = asked.filter(_may_link(F.col("c"), F.col("n"), F.col("n"), F.col("low"), F.col("high")))
+    facing = asked.select("pair", "key", "component").distinct().join(sets, "key").select("pair", "key", "component", "shingles")
     more = stored(facing.groupBy("pair").applyInArrow(_verify, "a long, b long"), "jaccard-edges")
 
     final = components(edges.union(more))
