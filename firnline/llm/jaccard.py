@@ -15,7 +15,7 @@ exact: no link between different texts is lost.
    that reach it for themselves are verified against each other. Groups that are in one component already are never opened against each other.
 5. The components of all links give every document the smallest id it is connected with.
 
-Sets are made again from the texts of the nodes that need them; only those are kept in the shared folder.
+Sets are made again from the texts of the nodes that need them, and go straight to the task of their block.
 
 Defined cases: NULL and empty texts, and texts without words, have the empty set and link with nothing; equal rows link with each other
 unless empty; a repeated id is handled per row; a NULL id is larger than any other, and a component of only NULL ids has a NULL component_id;
@@ -41,7 +41,9 @@ LEVEL = 3
 #: A shingle that so many of the different texts of a window have is counted over the corpus; of those counted, the most frequent are
 #: ranked by frequency. A window is a run of texts of a task with about so many shingles.
 WINDOW_TIMES = 2
-WINDOW_SHINGLES = 1 << 22
+WINDOW_SHINGLES = 1 << 21
+#: Bytes of text that are worked on at a time.
+SLICE_BYTES = 1 << 20
 MOST_RANKED = 1 << 20
 LEAST_TIMES = 16
 #: Nodes, and shingles of all its nodes, that a block may have, unless it is a single node.
@@ -101,7 +103,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         ids, marks = column(batch, "id"), column(batch, "mark")
-        for part in flat.slices(column(batch, "text")):
+        for part in flat.slices(column(batch, "text"), SLICE_BYTES):
             sets = shingle_sets(part)
             keys = [set_key(s) for s in sets]
             for key, s in zip(keys, sets):
@@ -124,7 +126,7 @@ def _leading(ranked: tuple[np.ndarray, np.ndarray], batches: Iterator[pa.RecordB
     """(token, key) of the leading parts; a token is the rank of its shingle: class of frequency, then hash."""
     known, classes = ranked
     for batch in batches:
-        for part in flat.slices(column(batch, "text")):
+        for part in flat.slices(column(batch, "text"), SLICE_BYTES):
             different = {set_key(s): s for s in shingle_sets(part) if len(s)}
             tokens, keys = [], []
             for key, s in different.items():
@@ -139,16 +141,25 @@ def _leading(ranked: tuple[np.ndarray, np.ndarray], batches: Iterator[pa.RecordB
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys))], names=["token", "key"])
 
 
-def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, shingles) of the texts whose key is the one asked for; a key that is met twice in a batch is given once."""
+def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(group, salt, key, component, shingles) of (group, salt, key, component, text); rows that repeat in a batch once."""
+    names = ["group", "salt", "key", "component"]
     for batch in batches:
-        asked = column(batch, "key").to_pylist()
-        for part in flat.slices(column(batch, "text")):
-            found = {}
-            for want, s in zip(asked[part.first :], shingle_sets(part)):
-                if set_key(s) == want:
-                    found[want] = s.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["key", "shingles"])
+        places = zip(*(column(batch, c).to_pylist() for c in names[:3]))
+        batch = batch.take(pa.array(sorted({p: i for i, p in enumerate(places)}.values()), pa.int64()))
+        for part in flat.slices(column(batch, "text"), SLICE_BYTES):
+            sets = pa.array([s.tobytes() for s in shingle_sets(part)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(column(batch, c).slice(part.first, len(part)) for c in names), sets], names=[*names, "shingles"])
+
+
+def _verified(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Links that join components, of all pairs of nodes wanted together: (group, salt, key, component, id, mark).
+
+    id and mark name the row whose text has the node's set; rows that repeat both are the same text.
+    """
+    sets = texts.join(wanted, ["id", "mark"]).select("group", "salt", "key", "component", "text").mapInArrow(
+        _with_sets, "group long, salt int, key long, component long, shingles binary")
+    return sets.groupBy("group", "salt").applyInArrow(_verify, "a long, b long")
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -216,7 +227,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     texts = _texts(docs, id_col, text_col)
     seen = stored(texts.mapInArrow(_first_pass, "id long, mark long, n long, key long, token long, times long"), "jaccard-sets")
     rows = seen.filter(F.col("token").isNull()).select("id", "mark", "n", "key")
-    nodes = rows.filter(F.col("n") > 0).groupBy("key").agg(F.min("id").alias("id"), F.min("n").alias("n"))
+    nodes = rows.filter(F.col("n") > 0).groupBy("key").agg(F.min(F.struct("id", "mark")).alias("row"), F.min("n").alias("n")).select("key", "row.*", "n")
     nodes = stored(nodes, "jaccard-nodes")
 
     # Classes of frequency: powers of two, from the first at which at most MOST_RANKED shingles are left.
@@ -241,19 +252,17 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     # Similar nodes: a node's group is that of the leader with which it shares most. They need not link: a group only has to be compact.
     counts = shared.groupBy("key", "leader").agg(F.count(F.lit(1)).alias("c"))
     enough = counts.groupBy("key").agg(F.sum("c").alias("c")).join(nodes, "key").filter(F.col("c") >= F.least(F.lit(LEVEL), overlap_needed(F.col("n"))))
-    enough = stored(enough.select("key", "id", "n"), "jaccard-open")
+    enough = stored(enough.select("key", "id", "mark", "n"), "jaccard-open")
     best = counts.groupBy("key").agg(F.max(F.struct("c", F.bitwise_not("leader").alias("h"), "leader")).alias("b"))
     members = enough.join(best, "key", "left").select("key", "n", F.coalesce("b.leader", "key").alias("label"))
     members = stored(_salted(members, "label"), "jaccard-members")
 
-    # The texts of these nodes, by the id of one of their documents.
-    sets = stored(texts.join(enough.select("id", "key"), "id").select("key", "text").mapInArrow(_sets_of, "key long, shingles binary").dropDuplicates(["key"]), "jaccard-shingles")
-
     # Pairs inside the blocks; the leader is in each block of its group, so that blocks can meet over it.
     own = members.filter(F.col("nodes") > 1).select("key", "label", "salt")
     guests = members.filter(F.col("salts") > 1).select("label", "salts").distinct().select(F.col("label").alias("key"), "label", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    blocks = own.union(guests).distinct().join(sets, "key").select("label", "salt", "key", F.col("key").alias("component"), "shingles")
-    edges = stored(blocks.groupBy("label", "salt").applyInArrow(_verify, "a long, b long"), "jaccard-edges")
+    named_rows = enough.select("key", "id", "mark")
+    blocks = own.union(guests).distinct().join(named_rows, "key").select(F.col("label").alias("group"), "salt", "key", F.col("key").alias("component"), "id", "mark")
+    edges = stored(_verified(texts, blocks), "jaccard-edges")
     parts = stored(components(edges), "jaccard-parts")
 
     # What is open: shingles in which nodes of different components meet.
@@ -277,12 +286,12 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     opened = stored(opened.union(inside).withColumn("pair", F.xxhash64("block_a", "block_b")), "jaccard-opened")
     # Of an opened pair only the queries go on that can link with the group on the other side.
     sides = opened.select("pair", F.col("block_a").alias("block"), F.col("block_b").alias("other")).union(opened.select("pair", "block_b", "block_a")).distinct()
-    asked = meet.join(left.select("key", "n", "component", "block"), "key").join(sides, "block").join(
-        matrix.select("token", F.col("block").alias("other"), "low", "high"), ["token", "other"])
-    asked = asked.groupBy("pair", "key", "n", "component", "low", "high").agg(F.count(F.lit(1)).alias("c"))
-    asked = asked.filter(_may_link(F.col("c"), F.col("n"), F.col("n"), F.col("low"), F.col("high")))
-    facing = asked.select("pair", "key", "component").distinct().join(sets, "key").select("pair", "key", "component", "shingles")
-    more = stored(facing.groupBy("pair").applyInArrow(_verify, "a long, b long"), "jaccard-edges")
+    queries = left.select("key", "n", "component", "block").join(meet.groupBy("key").agg(F.collect_list("token").alias("tokens")), "key")
+    groups = matrix.groupBy(F.col("block").alias("other")).agg(F.collect_list("token").alias("union"), F.first("low").alias("low"), F.first("high").alias("high"))
+    asked = sides.join(groups, "other").join(queries, "block")
+    asked = asked.filter(_may_link(F.size(F.array_intersect("tokens", "union")), F.col("n"), F.col("n"), F.col("low"), F.col("high")))
+    facing = asked.select(F.col("pair").alias("group"), F.lit(0).alias("salt"), "key", "component").distinct().join(named_rows, "key")
+    more = stored(_verified(texts, facing), "jaccard-edges")
 
     final = components(edges.union(more))
     named = nodes.join(final.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
