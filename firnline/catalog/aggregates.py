@@ -9,6 +9,7 @@ from firnline.catalog.joins import CELL_REGION, CROSS, EXT, FOOT, SAME, SIDE, ST
 from firnline.catalog.registry import query
 from firnline.catalog.scans import rounded
 from firnline.functions import geo, labels, radio
+from firnline.functions.normal import hash_normal, hash_normal_sql
 from firnline.operators import ordering as od, qc, stats
 from firnline.operators.levels import site_levels
 from firnline.plans import exponent, linkbudget as lb, split
@@ -606,14 +607,18 @@ def mode_scores(rows):
     return f.groupBy("mode").agg(F.avg("ra").alias("rmse_all"), F.avg("ba").alias("bias_all"), F.avg("rc").alias("rmse_censored"), F.avg("bc").alias("bias_censored"))
 
 
-@query("d46_observed_vs_predictive")
+@query("d46_observed_vs_predictive", f"""
+WITH {SCORED}, r AS (SELECT ice_sheet, 'predictive' AS series, pred_mean + {hash_normal_sql("grid_id", 0)} * pred_std AS v FROM sc WHERE pred_mean IS NOT NULL
+  UNION ALL SELECT ice_sheet, 'observed', required_surface_snr_dB FROM sc WHERE pred_mean IS NOT NULL)
+SELECT ice_sheet, series, count(*) AS n_values, round(quantile_cont(v, 0.1), 6) AS p10, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.9), 6) AS p90,
+  round(CASE WHEN series = 'observed' THEN stddev_samp(v) ELSE stddev_pop(v) END, 6) AS sd FROM r WHERE v IS NOT NULL GROUP BY ice_sheet, series
+""")
 def d46(c):
-    from firnline.functions.normal import hash_normal
     s = truth_rows(c).where("pred_mean is not null")
     ppc = F.col("pred_mean") + hash_normal(F.col("grid_id"), 0) * F.col("pred_std")
     rows = s.select("ice_sheet", F.explode(F.array(F.struct(F.lit("predictive").alias("series"), ppc.alias("v")), F.struct(F.lit("observed").alias("series"), F.col(TARGET).alias("v")))).alias("e")).select("ice_sheet", "e.*").where("v is not null")
     sd = F.when(F.first("series") == "observed", F.stddev_samp("v")).otherwise(F.stddev_pop("v"))
-    return od.exact_quantiles(rows, ["ice_sheet", "series"], "v", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, extra={"sd": sd})
+    return rounded(od.exact_quantiles(rows, ["ice_sheet", "series"], "v", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, extra={"sd": sd}))
 
 
 @query("d47_window_summary", """

@@ -19,7 +19,6 @@ from firnline.plans.design import Design
 from firnline.schema import FEATURES, TARGET, THICKNESS
 from firnline.session import cut_lineage
 
-FOLDS = [0, 1, 2, 3, 4]
 LINEAR = Design("linear", indicators=("is_greenland", "is_floating"))
 ATTEN = Design("atten_refl", indicators=("is_greenland", "is_floating"))
 DETECT = ft.Detection()
@@ -29,10 +28,13 @@ def split_rows(c):
     return with_indicators(c("split_fx"))
 
 
+def fold_ids(c):
+    """The folds that the split has."""
+    return sorted(r[0] for r in c("split_fx").where("fold >= 0").select("fold").distinct().collect())
+
+
 def train_rows(c, design=LINEAR, extra=()):
-    rows = ft.training_rows(split_rows(c), design, min_thickness_m=100.0, extra=extra)
-    nd = F.col("is_nondetect")
-    return rows.where(~nd | F.col("C_dB").isNotNull())
+    return ft.training_rows(split_rows(c), design, min_thickness_m=100.0, extra=extra)
 
 
 @query("i01_gram_of_linear_model", """
@@ -76,7 +78,7 @@ def i04(c):
 
 @query("i05_blocked_cv")
 def i05(c):
-    _, metrics = ft.cross_validate(split_rows(c), LINEAR, folds=FOLDS, censor_below=10.0, min_thickness_m=100.0)
+    _, metrics = ft.cross_validate(split_rows(c), LINEAR, folds=fold_ids(c), censor_below=10.0, min_thickness_m=100.0)
     return metrics
 
 
@@ -131,7 +133,7 @@ def i08(c):
 @query("i09_out_of_fold_residuals")
 def i09(c):
     rows = train_rows(c).where(~F.col("is_nondetect"))
-    fits = ft.fit_all(rows, LINEAR, ft.cv_fits(FOLDS, 10.0, final=False))
+    fits = ft.fit_all(rows, LINEAR, ft.cv_fits(fold_ids(c), 10.0, final=False))
     obs = split_rows(c).where(qc.usable(TARGET, FEATURES, 100.0, THICKNESS) & (F.col("fold") >= 0))
     p = ft.held_out_predictions(obs, LINEAR, fits, ["grid_id", "fold", "collection", "institution", TARGET])
     return p.select("grid_id", "fold", "collection", "institution", (F.col("pred_mean") - F.col(TARGET)).alias("resid"))
@@ -145,7 +147,7 @@ def i10(c):
     """Every threshold's folds and final fit in one series of jobs."""
     one = Design("linear", features=(THICKNESS, "era5_t2m_mean_K"), indicators=("is_greenland",))
     rows = train_rows(c, one).where(~F.col("is_nondetect"))
-    fits = [f for i, t in enumerate(THRESHOLDS) for f in ft.cv_fits(FOLDS, t, start=1000 * (i + 1))]
+    fits = [f for i, t in enumerate(THRESHOLDS) for f in ft.cv_fits(fold_ids(c), t, start=1000 * (i + 1))]
     done = ft.fit_all(rows, one, fits)
     s = split_rows(c).where(qc.usable(None, FEATURES, 100.0, THICKNESS))
     keep = ["fold", TARGET, "obs_margin_dB", "ice_sheet", "latitude"]
@@ -174,8 +176,8 @@ def i11(c):
     s = with_ceiling(truth_set(split_rows(c)))
     s = cut_lineage(s.withColumn("cut", F.col("censored").cast("double")))
     rows = ft.training_rows(s, LINEAR, extra=["y_obs", "y_true", "cut"])
-    naive = [ft.Fit(k, held_out=k, target="y_obs") for k in FOLDS]
-    tobit = [ft.Fit(100 + k, held_out=k, target="y_obs", censor_flag="cut") for k in FOLDS]
+    naive = [ft.Fit(k, held_out=k, target="y_obs") for k in fold_ids(c)]
+    tobit = [ft.Fit(100 + k, held_out=k, target="y_obs", censor_flag="cut") for k in fold_ids(c)]
     fits = ft.fit_all(rows, LINEAR, naive + tobit)
     p = ft.held_out_predictions(s, LINEAR, fits, ["fold", "y_true", "censored"])
     p = p.select("fold", "censored", F.when(F.col("fit_id") < 100, "naive").otherwise("tobit").alias("mode"), (F.col("pred_mean") - F.col("y_true")).alias("e"))
@@ -187,7 +189,7 @@ def i12(c):
     out = None
     for name, inter in (("shared slopes", ()), ("sheet-specific slopes", ("is_greenland",))):
         d = Design("linear", indicators=("is_greenland",), interactions=inter)
-        _, m = ft.cross_validate(split_rows(c), d, folds=FOLDS, min_thickness_m=100.0)
+        _, m = ft.cross_validate(split_rows(c), d, folds=fold_ids(c), min_thickness_m=100.0)
         row = m.agg(*[v.alias(k) for k, v in stats.pooled("rmse_dB", "n_points").items()], F.sum("n_points").alias("n_points")).withColumns(
             {"run": F.lit(name), "n_terms": F.lit(len(d.term_names()))})
         out = row if out is None else out.unionByName(row)
@@ -217,7 +219,7 @@ def d08(c):
 @query("d09_nondetection_log_score")
 def d09(c):
     rows = train_rows(c)
-    fits = ft.fit_all(rows, LINEAR, ft.cv_fits(FOLDS, 10.0, final=False), DETECT)
+    fits = ft.fit_all(rows, LINEAR, ft.cv_fits(fold_ids(c), 10.0, final=False), DETECT)
     return ft.log_scores(rows.where(F.col("is_nondetect")), LINEAR, fits)
 
 

@@ -156,12 +156,14 @@ def a11(c):
     return rounded(covariates.mean_field(clim).withColumnRenamed("t2m", "era5_t2m_mean_K").join(n, ["longitude", "latitude"]))
 
 
-@query("a12_write_trace_table")
+@query("a12_write_trace_table", """
+SELECT trace_id, collection, bed_power_dB, substr(sha256(concat('snap-asnap-b', sha256('{{"store": "antarctica"}}'))), 1, 12) AS run_id FROM {traces_fx}
+""")
 def a12(c):
     path = new_path(c.spark, "traces")
-    m = lineage.manifest("augment", {"store": "antarctica"}, ["snap-b"])
-    stages.write_stage(c("traces_fx").where("snapshot_id = 'snap-b'").select("trace_id", "collection", "bed_power_dB"), m, path, ["collection"])
-    return c.spark.read.parquet(path).groupBy("collection").agg(F.count(F.lit(1)).alias("n"), F.lit(stages.read_run_id(c.spark, path)).alias("run_id"))
+    m = lineage.manifest("augment", {"store": "antarctica"}, ["snap-b", "snap-a"])
+    stages.write_stage(c("traces_fx").select("trace_id", "collection", "bed_power_dB"), m, path, ["collection"])
+    return c.spark.read.parquet(path).withColumn("run_id", F.lit(stages.read_run_id(c.spark, path)))
 
 
 @query("a13_write_stage_table", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(grid_ix) AS BIGINT) AS sum_ix FROM {grid_fx}")

@@ -40,11 +40,22 @@ def soft_min(a: Column, b: Column, sharpness: float = 1.0) -> Column:
 
 
 def hash_normal(key: Column, seed: int) -> Column:
-    """Standard normal noise from a key: the same row gets the same value at any partitioning."""
-    u = [(F.pmod(F.xxhash64(key, F.lit(seed), F.lit(i)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52)) for i in (1, 2)]
+    """Standard normal noise from a key: the same row gets the same value at any partitioning, and in any SQL engine with md5."""
+
+    def uniform(i: int) -> Column:
+        digits = F.substring(F.md5(F.concat(key.cast("string"), F.lit(f":{seed}:{i}")).cast("binary")), 1, 13)
+        return (F.conv(digits, 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+
+    u = [uniform(1), uniform(2)]
     return F.sqrt(-2 * F.log(u[0])) * F.cos(F.lit(2 * math.pi) * u[1])
 
 
+def hash_normal_sql(key: str, seed: int) -> str:
+    """The same as SQL text."""
+    u = [f"((CAST(concat('0x', substr(md5(concat(CAST({key} AS VARCHAR), ':{seed}:{i}')), 1, 13)) AS BIGINT) + 0.5e0) / 4503599627370496e0)" for i in (1, 2)]
+    return f"(sqrt(-2e0 * ln({u[0]})) * cos(2e0 * pi() * {u[1]}))"
+
+
 def np_log_cdf(z: np.ndarray) -> np.ndarray:
     """log CDF for arrays: odd-power series in the centre, continued fraction in the tail."""
     z = np.asarray(z, dtype="float64")

@@ -4,8 +4,8 @@ Right-hand points are summarised into fine cells (bounding box and count).
 Each left point meets the summaries around it, keeps only the cells that can
 still hold one of its k nearest, and meets the points of those cells alone.
 Copies at one position count as one candidate position (the k smallest ids
-decide ties), and the cell size is halved three times over wherever a check of
-the largest cell says that cells are too full.  Results are exact.
+decide ties).  A cell that is too full is cut into smaller ones, and only that
+cell: a dense place costs nothing elsewhere.  Results are exact.
 """
 
 from __future__ import annotations
@@ -14,33 +14,49 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from firnline.session import cut_lineage
+
 FIRST_SPLIT = 8
 LEAF_POINTS = 4096
-MAX_SPLIT = 8**5
 
 
-def leaf_split(points: DataFrame, keys: list[str], radius: float, x: str, y: str) -> int:
-    """How many fine cells per radius keep every cell below LEAF_POINTS distinct positions.
+def with_leaves(points: DataFrame, keys: list[str], radius: float, x: str, y: str, leaf_points: int = LEAF_POINTS) -> DataFrame:
+    """points (distinct positions) with the cell they are in: level ``_lv`` and numbers ``_fx``, ``_fy``.
 
-    One small aggregation per refinement; real survey lines need a single one.
+    A cell of level n is ``radius / FIRST_SPLIT ** n`` wide. Cells over ``leaf_points`` positions go
+    one level down, cell by cell, until none is left; most tables need a single check.
     """
-    split = FIRST_SPLIT
-    while split < MAX_SPLIT:
-        size = radius / split
-        fullest = (
-            points.groupBy(*keys, F.floor(F.col(x) / size), F.floor(F.col(y) / size)).agg(F.count(F.lit(1)).alias("n"))
-            .agg(F.max("n")).first()[0]
-        )
-        if fullest is None or fullest <= LEAF_POINTS:
-            break
-        split *= FIRST_SPLIT
-    return split
-
-
-def _cells(points: DataFrame, keys: list[str], radius: float, split: int, x: str, y: str) -> DataFrame:
-    """Summaries of fine cells, repeated for the nine coarse cells that may look at them."""
-    size = radius / split
-    fine = points.groupBy(*keys, F.floor(F.col(x) / size).alias("_fx"), F.floor(F.col(y) / size).alias("_fy")).agg(
+    on = [*keys, "_fx", "_fy"]
+    level, rest, settled = 1, points, None
+    while True:
+        size = radius / FIRST_SPLIT**level
+        placed = rest.withColumns({"_lv": F.lit(level), "_fx": F.floor(F.col(x) / size), "_fy": F.floor(F.col(y) / size)})
+        full = placed.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > leaf_points).drop("_n")
+        # Below a billionth of a radius positions are as good as equal.
+        last = size < radius * 1e-9
+        if not last:
+            full = cut_lineage(full)
+            last = full.isEmpty()
+        if last:
+            return placed if settled is None else settled.unionByName(placed)
+        same = _same(on)
+        full = full.withColumnsRenamed({k: f"_h{k}" for k in on})
+        done = placed.join(full, same, "left_anti")
+        settled = done if settled is None else settled.unionByName(done)
+        rest = cut_lineage(placed.join(full, same, "left_semi").drop("_lv", "_fx", "_fy"))
+        level += 1
+
+
+def _same(on: list[str]) -> Column:
+    out = F.lit(True)
+    for k in on:
+        out = out & F.col(k).eqNullSafe(F.col(f"_h{k}"))
+    return out
+
+
+def _cells(leaves: DataFrame, keys: list[str], radius: float, x: str, y: str) -> DataFrame:
+    """Summaries of cells, repeated for the nine coarse cells that may look at them."""
+    fine = leaves.groupBy(*keys, "_lv", "_fx", "_fy").agg(
         F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"), F.max(y).alias("_y1"),
         F.sum("_copies").alias("_nc"))
     coarse_x, coarse_y = F.floor(F.col("_x0") / radius), F.floor(F.col("_y0") / radius)
@@ -75,7 +91,7 @@ def nearest_within(
     keep: Callable[[], Column] | None = None,
     carry: Sequence[str] = (),
     xy: tuple[str, str] = ("x", "y"),
-    split: int | None = None,
+    leaf_points: int = LEAF_POINTS,
 ) -> DataFrame:
     """The k nearest right points of every left point inside ``radius``.
 
@@ -96,9 +112,8 @@ def nearest_within(
         w = W.partitionBy(*keys, "_rx", "_ry").orderBy(right_id)
         points = points.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn").withColumn(
             "_copies", F.lit(1))
-    split = split or leaf_split(points, keys, radius, "_rx", "_ry")
-    size = radius / split
-    cells = _cells(points, keys, radius, split, "_rx", "_ry")
+    leaf = with_leaves(points, keys, radius, "_rx", "_ry", leaf_points)
+    cells = _cells(leaf, keys, radius, "_rx", "_ry")
 
     lx, ly = F.col("_lx"), F.col("_ly")
     seekers = left.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
@@ -116,15 +131,15 @@ def nearest_within(
         bound = F.min("_high").over(group)
     else:
         cand = cand.withColumn(
-            "_cum", F.sum("_nc").over(group.orderBy("_high", "_fx", "_fy").rowsBetween(W.unboundedPreceding, 0)))
+            "_cum", F.sum("_nc").over(group.orderBy("_high", "_lv", "_fx", "_fy").rowsBetween(W.unboundedPreceding, 0)))
         bound = F.coalesce(F.min(F.when(F.col("_cum") >= k, F.col("_high"))).over(group), F.lit(r2))
     # A hair of slack keeps rounding of the two bounds from dropping the winner.
     cand = cand.withColumn("_bound", F.least(bound, F.lit(r2)) * (1 + 1e-12) + 1e-9).where(F.col("_low") <= F.col("_bound"))
-    cand = cand.select(*on, "_lid", *carry, *per, "_lx", "_ly", "_fx", "_fy")
+    cand = cand.select(*on, "_lid", *carry, *per, "_lx", "_ly", "_lv", "_fx", "_fy")
 
-    leaf = points.withColumns({"_fx": F.floor(F.col("_rx") / size), "_fy": F.floor(F.col("_ry") / size)}).drop("_copies")
+    leaf = leaf.drop("_copies")
     d2 = F.pow(F.col("_rx") - lx, 2) + F.pow(F.col("_ry") - ly, 2)
-    pairs = cand.join(leaf, [*keys, "_fx", "_fy"]).withColumn("_d2", d2)
+    pairs = cand.join(leaf, [*keys, "_lv", "_fx", "_fy"]).withColumn("_d2", d2)
     pairs = pairs.where(F.col("_d2") < r2 if strict else F.col("_d2") <= r2)
     rank = F.row_number().over(group.orderBy("_d2", right_id))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(
@@ -132,7 +147,7 @@ def nearest_within(
 
 
 def ball_counts(df: DataFrame, radius: float, *, id_col: str, on: Sequence[str] = (), xy: tuple[str, str] = ("x", "y"),
-                name: str = "n_ball", split: int | None = None) -> DataFrame:
+                name: str = "n_ball", leaf_points: int = LEAF_POINTS) -> DataFrame:
     """Points within ``radius`` (inclusive, self counted) of every point.
 
     Cells wholly inside the ball add their count without being opened; only
@@ -143,9 +158,8 @@ def ball_counts(df: DataFrame, radius: float, *, id_col: str, on: Sequence[str]
     r2 = float(radius) ** 2
     places = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(
         *on, F.col(x).cast("double").alias("_rx"), F.col(y).cast("double").alias("_ry")).agg(F.count(F.lit(1)).alias("_copies"))
-    split = split or leaf_split(places, on, radius, "_rx", "_ry")
-    size = radius / split
-    cells = _cells(places, on, radius, split, "_rx", "_ry")
+    leaf = with_leaves(places, on, radius, "_rx", "_ry", leaf_points)
+    cells = _cells(leaf, on, radius, "_rx", "_ry")
     lx, ly = F.col("_lx"), F.col("_ly")
     centres = places.select(*on, F.col("_rx").alias("_lx"), F.col("_ry").alias("_ly")).withColumns(
         {"_cx": F.floor(lx / radius), "_cy": F.floor(ly / radius)})
@@ -154,28 +168,8 @@ def ball_counts(df: DataFrame, radius: float, *, id_col: str, on: Sequence[str]
     met = centres.join(cells, [*on, "_cx", "_cy"]).withColumns({"_low": low2, "_high": high2}).where(F.col("_low") <= r2 + 1e-9)
     inside = F.col("_high") <= r2 - 1e-6
     whole = met.where(inside).select(*on, "_lx", "_ly", F.col("_nc").alias("_c"))
-    leaf = places.withColumns({"_fx": F.floor(F.col("_rx") / size), "_fy": F.floor(F.col("_ry") / size)})
-    edge = met.where(~inside).select(*on, "_lx", "_ly", "_fx", "_fy").join(leaf, [*on, "_fx", "_fy"]).where(
+    edge = met.where(~inside).select(*on, "_lx", "_ly", "_lv", "_fx", "_fy").join(leaf, [*on, "_lv", "_fx", "_fy"]).where(
         F.pow(F.col("_rx") - lx, 2) + F.pow(F.col("_ry") - ly, 2) <= r2).select(*on, "_lx", "_ly", F.col("_copies").alias("_c"))
     balls = whole.unionByName(edge).groupBy(*on, "_lx", "_ly").agg(F.sum("_c").alias(name))
     mine = df.select(*on, id_col, F.col(x).cast("double").alias("_lx"), F.col(y).cast("double").alias("_ly"))
     return mine.join(balls, [*on, "_lx", "_ly"]).select(id_col, *on, name)
-
-
-def place_pairs(df: DataFrame, radius: float, *, on: Sequence[str] = (), xy: tuple[str, str] = ("x", "y")) -> DataFrame:
-    """Ordered pairs of distinct positions within ``radius`` (inclusive, self included).
-
-    Works on positions, not rows: copies of a position appear once.
-    """
-    on = list(on)
-    x, y = xy
-    places = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        *on, F.col(x).cast("double").alias("bx"), F.col(y).cast("double").alias("by")).distinct().withColumns(
-        {"_cx": F.floor(F.col("bx") / radius), "_cy": F.floor(F.col("by") / radius)})
-    step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    around = (
-        places.withColumnsRenamed({"bx": "ax", "by": "ay"})
-        .withColumn("_dx", F.explode(step)).withColumn("_dy", F.explode(step))
-        .withColumns({"_cx": F.col("_cx") + F.col("_dx"), "_cy": F.col("_cy") + F.col("_dy")}).drop("_dx", "_dy"))
-    d2 = F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2)
-    return around.join(places, [*on, "_cx", "_cy"]).where(d2 <= float(radius) ** 2).select(*on, "ax", "ay", "bx", "by")

@@ -15,13 +15,14 @@ from firnline.session import cut_lineage
 STARTS = [(8.0, 3.0, -4.0), (15.0, 5.0, -3.0), (5.0, 2.0, -5.0)]
 
 
-def fit_mixture_probit(df: DataFrame, group: str, margin: str, detected: str, *, pooled: str = "ALL", max_iter: int = 60,
-                       tol: float = 1e-4) -> DataFrame:
+def fit_mixture_probit(df: DataFrame, group: str, margin: str, detected: str, *, pooled: str = "ALL", max_iter: int = 300,
+                       tol: float = 1e-5) -> DataFrame:
     """Maximum likelihood per group and for all rows together.
 
     Rows are first counted per (group, margin, detected).  Each scoring step is
     one distributed sum of score and information per (group, start); groups
     are survey seasons, so what returns to the driver is a few numbers each.
+    ``converged`` tells whether the best start of a group came to rest.
     """
     counts = df.where(F.col(margin).isNotNull()).groupBy(
         F.col(group).alias("g"), F.col(margin).cast("double").alias("m"), F.col(detected).cast("double").alias("d")).agg(
@@ -57,7 +58,8 @@ def fit_mixture_probit(df: DataFrame, group: str, margin: str, detected: str, *,
             if v[0] >= st["best"]:
                 gain = v[0] - st["best"]
                 st.update(best=v[0], at=st["try"], g=v[1:4], h=v[4:].reshape(3, 3), lam=max(st["lam"] / 5, 1e-10))
-                if gain < tol:
+                # Without a turning point the likelihood flattens as theta runs off: what counts is the gain beside its size.
+                if gain < tol * (1 + abs(v[0])):
                     st["done"] = True
             else:
                 st["lam"] *= 10
@@ -69,8 +71,8 @@ def fit_mixture_probit(df: DataFrame, group: str, margin: str, detected: str, *,
     out = []
     for g in groups:
         b = max((state[g, s] for s in range(len(STARTS))), key=lambda v: v["best"])
-        out.append((g, float(b["at"][0]), float(math.exp(b["at"][1])), float(1 / (1 + math.exp(-b["at"][2]))), int(n_of[g]), float(-b["best"])))
-    return df.sparkSession.createDataFrame(out, "season string, theta_dB double, tau_dB double, pi double, n bigint, nll double")
+        out.append((g, float(b["at"][0]), float(math.exp(b["at"][1])), float(1 / (1 + math.exp(-b["at"][2]))), int(n_of[g]), float(-b["best"]), bool(b["done"])))
+    return df.sparkSession.createDataFrame(out, "season string, theta_dB double, tau_dB double, pi double, n bigint, nll double, converged boolean")
 
 
 def _sums(params: np.ndarray, m: np.ndarray, d: np.ndarray, n: np.ndarray) -> np.ndarray:

@@ -55,6 +55,10 @@ class Fit:
         return float(np.exp(2 * self.params[d] + 2 * self.cov[d, d]))
 
 
+#: Rows per task of a fit, about.
+TASK_ROWS = 100_000
+
+
 def _merge(stats_by_fold: list[dict], keep) -> tuple[float, float]:
     """Mean and population sd of the kept folds from per-fold counts, means and variances."""
     n = mean = m2 = 0.0
@@ -229,26 +233,28 @@ def _evaluate(rows: DataFrame, design: Design, fits: Sequence[Fit], detection: D
 
 
 def training_rows(split: DataFrame, design: Design, *, min_thickness_m: float | None = None,
-                  extra: Sequence[str] = ()) -> DataFrame:
-    """Columns and rows the likelihood reads: usable observations and non-detections of training folds."""
+                  extra: Sequence[str] = (), max_delta: float | None = 8.0) -> DataFrame:
+    """Columns and rows the likelihood reads: usable observations of training folds, and their non-detections with a known
+    ceiling and a small delta."""
     from firnline.operators import qc
     features = qc.usable(None, design.features, min_thickness_m, THICKNESS)
     nd = F.coalesce(F.col("is_nondetect"), F.lit(False))
-    rows = split.where(features & (F.col("fold") >= 0) & (F.col(design.target).isNotNull() | nd))
+    rows = split.where(features & (F.col("fold") >= 0))
+    rows = rows.where(F.col(design.target).isNotNull() & ~nd).unionByName(qc.likelihood_nondetects(rows.where(nd), max_delta))
     cols = [*design.raw_columns(), design.target, *extra]
     return rows.select("fold", nd.alias("is_nondetect"), F.col("obs_margin_dB").cast("double"), F.col("C_dB").cast("double"),
                        *[F.col(c).cast("double").alias(c) for c in dict.fromkeys(cols)])
 
 
 def fit_all(rows: DataFrame, design: Design, fits: Sequence[Fit], detection: Detection | None = None, *,
-            max_iter: int = 40, tol: float = 1e-5) -> list[Fit]:
+            max_iter: int = 200, tol: float = 1e-5) -> list[Fit]:
     """Damped Newton on all fits in lockstep; fills params, cov and diagnostics.
 
-    ``rows`` are spread evenly once and persisted on the executors (memory, then
-    disk), because every step scans them.
+    ``rows`` are spread evenly once, over as many tasks as they need, and persisted on the
+    executors (memory, then disk), because every step scans them.
     """
     spark = rows.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
     rows = rows.repartition(tasks).persist()
     try:
         d = len(design.term_names())
@@ -296,6 +302,9 @@ def fit_all(rows: DataFrame, design: Design, fits: Sequence[Fit], detection: Det
                         lam = max(lam * 10, 1e-6)
                 step = np.linalg.solve(n + lam * scale, st["g"])
                 f.params = st["at"] + np.clip(step, -3.0, 3.0)
+        open_fits = [f.fit_id for f in fits if not state[f.fit_id]["done"]]
+        if open_fits:
+            raise RuntimeError(f"fits {open_fits} have not converged in {max_iter} steps")
         for f in fits:
             st = state[f.fit_id]
             f.params = st["at"]
@@ -316,6 +325,11 @@ def cv_fits(folds: Sequence[int], censor_below: float | None = None, final: bool
 
 def predictions(df: DataFrame, design: Design, fit: Fit, keep: Sequence[str], prefix: str = "pred") -> DataFrame:
     """Mean, parameter sd and predictive sd in dB from mean and covariance; plain arithmetic columns."""
+    mean, sd_mu, sd = prediction_columns(design, fit)
+    return df.select(*keep, mean.alias(f"{prefix}_mean"), sd_mu.alias(f"{prefix}_std_mu"), sd.alias(f"{prefix}_std"))
+
+
+def prediction_columns(design: Design, fit: Fit) -> tuple[Column, Column, Column]:
     d = len(design.term_names())
     target = fit.target or design.target
     mean, sd = fit.norm[target]
@@ -333,29 +347,27 @@ def predictions(df: DataFrame, design: Design, fit: Fit, keep: Sequence[str], pr
     for j in range(d):
         q = dot(chol[:, j])
         var = var + q * q
-    return df.select(
-        *keep,
-        (dot(fit.params[:d]) * sd + mean).alias(f"{prefix}_mean"),
-        (F.sqrt(var) * sd).alias(f"{prefix}_std_mu"),
-        (F.sqrt(var + fit.sigma2(d)) * sd).alias(f"{prefix}_std"))
+    return dot(fit.params[:d]) * sd + mean, F.sqrt(var) * sd, F.sqrt(var + fit.sigma2(d)) * sd
 
 
 def held_out_predictions(split: DataFrame, design: Design, fits: Sequence[Fit], keep: Sequence[str]) -> DataFrame:
     """Each row predicted by the fit that left its fold out."""
-    out = None
+    each = []
     for f in fits:
-        if f.held_out is None:
-            continue
-        part = predictions(split.where(F.col("fold") == f.held_out), design, f, keep).withColumn("fit_id", F.lit(f.fit_id))
-        out = part if out is None else out.unionByName(part)
-    return out
+        if f.held_out is not None:
+            mean, sd_mu, sd = prediction_columns(design, f)
+            each.append(F.when(F.col("fold") == f.held_out, F.struct(
+                mean.alias("pred_mean"), sd_mu.alias("pred_std_mu"), sd.alias("pred_std"), F.lit(f.fit_id).alias("fit_id"))))
+    # One scan, however many fits there are.
+    met = F.filter(F.array(*each), lambda p: p.isNotNull())
+    return split.select(*keep, F.explode(met).alias("_p")).select(*keep, "_p.*")
 
 
 def _draws(fit: Fit, n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).multivariate_normal(fit.params, fit.cov, size=n, method="eigh")
 
 
-def log_scores(rows: DataFrame, design: Design, fits: Sequence[Fit], *, held_out: bool = True, draws: int = 400,
+def log_scores(rows: DataFrame, design: Design, fits: Sequence[Fit], *, held_out: bool = True, draws: int = 1000,
                seed: int = 0) -> DataFrame:
     """Mean held-out log score per fit in dB units, over observed (density or survival mass) rows,
     and mean log P(no detection) over non-detections.  Scores are averaged over posterior draws."""

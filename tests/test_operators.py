@@ -26,13 +26,13 @@ def clustered(n, seed, hot=0.4):
     return [(int(i), float(a), float(b)) for i, (a, b) in enumerate(xy)]
 
 
-@pytest.mark.parametrize("k,split", [(1, 8), (1, 64), (3, 8), (8, 64)])
-def test_nearest_equals_brute_force_on_hot_cells(spark, k, split):
+@pytest.mark.parametrize("k,leaf", [(1, 4096), (1, 5), (3, 40), (8, 5)])
+def test_nearest_equals_brute_force_on_hot_cells(spark, k, leaf):
     left, right = clustered(150, 1), clustered(260, 2)
     a = spark.createDataFrame(left, "left_id long, x double, y double")
     b = spark.createDataFrame(right, "right_id long, x double, y double")
     got = {}
-    for r in near.nearest_within(a, b, 300.0, k=k, split=split).orderBy("left_id", "rank").collect():
+    for r in near.nearest_within(a, b, 300.0, k=k, leaf_points=leaf).orderBy("left_id", "rank").collect():
         got.setdefault(r.left_id, []).append((r.right_id, r.dist))
     want = {i: v for i, v in brute(left, right, 300.0, k).items() if v}
     assert {i: [j for j, _ in v] for i, v in got.items()} == {i: [j for j, _ in v] for i, v in want.items()}
@@ -49,23 +49,26 @@ def test_cutoff_is_strict_and_empty_right_gives_nothing(spark):
     assert near.nearest_within(a, b.where("false"), 5.0).count() == 0
 
 
-def test_leaf_split_refines_full_cells(spark, monkeypatch):
-    monkeypatch.setattr(near, "LEAF_POINTS", 20)
-    b = spark.createDataFrame(clustered(400, 3), "right_id long, x double, y double").dropDuplicates(["x", "y"])
-    assert near.leaf_split(b, [], 300.0, "x", "y") >= 64
+def test_only_full_cells_are_cut(spark):
+    # One place with 20,000 positions, and single points elsewhere.
+    rng = np.random.default_rng(3)
+    dense = pd.DataFrame({"x": 1000 + rng.random(20_000) * 30, "y": 1000 + rng.random(20_000) * 30})
+    thin = pd.DataFrame({"x": rng.random(300) * 1e5 + 5000, "y": rng.random(300) * 1e5})
+    b = spark.createDataFrame(pd.concat([dense, thin], ignore_index=True))
+    cells = near.with_leaves(b, [], 300.0, "x", "y", 1000).groupBy("_lv", "_fx", "_fy").count().toPandas()
+    assert cells["count"].max() <= 1000 and cells["count"].sum() == 20_300
+    assert set(cells.loc[cells["count"] <= 2, "_lv"]) >= {1} and len(cells[cells["_lv"] == 1]) >= 290
+    # A point far from the dense place meets no more cells than before: its neighbours were not cut.
+    far = near._cells(near.with_leaves(b, [], 300.0, "x", "y", 1000).withColumn("_copies", F.lit(1)), [], 300.0, "x", "y")
+    assert far.where("_x0 > 5000").groupBy("_cx", "_cy").count().agg(F.max("count")).first()[0] <= 10
 
 
 def test_ball_counts(spark):
     pts = clustered(200, 4)
     df = spark.createDataFrame(pts, "id long, x double, y double")
     want = {i: sum((x - a) ** 2 + (y - b) ** 2 <= 250.0**2 for _, a, b in pts) for i, x, y in pts}
-    for split in (8, 64):
-        assert {r.id: r.n_ball for r in near.ball_counts(df, 250.0, id_col="id", split=split).collect()} == want
-
-
-def test_place_pairs_collapse_copies(spark):
-    df = spark.createDataFrame([(0, 0.0, 0.0), (1, 0.0, 0.0), (2, 3.0, 4.0)], "id long, x double, y double")
-    assert near.place_pairs(df, 5.0).count() == 4
+    for leaf in (4096, 5):
+        assert {r.id: r.n_ball for r in near.ball_counts(df, 250.0, id_col="id", leaf_points=leaf).collect()} == want
 
 
 def test_near_plans_have_no_product_joins(spark, sf_dir):
