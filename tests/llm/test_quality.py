@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from firnline.llm import quality
 
-USABLE = F.col("doc_id") % 3 != 1
+
+def usable():
+    return F.col("doc_id") % 3 != 1
 
 
 def corpus(n=240):
@@ -22,7 +24,7 @@ def corpus(n=240):
 
 def test_learns_what_the_labels_mark(spark):
     rows, labels = corpus()
-    got = quality.classify(cases.table(spark, rows), cases.labels(spark, labels), USABLE).collect()
+    got = quality.classify(cases.table(spark, rows), cases.labels(spark, labels), usable()).collect()
     held = [(r.score, r.predicted, labels[r.doc_id][1]) for r in got if r.doc_id % 3 == 1]
     assert len(got) == len(rows) and np.mean([p == y for _, p, y in held]) > 0.97
     assert all(0 <= s <= 1 and p == (s >= 0.5) for s, p, _ in held)
@@ -31,7 +33,7 @@ def test_learns_what_the_labels_mark(spark):
 def test_held_out_labels_do_not_matter(spark):
     rows, labels = corpus(120)
     flipped = [(i, 1 - q if i % 3 == 1 else q, t) for i, q, t in labels]
-    a, b = ({r.doc_id: r.score for r in quality.classify(cases.table(spark, rows), cases.labels(spark, x), USABLE).collect()} for x in (labels, flipped))
+    a, b = ({r.doc_id: r.score for r in quality.classify(cases.table(spark, rows), cases.labels(spark, x), usable()).collect()} for x in (labels, flipped))
     assert a == b
 
 
@@ -45,8 +47,8 @@ def test_odd_texts_and_labels(spark):
 
 def test_no_labels_and_no_rows(spark):
     none = cases.labels(spark, [])
-    assert {r.score for r in quality.classify(cases.odd(spark), none, USABLE).collect()} == {0.5}
-    assert quality.classify(cases.empty(spark), none, USABLE).count() == 0
+    assert {r.score for r in quality.classify(cases.odd(spark), none, usable()).collect()} == {0.5}
+    assert quality.classify(cases.empty(spark), none, usable()).count() == 0
 
 
 def test_scores_beside_all_columns(spark):

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from firnline.llm import toxicity
 
-USABLE = F.col("doc_id") % 5 != 0
+def usable():
+    return F.col("doc_id") % 5 != 0
 BAD = ["nasty", "vilely", "vilest"]
 
 
@@ -55,7 +56,7 @@ def test_long_chain_equals_plain_recursion():
 
 def test_finds_documents_and_offsets(spark):
     rows, labels = corpus()
-    got = toxicity.classify(cases.table(spark, rows), cases.labels(spark, labels), USABLE).collect()
+    got = toxicity.classify(cases.table(spark, rows), cases.labels(spark, labels), usable()).collect()
     texts = dict(rows)
     held = [r for r in got if r.doc_id % 5 == 0]
     assert np.mean([r.predicted == labels[r.doc_id][2] for r in held]) > 0.97
@@ -66,7 +67,7 @@ def test_finds_documents_and_offsets(spark):
 def test_offsets_are_code_points(spark):
     rows, labels = corpus()
     rows.append((1000, "éé 梦😀 nasty ε nasty nasty"))
-    r = toxicity.classify(cases.table(spark, rows), cases.labels(spark, labels), USABLE).filter("doc_id = 1000").first()
+    r = toxicity.classify(cases.table(spark, rows), cases.labels(spark, labels), usable()).filter("doc_id = 1000").first()
     assert [rows[-1][1][s["start"] : s["end"]] for s in r.spans] == ["nasty", "nasty nasty"]
 
 
@@ -75,5 +76,5 @@ def test_odd_texts_labels_and_nothing(spark):
     got = toxicity.classify(cases.odd(spark), some, F.lit(True)).collect()
     assert len(got) == len(cases.odd_texts()) and all(0 <= r.score <= 1 for r in got)
     none = cases.labels(spark, [])
-    assert all(r.score <= 0.5 for r in toxicity.classify(cases.odd(spark), none, USABLE).collect())
-    assert toxicity.classify(cases.empty(spark), none, USABLE).count() == 0
+    assert all(r.score <= 0.5 for r in toxicity.classify(cases.odd(spark), none, usable()).collect())
+    assert toxicity.classify(cases.empty(spark), none, usable()).count() == 0
