@@ -54,5 +54,5 @@ def test_empty_tables(spark, tmp_path):
 
 def test_odd_texts_pass_every_stage(spark, tmp_path):
     cases.odd(spark).write.parquet(f"{tmp_path}/documents.parquet")
-    cases.labels(spark, [(4, 1, 0), (11, 0, 0), (None, 1, 1)]).write.parquet(f"{tmp_path}/labels.parquet")
+    cases.labels(spark, [(i, 1, 0) for i in (2, 4, 5, 7, 8, 10, -5, 1 << 40)] + [(11, 0, 0), (None, 1, 1)]).write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
