@@ -64,8 +64,9 @@ def compare(spark, con, name: str, fn, sql: str | None, sf_dir: str) -> dict:
     if bad:
         return {**out, "ok": False, "why": f"{len(bad)} rows differ, e.g. {bad[0]} {sorted(got.columns)}"}
     ka, kb = kinds(got), kinds(want)
-    # Integers with missing values come as floats from one side and as nullable integers from the other.
-    ka |= {c: {"int": "Int32", "bigint": "Int64"}[t] for c, t in df.dtypes if t in ("int", "bigint") and kb[c].startswith("Int")}
+    # Values with missing ones among them come as floats or objects from one side and in nullable types from the other.
+    nullable = {"tinyint": "Int8", "smallint": "Int16", "int": "Int32", "bigint": "Int64", "boolean": "boolean"}
+    ka |= {c: nullable[t] for c, t in df.dtypes if t in nullable and kb[c] in nullable.values()}
     diff = {c: (ka[c], kb[c]) for c in ka if ka[c] != kb[c]}
     if diff:
         return {**out, "ok": False, "why": f"dtypes {diff}"}
