@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from firnline.llm.common import WordCache, column, map_batches
 
-CACHE_WORDS = 1 << 17
+CACHE_WORDS = 1 << 19
 #: Texts whose words are encoded together.
 TEXTS = 512
 BLANK = "▁"
@@ -99,6 +99,19 @@ class Model:
     def symbols(self, word: str) -> list[int]:
         return [self.id.get(c, -1 - ord(c)) for c in word]
 
+    def _pairs(self, symbol: np.ndarray, word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks and pieces of the pairs that begin at these places of the array."""
+        rank, whole = np.full(len(at), _NO_PAIR), np.zeros(len(at), dtype=np.int64)
+        inner = np.flatnonzero(at + 1 < len(symbol))
+        a = at[inner]
+        ok = (word[a] == word[a + 1]) & (symbol[a] >= 0) & (symbol[a + 1] >= 0)
+        inner, a = inner[ok], a[ok]
+        key = symbol[a] << 32 | symbol[a + 1]
+        found = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        met = self.key[found] == key
+        rank[inner[met]], whole[inner[met]] = self.rank[found[met]], self.whole[found[met]]
+        return rank, whole
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of each word, all words at once."""
         known = {c: self.id.get(c, -1 - ord(c)) for c in set().union(*words)} if words else {}
@@ -106,38 +119,34 @@ class Model:
         symbol = np.fromiter((known[c] for w in words for c in w), dtype=np.int64, count=int(sizes.sum()))
         word = np.repeat(np.arange(len(words)), sizes)
         done: list[tuple[np.ndarray, np.ndarray]] = []
+        rank, whole = self._pairs(symbol, word, np.arange(len(symbol)))
         while len(symbol):
-            key = symbol[:-1] << 32 | symbol[1:]
-            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-            met = (self.key[at] == key) & (word[:-1] == word[1:]) & (symbol[:-1] >= 0) & (symbol[1:] >= 0)
-            rank = np.where(met, self.rank[at], _NO_PAIR)
-            rank = np.append(rank, _NO_PAIR)
             begin = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            least = np.minimum.reduceat(rank, begin)
-            length = np.diff(np.append(begin, len(word)))
-            least = np.repeat(least, length)
+            least = np.repeat(np.minimum.reduceat(rank, begin), np.diff(np.append(begin, len(word))))
             active = least != _NO_PAIR
             if not active.all():
                 done.append((word[~active], symbol[~active]))
-                symbol, word, rank, least = symbol[active], word[active], rank[active], least[active]
-                at = np.append(at, 0)[active]
+                symbol, word, rank, whole, least = symbol[active], word[active], rank[active], whole[active], least[active]
                 if not len(symbol):
                     break
-            else:
-                at = np.append(at, 0)
             pick = np.flatnonzero(rank == least)
-            whole = self.whole[at[pick]]
+            piece = whole[pick]
             # Of pairs that overlap, every second one from the left; of an unsafe merge, the first of the word.
             run = np.concatenate([[True], (pick[1:] != pick[:-1] + 1) | (word[pick[1:]] != word[pick[:-1]])])
             place = np.arange(len(pick)) - np.flatnonzero(run)[np.cumsum(run) - 1]
             first = np.concatenate([[True], word[pick[1:]] != word[pick[:-1]]])
-            take = np.where(self.safe[whole], place % 2 == 0, first)
+            take = np.where(self.safe[piece], place % 2 == 0, first)
             # Whether a word's first pick is safe decides for the word.
-            take &= self.safe[whole[first]][np.cumsum(first) - 1] | first
-            symbol[pick[take]] = whole[take]
+            take &= self.safe[piece[first]][np.cumsum(first) - 1] | first
+            merged = pick[take]
+            symbol[merged] = piece[take]
             keep = np.ones(len(symbol), dtype=bool)
-            keep[pick[take] + 1] = False
-            symbol, word = symbol[keep], word[keep]
+            keep[merged + 1] = False
+            symbol, word, rank, whole = symbol[keep], word[keep], rank[keep], whole[keep]
+            # Only pairs with a merged symbol have changed.
+            at = np.cumsum(keep)[merged] - 1
+            changed = np.unique(np.concatenate([at, at[at > 0] - 1]))
+            rank[changed], whole[changed] = self._pairs(symbol, word, changed)
         word, symbol = (np.concatenate(c) if c else np.empty(0, dtype=np.int64) for c in (list(zip(*done)) or ([], [])))
         order = np.argsort(word, kind="stable")
         symbol = symbol[order].tolist()
