@@ -23,6 +23,70 @@ SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
 """
 
 
+JACCARD_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM p
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 4
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT c.a, c.b FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE 100 * c.c >= 75 * (x.n + y.n - c.c)),
+reach AS (SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT reach.d, l.b FROM reach JOIN l ON reach.r = l.a),
+lowest AS (SELECT d, min(r) AS r FROM reach GROUP BY d)
+SELECT lowest.d AS doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, lowest.r AS component_id FROM lowest LEFT JOIN n ON n.doc_id = lowest.d
+"""
+
+
+def _license_sql() -> str:
+    rows = [(label, text, "true") for label, text in licenses.PHRASES] + [(label, text, "false") for label, text in licenses.TEMPLATES]
+    templates = ", ".join(f"({i}, '{label}', {exact}, '{text}')" for i, (label, text, exact) in enumerate(rows))
+    k = licenses.RUN_WORDS
+
+    def labels(of: str) -> str:
+        return f"coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE {of})), ','), '')"
+
+    return f"""
+WITH t(id, label, exact, text) AS (VALUES {templates}),
+tw AS (SELECT id, label, exact, string_split(text, ' ') AS w FROM t),
+tp AS (SELECT id, label, exact, w, len(w) - {k - 1} AS runs, unnest(range(0, len(w) - {k - 1})) AS place FROM tw),
+tg AS (SELECT id, label, exact, runs, place, array_to_string(list_slice(w, place + 1, place + {k}), ' ') AS g FROM tp),
+w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents
+),
+dp AS (SELECT doc_id, w, unnest(range(0, len(w) - {k - 1})) AS p FROM w WHERE len(w) >= {k}),
+dg AS (SELECT doc_id, p, array_to_string(list_slice(w, p + 1, p + {k}), ' ') AS g FROM dp),
+votes AS (
+  SELECT doc_id, id, label, exact, runs, p - place AS diagonal, count(*) AS votes, min(place) AS low, max(place) AS high
+  FROM dg JOIN tg ON dg.g = tg.g GROUP BY doc_id, id, label, exact, runs, p - place
+),
+begun AS (
+  SELECT *, CASE WHEN exact OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, id ORDER BY diagonal) > {licenses.DIAGONAL_GAP}, true) THEN 1 ELSE 0 END AS begins FROM votes
+),
+numbered AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id, id ORDER BY diagonal) AS span FROM begun),
+spans AS (
+  SELECT doc_id, id, label, exact, runs, span, sum(votes) AS votes, min(diagonal + low) AS first, max(diagonal + high + {k - 1}) AS last
+  FROM numbered GROUP BY doc_id, id, label, exact, runs, span
+),
+found AS (
+  SELECT *, least(votes * 1e0 / runs, 1e0) AS cover FROM spans
+  WHERE CASE WHEN exact THEN votes = runs ELSE least(votes * 1e0 / runs, 1e0) >= {licenses.LEAST_COVER} AND last - first + 1 <= {licenses.MOST_STRETCH}e0 * (runs + {k - 1}) END
+),
+by_doc AS (
+  SELECT doc_id, count(*) FILTER (WHERE exact) AS n_base, min(first) FILTER (WHERE exact) AS first_word, max(first) FILTER (WHERE exact) AS last_word,
+    {labels("exact")} AS base_labels, {labels("true")} AS labels, max(cover) AS score
+  FROM found GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0e0) AS score
+FROM w LEFT JOIN by_doc ON w.doc_id = by_doc.doc_id
+"""
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -93,4 +157,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk_search": TOPK_SQL}
+    return {"op2_topk_search": TOPK_SQL, "op6_ngram_jaccard_join": JACCARD_SQL, "op10_license_scan": _license_sql()}
