@@ -295,6 +295,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     final = components(edges.union(more))
     named = nodes.join(final.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    # Read anew by both: the minima are pre-aggregated, and a large component's side of the join can be split.
+    named = stored(named.select("key", "id", "component"), "jaccard-named")
     least_id = named.groupBy("component").agg(F.min("id").alias("least"))
     by_node = named.join(least_id, "component").select("key", "least")
     # Documents without shingles have no node.
