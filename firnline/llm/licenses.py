@@ -3,7 +3,7 @@
 Every k-word run of every text is hashed in the tasks, and Spark joins all of them to the places at which the same run stands in
 a template. A hit votes for the diagonal (place in the text - place in the template). Votes are added up by diagonal,
 neighbouring diagonals of one template are merged (inserted or missing words move a diagonal), and a merged span counts if it
-covers enough of the template and is not much longer than it. Short phrases are templates whose every run must be there on one
+covers enough of the template, is not much longer than it and holds the runs that tell its license from others (DECIDING). Short phrases are templates whose every run must be there on one
 diagonal.
 
 Defined cases: NULL text counts as empty; a text without words has no place and score 0; a repeated id is one document per
@@ -54,6 +54,23 @@ TEMPLATES = [
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
 ]
 
+# Notices that the SQL of the query does not have.
+MORE_TEMPLATES = [
+    ("gpl-2", "this work is licensed under the gnu general public license version 2"),
+]
+
+_VERSIONS = ["4 0", "3 0", "2 5", "2 1", "2 0", "1 0"]
+
+#: Runs that tell licenses of like words apart: of each list a passage must hold one, or it does not get the label.
+DECIDING = {
+    "apache-2": [["version 2 0", "license version 2"]],
+    "gpl-3": [["gnu general public"], ["version 3 of", "license version 3"]],
+    "gpl-2": [["gnu general public"], ["version 2 of", "license version 2"]],
+    "cc-by-nc": [["cc by nc", *(f"attribution noncommercial {v[0]}" for v in _VERSIONS)]],
+    "cc-by-sa": [[f"attribution sharealike {v[0]}" for v in _VERSIONS]],
+    "cc-by": [[f"attribution {v}" for v in _VERSIONS]],
+}
+
 #: Hash that stands for the document itself, so that one join gives hits and documents.
 _DOCUMENT = 0
 
@@ -65,14 +82,35 @@ def _word_hashes(texts: pa.Array) -> Iterator[tuple[flat.Flat, flat.Tokens, np.n
         yield part, words, flat.hashes(low, words.starts, words.ends)
 
 
-def template_places(spark, phrases=PHRASES, templates=TEMPLATES, k: int = RUN_WORDS) -> DataFrame:
-    """(hash, template, place, label, exact, runs): one row per run of each template; as many as the templates have words."""
-    rows = [(_DOCUMENT, -1, 0, "", False, 1)]
+def template_places(spark, phrases=PHRASES, templates=TEMPLATES + MORE_TEMPLATES, k: int = RUN_WORDS) -> DataFrame:
+    """(hash, template, place, label, exact, runs, vote, decides, needed): one row per run of each template, and per deciding run that it lacks.
+
+    decides has the bits of the deciding lists that hold the run; a passage needs all bits of needed. A deciding run of another
+    wording has no vote and stands where the template has its own.
+    """
+    rows = [(_DOCUMENT, -1, 0, "", False, 1, 1, 0, 0)]
     for i, (label, text, exact) in enumerate([(a, b, True) for a, b in phrases] + [(a, b, False) for a, b in templates]):
-        _, words, h = next(_word_hashes(pa.array([text])))
-        runs, at = flat.runs(h, words.doc, k)
-        rows += [(int(x), i, int(p), label, exact, len(runs)) for x, p in zip(runs.view(np.int64), at)]
-    return spark.createDataFrame(rows, "hash long, template int, place int, label string, exact boolean, runs int")
+        lists = [] if exact else DECIDING.get(label, [])
+        runs, at = _hashed_runs(text, k)
+        bits, others = dict.fromkeys(runs, 0), {}
+        for bit, wordings in enumerate(lists):
+            deciding = [x for wording in wordings for x in _hashed_runs(wording, k)[0]]
+            own = min(p for x, p in zip(runs, at) if x in deciding)
+            for x in deciding:
+                if x in bits:
+                    bits[x] |= 1 << bit
+                else:
+                    others[x] = (own, 1 << bit)
+        needed = (1 << len(lists)) - 1
+        rows += [(x, i, p, label, exact, len(runs), 1, bits[x], needed) for x, p in zip(runs, at)]
+        rows += [(x, i, p, label, exact, len(runs), 0, bit, needed) for x, (p, bit) in others.items()]
+    return spark.createDataFrame(rows, "hash long, template int, place int, label string, exact boolean, runs int, vote int, decides int, needed int")
+
+
+def _hashed_runs(text: str, k: int) -> tuple[list[int], list[int]]:
+    _, words, h = next(_word_hashes(pa.array([text])))
+    runs, at = flat.runs(h, words.doc, k)
+    return [int(x) for x in runs.view(np.int64)], [int(p) for p in at]
 
 
 def word_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = RUN_WORDS) -> DataFrame:
@@ -104,7 +142,7 @@ def license_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # As many rows as the templates have words: a size known beforehand.
     hits = word_runs(docs, id_col, text_col).join(F.broadcast(places), "hash")
     votes = hits.groupBy("doc_id", "row", "template", (F.col("at") - F.col("place")).alias("diagonal")).agg(
-        F.count(F.lit(1)).alias("votes"), F.min("place").alias("low"), F.max("place").alias("high"),
+        F.sum("vote").alias("votes"), F.bit_or("decides").alias("decides"), F.first("needed").alias("needed"), F.min("place").alias("low"), F.max("place").alias("high"),
         F.first("label").alias("label"), F.first("exact").alias("exact"), F.first("runs").alias("runs"),
     )
     by_template = Window.partitionBy("doc_id", "row", "template").orderBy("diagonal")
@@ -114,7 +152,7 @@ def license_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         votes.withColumn("span", F.sum(F.coalesce(starts, F.lit(True)).cast("int")).over(by_template))
         .groupBy("doc_id", "row", "template", "span")
         .agg(
-            F.sum("votes").alias("votes"), F.min(F.col("diagonal") + F.col("low")).alias("first"),
+            F.sum("votes").alias("votes"), F.bit_or("decides").alias("decides"), F.first("needed").alias("needed"), F.min(F.col("diagonal") + F.col("low")).alias("first"),
             F.max(F.col("diagonal") + F.col("high") + RUN_WORDS - 1).alias("last"), F.first("label").alias("label"),
             F.first("exact").alias("exact"), F.first("runs").alias("runs"), F.max("diagonal").alias("diagonal"),
         )
@@ -122,7 +160,7 @@ def license_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     cover = F.least(F.col("votes") / F.col("runs"), F.lit(1.0))
     length = F.col("last") - F.col("first") + 1
     verified = F.when(F.col("exact"), F.col("votes") == F.col("runs")).otherwise(
-        (cover >= LEAST_COVER) & (length <= MOST_STRETCH * (F.col("runs") + RUN_WORDS - 1))
+        (F.col("decides") == F.col("needed")) & (cover >= LEAST_COVER) & (length <= MOST_STRETCH * (F.col("runs") + RUN_WORDS - 1))
     )
     return spans.withColumn("cover", cover).filter((F.col("template") < 0) | verified)
 

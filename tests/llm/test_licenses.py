@@ -54,3 +54,18 @@ def test_base_labels_stay(spark):
     r = scan(spark, [(1, "under the MIT license under the mit license, Apache License Version 2")])[0]
     assert (r.n_base, r.first_word, r.last_word, r.base_labels, r.score) == (3, 0, 8, "apache-2,mit", 1.0)
     assert set(r.base_labels.split(",")) <= set(r.labels.split(","))
+
+
+def test_licenses_of_like_words_are_told_apart(spark):
+    gpl = next(t for label, t in licenses.TEMPLATES if label == "gpl-2")
+    rows = [
+        (1, "This work is licensed under the GNU General Public License, version 2."),
+        (2, gpl),
+        (3, "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+        (4, "licensed under the apache license version 1 1"),
+        (5, "This work is licensed under the GNU Lesser General Public License, version 3."),
+        (6, "This work is licensed under a Creative Commons Attribution 3.0 International License"),
+        (7, "Licensed under the Apache License, Version 2.0"),
+    ]
+    labels = {r.doc_id: r.labels for r in scan(spark, rows)}
+    assert [labels[i] for i in range(1, 8)] == ["gpl-2", "gpl-2", "cc-by-sa", "", "", "cc-by", "apache-2"]
