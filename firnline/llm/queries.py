@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firnline.llm import fingerprint, html, jaccard, licenses, lm, packing, pieces, quality, search, toxicity
+from firnline.llm import fingerprint, html, idfiles, jaccard, licenses, lm, packing, pieces, quality, search, toxicity
 from firnline.llm.common import remainder, table
+from firnline.session import new_path
 
 
 TOPK_SQL = """
@@ -134,6 +135,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op12_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-id-files")
+    idfiles.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return idfiles.read(spark, path)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -152,6 +159,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_scores": op8_lm_scores,
         "op9_toxicity": op9_toxicity,
         "op10_license_scan": op10_license_scan,
+        "op12_token_id_files": op12_token_id_files,
         "pipeline": pipeline,
     }
 
