@@ -149,6 +149,96 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID,
     spark = docs.sparkSession
     end = np.array([end_id], dtype="<u4").tobytes()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(tokenizer_path)
+        width = 2 if max(len(encoder.ends), end_id + 1) <= 1 << 16 else 4
+        part, number, before = TaskContext.get().partitionId(), 0, 0
+        names: list[int | None] = []
+        lengths: list[int] = []
+        ids, size = [], 0
+
+        def shard() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"shard": [Shard.encode(part, number, before, names, lengths, b"".join(ids), width)]})
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, TEXTS):
+                texts = [t or "" for t in column(batch, "text").slice(lo, TEXTS).to_pylist()]
+                for name, made in zip(column(batch, "doc_id").slice(lo, TEXTS).to_pylist(), encoder.encode(texts)):
+                    names.append(name)
+                    ids += (made, end)
+                    lengths.append(len(made) // 4 + 1)
+                    size += lengths[-1]
+                    if size >= shard_ids or len(names) == SHARD_DOCS:
+                        yield shard()
+                        number, before = number + 1, before + size
+                        names, lengths, ids, size = [], [], [], 0
+        if names:
+            yield shard()
+
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # Rows of one id are told apart by their texts' hash and then by row, so that none of their copies is bound to one task.
+    given = given.withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    order = [F.asc_nulls_first("doc_id"), F.asc("tie"), F.asc("row")]
+    parts = spread(docs, TASK_DOCS, docs.count())
+    dealt = given.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    # The cast keeps the bytes as they are, and so does the sink.
+    shards = dealt.mapInArrow(run, "shard binary").select(F.col("shard").cast("string").alias("value"))
+    shards.write.option("maxRecordsPerFile", 1).option("lineSep", LINE_END).text(f"{path}/shards")
+    heads = _files(spark, path).select(F.substring("content", 1, HEADER.size).alias("head")).mapInArrow(_heads, HEADS)
+    totals = heads.groupBy("part").agg(F.max("ids").alias("n_ids"), F.sum("docs").alias("n_docs"))
+    # One row per task that wrote.
+    so_far = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = totals.withColumn("ids_before", F.coalesce(F.sum("n_ids").over(so_far), F.lit(0))).withColumn("docs_before", F.coalesce(F.sum("n_docs").over(so_far), F.lit(0)))
+    placed.write.parquet(f"{path}/parts")
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    # A write without rows leaves one empty file.
+    return spark.read.format("binaryFile").load(f"{path}/shards").filter(F.col("length") > 0)
+
+
+HEADS = "part long, number long, ids long, docs long"
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        heads = [HEADER.unpack(h) for h in column(batch, "head").to_pylist()]
+        yield pa.RecordBatch.from_pydict({"part": [h[1] for h in heads], "number": [h[2] for h in heads], "ids": [h[5] + h[6] for h in heads], "docs": [h[3] for h in heads]})
+
+
+def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document in the files at path, and its ids if asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in column(batch, "content"):
+                shard = Shard(data.as_py())
+                names = pa.array(shard.doc_ids(), pa.int64())
+                for lo in range(0, shard.n_docs, TEXTS):
+                    bounds = shard.bounds.select(np.arange(lo, min(lo + TEXTS, shard.n_docs) + 1))
+                    ids = shard.ids[bounds[0] : bounds[-1]].astype("<u4")
+                    cuts = (bounds - bounds[0]).tolist()
+                    bytes_of = memoryview(ids.tobytes())
+                    out = [
+                        pa.array(np.full(len(cuts) - 1, shard.part)), names.slice(lo, TEXTS), pa.array(shard.before + bounds[:-1]), pa.array(np.diff(bounds)),
+                        pa.array([crc(bytes_of[4 * a : 4 * b]) for a, b in zip(cuts, cuts[1:])], pa.int64()),
+                    ]
+                    if with_ids:
+                        out.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.view(np.int32))))
+                    yield pa.RecordBatch.from_arrays(out, names=["part", "doc_id", "inside", "n_tokens", "ids_crc32", "ids"][: len(out)])
+
+    schema = "part long, doc_id long, inside long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
+    found = _files(spark, path).select("content").mapInArrow(run, schema)
+    parts = spark.read.parquet(f"{path}/parts").select("part", "ids_before")
+    placed = found.join(parts, "part").withColumn("start", F.col("ids_before") + F.col("inside"))
+    return placed.select("doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
+
+
+def document(spark: SparkSession, path: str, number: int) -> list[int] | None:
+    """Token ids of the document with this number (from 0, in the order of ids), from the one part and shard that hold it; None if there is none."""
+    part = spark.read.parquet(f"{path}/parts").filter((F.col("docs_before") <= number) & (F.col("docs_before") + F.col("n_docs") > number)).first()
+    if part is None:
+        return None
     head, at = F.substring("content", 1, HEADER.size), number - part["docs_before"]
     own = _files(spark, path).filter(F.substring("content", 9, 4) == F.lit(struct.pack("<I", part["part"])))
     for shard in own.select(head.alias("head")).mapInArrow(_heads, HEADS).orderBy("number").toLocalIterator():
