@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firnline.llm import fingerprint, html, idfiles, jaccard, licenses, lm, packing, pieces, quality, search, toxicity
+from firnline.llm import fingerprint, html, idfiles, jaccard, licenses, lm, packing, pieces, quality, runs, search, toxicity
 from firnline.llm.common import remainder, table
 from firnline.session import new_path
 
@@ -88,6 +88,39 @@ FROM w LEFT JOIN by_doc ON w.doc_id = by_doc.doc_id
 """
 
 
+# A run of at least 24 words and three periods repeats at least 16 words at its period, so equal 8-grams at that distance find it.
+# crc32 is made bit by bit from the digits of the id.
+RUNS_SQL = """
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+    list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))) AS bits
+  FROM documents
+),
+h AS (
+  SELECT doc_id, w, len(w) AS n,
+    xor(list_reduce(bits, lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295) AS h
+  FROM t
+),
+g AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a, 3 + (h // 10) % 8 AS cut FROM h),
+p AS (SELECT *, 1 + (n - a) // cut AS p FROM g),
+e AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w FROM p),
+k AS (SELECT doc_id, n, w, unnest(range(n - 7)) AS i FROM e WHERE n >= 24),
+k8 AS (SELECT doc_id, n, i, array_to_string(w[i + 1 : i + 8], ' ') AS k FROM k),
+m AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM k8 x JOIN k8 y ON x.doc_id = y.doc_id AND x.k = y.k AND y.i > x.i WHERE 3 * (y.i - x.i) <= x.n),
+s AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m),
+stretches AS (SELECT doc_id, q, min(i) AS start, count(*) + 7 + q AS length FROM s GROUP BY doc_id, q, island),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM stretches WHERE length >= greatest(24, 3 * q) GROUP BY doc_id, start, length),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length::HUGEINT * 1000000000000 // period DESC, start, period) AS rank FROM r),
+told AS (SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+word AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM e),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT e.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, length * 1000 // period AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM e LEFT JOIN told USING (doc_id) LEFT JOIN (SELECT * FROM best WHERE rank = 1) USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -141,6 +174,22 @@ def op12_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.read(spark, path)
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """docs of which about every tenth (by the hash of its id) goes on, from some word, with copies of the words from there."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    of = F.col
+    words = docs.withColumn("h", h).withColumn("words", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    at = words.withColumn("n", F.size("words")).withColumn("g", F.floor(of("h") / 10)).withColumn("a", (of("g") % of("n")).cast("int"))
+    at = at.withColumn("p", (1 + F.floor((of("n") - of("a")) / (3 + of("g") % 8))).cast("int")).withColumn("times", F.ceil((of("n") - of("a")) / of("p")).cast("int"))
+    copies = F.slice(F.flatten(F.array_repeat(F.slice("words", of("a") + 1, of("p")), of("times"))), F.lit(1), of("n") - of("a"))
+    edited = F.array_join(F.concat(F.slice("words", F.lit(1), of("a")), copies), " ")
+    return at.select("doc_id", F.when(of("words").isNotNull() & (of("n") > 0), edited).otherwise(of("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.with_digests(runs.scan(with_planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -160,9 +209,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": op9_toxicity,
         "op10_license_scan": op10_license_scan,
         "op12_token_id_files": op12_token_id_files,
+        "op13_periodic_runs": op13_periodic_runs,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk_search": TOPK_SQL, "op6_ngram_jaccard_join": JACCARD_SQL, "op10_license_scan": _license_sql()}
+    return {"op2_topk_search": TOPK_SQL, "op6_ngram_jaccard_join": JACCARD_SQL, "op10_license_scan": _license_sql(), "op13_periodic_runs": RUNS_SQL}
