@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firnline.llm import fingerprint, html, idfiles, jaccard, licenses, lm, packing, pieces, quality, runs, search, toxicity
+from firnline.llm import fingerprint, html, idfiles, jaccard, licenses, lm, negatives, packing, pieces, quality, runs, search, toxicity
 from firnline.llm.common import remainder, table
 from firnline.session import new_path
 
@@ -88,6 +88,25 @@ FROM w LEFT JOIN by_doc ON w.doc_id = by_doc.doc_id
 """
 
 
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS vec
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.vec, b.vec) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) AS rank FROM s WHERE same),
+n AS (
+  SELECT p.anchor_id, p.other_id AS positive_id, s.other_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY s.score DESC, s.other_id) AS INTEGER) AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score WHERE p.rank <= 5
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
 # A run of at least 24 words and three periods repeats at least 16 words at its period, so equal 8-grams at that distance find it.
 # crc32 is made bit by bit from the digits of the id.
 RUNS_SQL = """
@@ -168,6 +187,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("id") % 100 == 0)
+
+
 def op12_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-id-files")
     idfiles.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
@@ -208,6 +232,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_scores": op8_lm_scores,
         "op9_toxicity": op9_toxicity,
         "op10_license_scan": op10_license_scan,
+        "op11_hard_negatives": op11_hard_negatives,
         "op12_token_id_files": op12_token_id_files,
         "op13_periodic_runs": op13_periodic_runs,
         "pipeline": pipeline,
@@ -215,4 +240,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk_search": TOPK_SQL, "op6_ngram_jaccard_join": JACCARD_SQL, "op10_license_scan": _license_sql(), "op13_periodic_runs": RUNS_SQL}
+    return {"op2_topk_search": TOPK_SQL, "op6_ngram_jaccard_join": JACCARD_SQL, "op10_license_scan": _license_sql(), "op11_hard_negatives": NEGATIVES_SQL, "op13_periodic_runs": RUNS_SQL}

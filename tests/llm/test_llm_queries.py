@@ -3,7 +3,7 @@ from harness import compare, connect
 
 from firnline.llm import queries as llm
 
-ROWS = {"op2_topk_search": None, "pipeline": None, "op1_best_fit_packing": None, "op7_html_text": "pages"}
+ROWS = {"op2_topk_search": None, "pipeline": None, "op1_best_fit_packing": None, "op7_html_text": "pages", "op11_hard_negatives": None}
 
 
 @pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
@@ -22,4 +22,4 @@ def test_runs_over_the_whole_table(spark, sf_dir, name):
 
 def test_each_operator_has_one_query():
     names = list(llm.queries())
-    assert [n.split("_")[0] for n in names[:-1]] == [f"op{i}" for i in range(1, 11)] and names[-1] == "pipeline"
+    assert [n.split("_")[0] for n in names[:-1]] == [f"op{i}" for i in range(1, 14)] and names[-1] == "pipeline"
