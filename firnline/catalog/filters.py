@@ -267,12 +267,20 @@ def mask_row(c):
     return c("raster_meta_fx").where("raster_id = 'bed' and var = 'mask'").first().asDict()
 
 
-@query("b25_strided_ice_points", """
-SELECT CAST(floor(col / 3e0) AS INTEGER) AS grid_ix, CAST(floor(row / 3e0) AS INTEGER) AS grid_iy, -1750000e0 + col * 2500e0 AS x, -620000e0 + row * 4000e0 AS y
-FROM {raster_cells_fx} WHERE raster_id = 'bed' AND var = 'mask' AND row % 3 = 0 AND col % 3 = 0 AND value IN (2, 3, 4)
+@query("b25_strided_ice_points", f"""
+WITH s AS (
+  SELECT 'antarctic' AS ice_sheet, row, col, -1750000e0 + col * 2500e0 AS x, -620000e0 + row * 4000e0 AS y FROM {{raster_cells_fx}} WHERE raster_id = 'bed' AND var = 'mask' AND value IN (2, 3, 4)
+  UNION ALL SELECT 'greenland', row, col, -500000e0 + col * 10000e0, -1450000e0 - row * 11500e0 FROM {{northern_cells_fx}} WHERE raster_id = 'bed_greenland' AND var = 'mask' AND value IN (2, 3, 4)
+)
+SELECT ice_sheet, CAST(floor(col / 3e0) AS INTEGER) AS grid_ix, CAST(floor(row / 3e0) AS INTEGER) AS grid_iy, x, y FROM s WHERE row % 3 = 0 AND col % 3 = 0
 """)
 def b25(c):
-    return raster.strided_points(mask_row(c), c("raster_cells_fx"), 3, [2, 3, 4]).select("grid_ix", "grid_iy", "x", "y")
+    out = None
+    for sheet, meta, cells, raster_id in (("antarctic", "raster_meta_fx", "raster_cells_fx", "bed"), ("greenland", "northern_meta_fx", "northern_cells_fx", "bed_greenland")):
+        row = c(meta).where((F.col("raster_id") == raster_id) & (F.col("var") == "mask")).first().asDict()
+        pts = raster.strided_points(row, c(cells), 3, [2, 3, 4]).select(F.lit(sheet).alias("ice_sheet"), "grid_ix", "grid_iy", "x", "y")
+        out = pts if out is None else out.unionByName(pts)
+    return out
 
 
 @query("b26_season_contains", "SELECT trace_id, collection FROM {traces_fx} WHERE contains(collection, 'DC8')")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from firnline.catalog.filters import FLAG_MEANINGS, GATE_VALID, PASSES, high_margin  # noqa: F401
 from firnline.catalog.registry import query
-from firnline.catalog.scans import XY3031, rounded, sampled
+from firnline.catalog.scans import MEAN_FIELD, XY3031, rounded, sampled, sampled_on, sheet_positions
+from firnline.session import new_path
 from firnline.functions import geo, labels, parse, radio
 from firnline.operators import near, qc, raster
 from firnline.plans import exponent, linkbudget as lb, sites, split
@@ -55,26 +56,48 @@ LEFT JOIN {{raster_cells_fx}} c ON c.var = 'mask' AND c.col = CAST(round_even(fc
 LEFT JOIN s_v s ON n.trace_id = s.trace_id
 """)
 def c03(c):
-    m, v = layer(c, "bed", "mask")
-    a = raster.sample(places(c), m, v, point_id="trace_id", method="nearest", edge=raster.PIXEL).select("trace_id", F.col("value").alias("mask_value"))
-    m, v = layer(c, "velocity", "v")
-    b = raster.sample(places(c), m, v, point_id="trace_id", edge=raster.PIXEL).select("trace_id", F.col("value").alias("v_value"))
-    return rounded(a.join(b, "trace_id"))
+    meta = c("raster_meta_fx").where("raster_id = 'bed' and var = 'mask' or raster_id = 'velocity' and var = 'v'")
+    layout = raster.grids(meta, raster.PIXEL)
+    # A windowed read: tiles are kept as files once, and the points' own tiles are read back.
+    path = new_path(c.spark, "tiles")
+    raster.write_tiles(raster.tiles(c("raster_cells_fx"), layout), path)
+    columns = {(g.name, layer.var): f"{layer.var}_value" for g in layout for layer in g.layers}
+    return rounded(raster.at_points(places(c), lambda found: raster.read_tiles(c.spark, path, found), layout, columns, point_id="trace_id").select("trace_id", "mask_value", "v_value"))
+
+
+PRODUCTS = ["bedmachine", "measures_vel", "itslive", "ghf", "era5"]
+#: (name, positions, raster, layer, edge rule, nearest) of every layer that c04 looks up.
+SOURCES = [
+    ("bed_s", "at_antarctic", "bed", "bed", "centre", False), ("bed_n", "at_greenland", "bed_greenland", "bed", "centre", False),
+    ("thick_s", "at_antarctic", "bed", "thickness", "centre", False), ("thick_n", "at_greenland", "bed_greenland", "thickness", "centre", False),
+    ("mask_s", "at_antarctic", "bed", "mask", "centre", True), ("mask_n", "at_greenland", "bed_greenland", "mask", "centre", True),
+    ("errbed_s", "at_antarctic", "bed", "errbed", "centre", False),
+    ("vx", "at_antarctic", "vector_velocity", "vx", "centre", False), ("vy", "at_antarctic", "vector_velocity", "vy", "centre", False),
+    ("ex", "at_antarctic", "vector_velocity", "errx", "centre", False), ("ey", "at_antarctic", "vector_velocity", "erry", "centre", False),
+    ("v_n", "at_greenland", "velocity", "v", "pixel", False), ("ve_n", "at_greenland", "velocity", "v_error", "pixel", False),
+    ("hf_s", "at_antarctic", "heat_flow", "HF", "centre", False), ("hf_n", "at_greenland", "heat_flow_greenland", "HF", "centre", False),
+    ("hfmin", "at_antarctic", "heat_flow", "HFmin", "centre", False), ("hfmax", "at_antarctic", "heat_flow", "HFmax", "centre", False),
+]
+_S = "sqrt(vx.value * vx.value + vy.value * vy.value)"
 
 
 @query("c04_all_covariates", f"""
-WITH {XY3031}, {NEAREST}, {sampled('bed')}, {sampled('thickness')}, {sampled('vx')}, {sampled('vy')}, {sampled('HF')}
-SELECT t.trace_id, round(b.value, 5) AS bedmachine_bed_m, round(h.value, 5) AS bedmachine_thickness_m, k.value AS bedmachine_mask,
-  round(sqrt(x.value * x.value + y.value * y.value), 5) AS surface_v_m_yr, round(g.value * 1000, 5) AS ghf_mW_m2
-FROM {{traces_fx}} t LEFT JOIN s_bed b ON t.trace_id = b.trace_id LEFT JOIN s_thickness h ON t.trace_id = h.trace_id
-LEFT JOIN s_vx x ON t.trace_id = x.trace_id LEFT JOIN s_vy y ON t.trace_id = y.trace_id LEFT JOIN s_HF g ON t.trace_id = g.trace_id
-LEFT JOIN (SELECT n.trace_id, c.value FROM n JOIN {{raster_cells_fx}} c ON c.var = 'mask' AND fc >= 0 AND fc <= nx - 1 AND fr >= 0 AND fr <= ny - 1
-  AND c.col = CAST(ceil(fc - 0.5e0) AS BIGINT) AND c.row = CAST(ceil(fr - 0.5e0) AS BIGINT)) k ON t.trace_id = k.trace_id
+WITH {MEAN_FIELD}, {sheet_positions('{places_fx}')}, {sampled_on('t2m', 'at_all', 'temperature', 't2m', meta='mean_meta', cells='mean_cells')},
+{', '.join(sampled_on(*s[:4], edge=s[4], nearest=s[5]) for s in SOURCES)}
+SELECT p.trace_id, round(coalesce(bed_s.value, bed_n.value), 5) AS bedmachine_bed_m, round(coalesce(thick_s.value, thick_n.value), 5) AS bedmachine_thickness_m,
+  coalesce(mask_s.value, mask_n.value) AS bedmachine_mask, round(errbed_s.value, 5) AS bedmachine_errbed_m,
+  round(coalesce({_S}, v_n.value), 5) AS surface_v_m_yr,
+  round(coalesce(CASE WHEN {_S} > 0 THEN sqrt(pow(vx.value * ex.value, 2) + pow(vy.value * ey.value, 2)) / {_S} ELSE sqrt(pow(ex.value, 2) + pow(ey.value, 2)) END, ve_n.value), 5) AS surface_v_error_m_yr,
+  round(coalesce(hf_s.value, hf_n.value) * 1000, 5) AS ghf_mW_m2, round(hfmin.value * 1000, 5) AS ghf_min_mW_m2, round(hfmax.value * 1000, 5) AS ghf_max_mW_m2,
+  round(t2m.value, 5) AS era5_t2m_mean_K
+FROM {{places_fx}} p LEFT JOIN t2m ON p.trace_id = t2m.trace_id {' '.join(f'LEFT JOIN {s[0]} ON p.trace_id = {s[0]}.trace_id' for s in SOURCES)}
 """)
 def c04(c):
-    meta = c("raster_meta_fx").where("var not in ('source', 'errbed')")
-    out = covariates.attach_all(places(c), ["bedmachine", "measures_vel", "itslive", "ghf"], "antarctic", meta, c("raster_cells_fx"), "trace_id")
-    return rounded(out.select("trace_id", "bedmachine_bed_m", "bedmachine_thickness_m", "bedmachine_mask", "surface_v_m_yr", "ghf_mW_m2"), 5)
+    meta, cells = covariates.climatology_raster(c("climatology_fx"))
+    meta = c("sheet_meta_fx").unionByName(meta)
+    cells = c("sheet_cells_fx").unionByName(cells)
+    out = covariates.attach_all(c("places_fx"), PRODUCTS, F.col("ice_sheet"), meta, cells, "trace_id")
+    return rounded(out.drop("ice_sheet", "longitude", "latitude", "bedmachine_surface_m"), 5)
 
 
 def knn1(radius: float, extra: str = "") -> str:

@@ -159,6 +159,42 @@ FROM (SELECT CAST(floor((max(event_id) + 1) / 100e0) AS BIGINT) AS ny FROM {even
 """ + spread("v", "raster_id, var, method, region", "'bed', 'bed', 'bilinear', 'global'", "'bed', 'thickness', 'bilinear', 'global'", "'bed', 'mask', 'nearest', 'global'", "'bed', 'errbed', 'bilinear', 'global'", "'bed', 'source', 'nearest', 'global'", "'velocity', 'v', 'bilinear', 'greenland'", "'velocity', 'v_error', 'bilinear', 'greenland'", "'vector_velocity', 'vx', 'bilinear', 'antarctic'", "'vector_velocity', 'vy', 'bilinear', 'antarctic'", "'vector_velocity', 'errx', 'bilinear', 'antarctic'", "'vector_velocity', 'erry', 'bilinear', 'antarctic'", "'heat_flow', 'HF', 'bilinear', 'antarctic'", "'heat_flow', 'HFmin', 'bilinear', 'antarctic'", "'heat_flow', 'HFmax', 'bilinear', 'antarctic'") + """
 """
 
+# Trace places on their own sheet: Greenland ones in the north, and some at the seam of longitudes.
+RELATIONS["places_fx"] = """
+SELECT trace_id, ice_sheet,
+  CASE WHEN trace_id % 50 = 3 THEN 179.9e0 - (trace_id % 3) * 179.95e0 WHEN ice_sheet = 'greenland' THEN -55e0 + ((trace_id * 7919) % 10007) / 500e0 ELSE longitude END AS longitude,
+  CASE WHEN ice_sheet = 'greenland' THEN 66e0 + ((trace_id * 104729) % 10007) / 1000e0 ELSE latitude END AS latitude
+FROM {traces_fx}
+"""
+
+# The northern counterparts of the raster layers, in their own projection, with rows from north to south.
+RELATIONS["northern_cells_fx"] = """
+SELECT v.raster_id, v.var, CAST(floor(e.event_id / 100e0) AS BIGINT) AS row, e.event_id % 100 AS col,
+  CASE WHEN v.var = 'mask' THEN 1e0 + (CAST(floor(e.event_id / 700e0) AS BIGINT) + CAST(floor((e.event_id % 100) / 7e0) AS BIGINT)) % 4
+    WHEN e.event_id % 401 = 55 THEN -9999e0
+    WHEN v.var = 'bed' THEN -200e0 + 5e0 * (e.event_id % 100) - 2e0 * floor(e.event_id / 100e0)
+    WHEN v.var = 'thickness' THEN 1200e0 - 4e0 * (e.event_id % 100) + 3e0 * floor(e.event_id / 100e0)
+    WHEN v.var = 'v' THEN ((e.event_id * 83) % 3000) / 10e0
+    WHEN v.var = 'v_error' THEN ((e.event_id * 79) % 250) / 10e0
+    WHEN v.var = 'HF' THEN 0.055e0 + (e.event_id % 50) / 1000e0
+    END AS value
+FROM {events} e """ + spread("v", "raster_id, var", "'bed_greenland', 'bed'", "'bed_greenland', 'thickness'", "'bed_greenland', 'mask'", "'velocity', 'v'", "'velocity', 'v_error'", "'heat_flow_greenland', 'HF'") + """
+"""
+RELATIONS["northern_meta_fx"] = """
+SELECT v.raster_id, v.var, v.method, 'greenland' AS region, 'EPSG:3413' AS crs, -500000e0 AS x0, 10000e0 AS dx, CAST(100 AS BIGINT) AS nx,
+  -1450000e0 AS y0, -11500e0 AS dy, e.ny, -9999e0 AS nodata
+FROM (SELECT CAST(floor((max(event_id) + 1) / 100e0) AS BIGINT) AS ny FROM {events}) e
+""" + spread("v", "raster_id, var, method", "'bed_greenland', 'bed', 'bilinear'", "'bed_greenland', 'thickness', 'bilinear'", "'bed_greenland', 'mask', 'nearest'", "'velocity', 'v', 'bilinear'", "'velocity', 'v_error', 'bilinear'", "'heat_flow_greenland', 'HF', 'bilinear'") + """
+"""
+# All layers of both sheets, each valid on its own sheet.
+RELATIONS["sheet_cells_fx"] = """
+SELECT raster_id, var, row, col, value FROM {raster_cells_fx} WHERE raster_id <> 'velocity' UNION ALL SELECT raster_id, var, row, col, value FROM {northern_cells_fx}
+"""
+RELATIONS["sheet_meta_fx"] = """
+SELECT raster_id, var, method, 'antarctic' AS region, crs, x0, dx, nx, y0, dy, ny, nodata FROM {raster_meta_fx} WHERE raster_id <> 'velocity'
+UNION ALL SELECT raster_id, var, method, region, crs, x0, dx, nx, y0, dy, ny, nodata FROM {northern_meta_fx}
+"""
+
 # Hour x day x latitude x longitude temperatures, one per event.
 RELATIONS["climatology_fx"] = """
 SELECT (CAST(floor(event_id / 108e0) AS BIGINT) % 4) * 6 AS hour, CAST(floor(event_id / 432e0) AS BIGINT) AS dayofyear,

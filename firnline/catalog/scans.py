@@ -102,6 +102,38 @@ s_{var} AS (SELECT p.trace_id, CASE WHEN count(c.value) = 4 THEN
 """
 
 
+def polar_sql(src: str, key: str, lat_ts: float, lon0: float, sign: int) -> str:
+    """Projected positions of the rows of src, written out for the checking engine."""
+    p, tsr = f"radians({sign} * latitude)", f"radians({abs(lat_ts)})"
+    return f"""SELECT {key}, rho * sin(radians(longitude) - radians({lon0})) AS px, {-sign} * rho * cos(radians(longitude) - radians({lon0})) AS py FROM (
+  SELECT {key}, longitude, 6378137e0 * m / t0 * tan(pi() / 4 - {p} / 2) * pow((1 + e * sin({p})) / (1 - e * sin({p})), e / 2) AS rho
+  FROM {src} CROSS JOIN (SELECT e, cos({tsr}) / sqrt(1 - e * e * pow(sin({tsr}), 2)) AS m, tan(pi() / 4 - {tsr} / 2) * pow((1 + e * sin({tsr})) / (1 - e * sin({tsr})), e / 2) AS t0
+    FROM (SELECT sqrt(2 / 298.257223563e0 - pow(1 / 298.257223563e0, 2)) AS e) q) k) r"""
+
+
+def sheet_positions(src: str) -> str:
+    """CTEs at_antarctic, at_greenland and at_all: projected positions of the rows of each sheet, and degrees of all."""
+    south = polar_sql(f"(SELECT * FROM {src} WHERE ice_sheet = 'antarctic') g", "trace_id", -71.0, 0.0, -1)
+    north = polar_sql(f"(SELECT * FROM {src} WHERE ice_sheet = 'greenland') g", "trace_id", 70.0, -45.0, 1)
+    return f"at_antarctic AS ({south}),\nat_greenland AS ({north}),\nat_all AS (SELECT trace_id, longitude AS px, latitude AS py FROM {src})"
+
+
+def sampled_on(name: str, at: str, raster_id: str, var: str, edge: str = "centre", nearest: bool = False, meta: str = "{sheet_meta_fx}", cells: str = "{sheet_cells_fx}") -> str:
+    """CTE text: value of one layer at the positions of ``at``, as (trace_id, value)."""
+    pos = f"""p_{name} AS (SELECT trace_id, (px - x0) / dx AS fc, (py - y0) / dy AS fr, nx, ny, nodata FROM {at} CROSS JOIN (SELECT * FROM {meta} WHERE raster_id = '{raster_id}' AND var = '{var}') m)"""
+    inside = "fc >= 0 AND fc <= nx - 1 AND fr >= 0 AND fr <= ny - 1" if edge == "centre" else "true"
+    layer = f"(SELECT * FROM {cells} WHERE raster_id = '{raster_id}' AND var = '{var}') c"
+    if nearest:
+        near = (lambda f: f"ceil({f} - 0.5e0)") if edge == "centre" else (lambda f: f"round_even({f}, 0)")
+        return f"""{pos},
+{name} AS (SELECT p.trace_id, c.value FROM p_{name} p JOIN {layer} ON c.col = CAST({near('fc')} AS BIGINT) AND c.row = CAST({near('fr')} AS BIGINT) AND coalesce(c.value <> p.nodata, true) WHERE {inside})"""
+    low = (lambda f, n: f"greatest(least(floor({f}), {n} - 2), 0)") if edge == "centre" else (lambda f, n: f"floor({f})")
+    return f"""{pos},
+q_{name} AS (SELECT *, CAST({low('fc', 'nx')} AS BIGINT) AS c0, CAST({low('fr', 'ny')} AS BIGINT) AS r0 FROM p_{name} WHERE {inside}),
+{name} AS (SELECT p.trace_id, sum(c.value * (CASE WHEN c.col = c0 THEN 1 - (fc - c0) ELSE fc - c0 END) * (CASE WHEN c.row = r0 THEN 1 - (fr - r0) ELSE fr - r0 END)) AS value
+  FROM q_{name} p JOIN {layer} ON c.col IN (c0, c0 + 1) AND c.row IN (r0, r0 + 1) AND coalesce(c.value <> p.nodata, true) GROUP BY p.trace_id HAVING count(c.value) = 4)"""
+
+
 @query("a07_bed_layers", f"""
 WITH {XY3031}, {sampled('bed')}, {sampled('thickness')}
 SELECT t.trace_id, round(b.value, 5) AS bedmachine_bed_m, round(h.value, 5) AS bedmachine_thickness_m
@@ -147,13 +179,24 @@ def a10(c):
     return rounded(out.select("trace_id", "ghf_mW_m2", "ghf_min_mW_m2", "ghf_max_mW_m2"), 5)
 
 
-@query("a11_climatology_source", """
-SELECT longitude, latitude, round(avg(t2m), 6) AS era5_t2m_mean_K, count(*) AS n FROM {climatology_fx} GROUP BY longitude, latitude
+# The mean field of the climatology as a raster of degrees, its seam closed.
+MEAN_FIELD = """
+f AS (SELECT CASE WHEN longitude >= 180 THEN longitude - 360 ELSE longitude END AS x, latitude AS y, avg(t2m) AS value FROM {climatology_fx} GROUP BY 1, 2),
+closed AS (SELECT x, y, value FROM f UNION ALL SELECT 180e0, y, value FROM f WHERE x = -180 AND y NOT IN (SELECT y FROM f WHERE x >= 180)),
+mean_meta AS (SELECT 'temperature' AS raster_id, 't2m' AS var, min(x) AS x0, (max(x) - min(x)) / greatest(count(DISTINCT x) - 1, 1) AS dx, count(DISTINCT x) AS nx,
+  min(y) AS y0, (max(y) - min(y)) / greatest(count(DISTINCT y) - 1, 1) AS dy, count(DISTINCT y) AS ny, CAST(NULL AS DOUBLE) AS nodata FROM closed),
+mean_cells AS (SELECT 'temperature' AS raster_id, 't2m' AS var, CAST(round((x - x0) / dx) AS BIGINT) AS col, CAST(round((y - y0) / dy) AS BIGINT) AS row, value FROM closed CROSS JOIN mean_meta)
+"""
+
+
+@query("a11_climatology_source", f"""
+WITH {MEAN_FIELD}, {sheet_positions('{places_fx}')}, {sampled_on('t', 'at_all', 'temperature', 't2m', meta='mean_meta', cells='mean_cells')}
+SELECT p.trace_id, round(t.value, 6) AS era5_t2m_mean_K FROM {{places_fx}} p LEFT JOIN t ON p.trace_id = t.trace_id
 """)
 def a11(c):
-    clim = c("climatology_fx")
-    n = clim.groupBy("longitude", "latitude").agg(F.count(F.lit(1)).alias("n"))
-    return rounded(covariates.mean_field(clim).withColumnRenamed("t2m", "era5_t2m_mean_K").join(n, ["longitude", "latitude"]))
+    meta, cells = covariates.climatology_raster(c("climatology_fx"))
+    out = covariates.attach(c("places_fx").select("trace_id", "longitude", "latitude"), "era5", meta, cells, "trace_id")
+    return rounded(out.select("trace_id", "era5_t2m_mean_K"))
 
 
 @query("a12_write_trace_table", """

@@ -74,16 +74,22 @@ def wrap_longitude(lon: Column) -> Column:
     return F.pmod(lon + F.lit(180.0), F.lit(360.0)) - F.lit(180.0)
 
 
-def close_antimeridian(field: DataFrame, x: str = "x") -> DataFrame:
-    """Repeat the x = -180 column at x = +180 unless it is already there.
-
-    A field that already reaches 180 is returned unchanged, so the operator is
-    idempotent; the check reads one maximum.
-    """
-    top = field.agg(F.max(x)).first()[0]
-    if top is None or top >= 180.0:
-        return field
-    return field.unionByName(field.where(F.col(x) == -180.0).withColumn(x, F.lit(180.0)))
+def close_antimeridian(field: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """Repeat the x = -180 column at x = +180 on every row (of one y) that is not there yet, so doing it again changes nothing."""
+    closed = field.where(F.col(x) >= 180.0).select(y)
+    copies = field.where(F.col(x) == -180.0).withColumn(x, F.lit(180.0)).join(closed, y, "left_anti")
+    return field.unionByName(copies)
+
+
+def unproject_by_sheet(x: Column, y: Column, sheet: Column, crs_of: dict[str, str]) -> tuple[Column, Column]:
+    """Each row back to degrees from the system of its own sheet."""
+    lon = lat = None
+    for name, crs in crs_of.items():
+        a, b = unproject(x, y, crs)
+        hit = sheet == F.lit(name)
+        lon = F.when(hit, a) if lon is None else lon.when(hit, a)
+        lat = F.when(hit, b) if lat is None else lat.when(hit, b)
+    return lon, lat
 
 
 def cell_id(x: Column, y: Column, sheet: Column, size_m: float, codes: dict[str, str]) -> Column:

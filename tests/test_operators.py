@@ -1,11 +1,15 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from firnline.functions import geo
 from firnline.operators import near, ordering, qc, raster, stats, track
 from firnline.operators.levels import site_levels
-from firnline.schema import missing_as_null
+from firnline.schema import SHEET_CRS, missing_as_null
+from firnline.sources import covariates
 
 
 def brute(left, right, r, k=1, strict=True):
@@ -210,3 +214,84 @@ def test_mixture_histogram_keeps_mass(spark):
     df = spark.createDataFrame([("g", float(v), 8) for v in range(40, 60)], "k string, snr double, sd int")
     got = stats.mixture_histogram(df, ["k"], "snr", "sd", 4.0, 0.0, 100.0, 160).toPandas()
     assert got["mass"].sum() == pytest.approx(20.0, abs=1e-9)
+
+
+META = "raster_id string, var string, method string, crs string, x0 double, dx double, nx long, y0 double, dy double, ny long, nodata double, region string"
+
+
+def two_sheets(spark, nx=150, ny=70):
+    meta = [("south", "a", "bilinear", "EPSG:3031", -75e3, 1e3, nx, -35e3, 1e3, ny, -9999.0, "antarctic"), ("south", "m", "nearest", "EPSG:3031", -75e3, 1e3, nx, -35e3, 1e3, ny, -9999.0, "antarctic"),
+            ("north", "a", "bilinear", "EPSG:3413", -75e3, 1e3, nx, 35e3, -1e3, ny, None, "greenland")]
+    cells = [(r, v, i, j, float(-9999 if (r, v, i, j) == ("south", "a", 3, 3) else k * 1e6 + 1e3 * i + j)) for k, (r, v) in enumerate([("south", "a"), ("south", "m"), ("north", "a")]) for i in range(ny) for j in range(nx)]
+    return spark.createDataFrame(meta, META), spark.createDataFrame(cells, "raster_id string, var string, row long, col long, value double")
+
+
+def at_metres(spark, rows):
+    """(id, sheet, x, y) as degrees in the system of the sheet."""
+    lon, lat = geo.unproject_by_sheet(F.col("x"), F.col("y"), F.col("sheet"), SHEET_CRS)
+    return spark.createDataFrame(rows, "id long, sheet string, x double, y double").select("id", "sheet", lon.alias("longitude"), lat.alias("latitude"))
+
+
+@pytest.mark.parametrize("size", [3, 64, 1000])
+def test_each_row_meets_the_rasters_of_its_sheet_whatever_the_tiles(spark, size):
+    meta, cells = two_sheets(spark)
+    rng = np.random.default_rng(5)
+    rows = [(i, s, float(rng.uniform(-80e3, 80e3)), float(rng.uniform(-40e3, 40e3))) for i, s in enumerate(["antarctic", "greenland"] * 150)] + [(900, None, 0.0, 0.0), (901, "antarctic", -71.5e3, -31.5e3)]
+    layout = raster.grids(meta)
+    names = {("south", "a"): "a", ("south", "m"): "m", ("north", "a"): "a"}
+    got = {r["id"]: r for r in raster.at_points(at_metres(spark, rows), raster.tiles(cells, layout, size), layout, names, point_id="id", sheet=F.col("sheet"), size=size).collect()}
+    assert len(got) == len(rows)
+    for i, sheet, x, y in rows:
+        c, r = (x + 75e3) / 1e3, ((y + 35e3) if sheet == "antarctic" else (35e3 - y)) / 1e3
+        inside = sheet is not None and 0 <= c <= 149 and 0 <= r <= 69
+        if not inside or i == 901:
+            assert got[i]["a"] is None
+        else:
+            assert got[i]["a"] == pytest.approx((0 if sheet == "antarctic" else 2e6) + 1e3 * r + c, abs=1e-3)
+        assert got[i]["m"] == (1e6 + 1e3 * math.ceil(r - 0.5) + math.ceil(c - 0.5) if inside and sheet == "antarctic" else None)
+
+
+def test_points_outside_are_not_moved_and_files_without_points_not_read(spark, tmp_path):
+    meta, cells = two_sheets(spark)
+    layout = raster.grids(meta)
+    # 5 x 10 tiles of 16 cells in blocks of 2 x 2, per grid.
+    path = str(tmp_path / "tiles")
+    raster.write_tiles(raster.tiles(cells, layout, 16), path, group=2)
+    stored = spark.read.parquet(path)
+    assert stored.count() == 100 and len(stored.inputFiles()) == 30
+    rows = [(1, "antarctic", -74e3, -34e3), (2, "antarctic", -73.5e3, -33e3), (3, "antarctic", 9e6, 0.0), (4, "greenland", 70e3, -30e3)]
+    found = raster.spots(at_metres(spark, rows), layout, point_id="id", sheet=F.col("sheet"), size=16)
+    assert sorted(r["id"] for r in found.collect()) == [1, 2, 4]
+    read = raster.read_tiles(spark, path, found, group=2)
+    assert sorted(map(tuple, read.select("grid", "tile_row", "tile_col").collect())) == [("north", 4, 9), ("south", 0, 0)]
+    scan = next(line for line in read._jdf.queryExecution().executedPlan().toString().split("\n") if "PartitionFilters" in line and "block" in line)
+    assert "0_0" in scan and "2_4" in scan
+    one = raster.at_points(at_metres(spark, rows), lambda f: raster.read_tiles(spark, path, f, group=2), layout, {("south", "m"): "m"}, point_id="id", sheet=F.col("sheet"), size=16)
+    whole = raster.at_points(at_metres(spark, rows), raster.tiles(cells, layout, 16), layout, {("south", "m"): "m"}, point_id="id", sheet=F.col("sheet"), size=16)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, whole.collect()))
+    none = raster.read_tiles(spark, path, found.where("id > 99"), group=2)
+    assert none.count() == 0
+
+
+def test_climatology_is_periodic(spark):
+    rows = [(h, d, float(lon), float(lat), lon + lat / 10 + h) for h in (0, 6) for d in (1, 2) for lon in range(0, 360, 30) for lat in range(80, -81, -20)]
+    meta, cells = covariates.climatology_raster(spark.createDataFrame(rows, "hour int, dayofyear int, longitude double, latitude double, t2m double"))
+    pts = spark.createDataFrame([(1, 179.9, 0.0), (2, -179.9, 0.0), (3, 180.0, 20.0), (4, 15.0, 10.0), (5, 0.0, 85.0), (6, None, 0.0)], "id long, longitude double, latitude double")
+    got = {r["id"]: r["era5_t2m_mean_K"] for r in covariates.attach(pts, "era5", meta, cells, "id").collect()}
+    # From 150 to 180 degrees the field goes from 150 to 180, from -180 on from 180 to 210.
+    assert got[1] == pytest.approx(179.9 + 3) and got[2] == pytest.approx(180.1 + 3) and got[3] == pytest.approx(180 + 2 + 3)
+    assert got[4] == pytest.approx(15 + 1 + 3) and got[5] is None and got[6] is None
+    again = covariates.climatology_raster(spark.createDataFrame([], "hour int, dayofyear int, longitude double, latitude double, t2m double"))
+    assert [r["era5_t2m_mean_K"] for r in covariates.attach(pts, "era5", *again, "id").collect()] == [None] * 6
+
+
+def test_products_of_both_sheets_in_one_pass(spark):
+    cells = [("velocity", v, r, c, 5.0 + r) for v in ("v", "v_error") for r in range(4) for c in range(4)] + [("vector_velocity", v, r, c, k) for v, k in (("vx", 3.0), ("vy", 4.0), ("errx", 1.0), ("erry", 2.0)) for r in range(4) for c in range(4)]
+    meta = [("velocity", v, "bilinear", "EPSG:3413", -2e3, 1e3, 4, -2e3, 1e3, 4, None, "greenland") for v in ("v", "v_error")] + [("vector_velocity", v, "bilinear", "EPSG:3031", -2e3, 1e3, 4, -2e3, 1e3, 4, None, "antarctic") for v in ("vx", "vy", "errx", "erry")]
+    meta, cells = spark.createDataFrame(meta, META), spark.createDataFrame(cells, "raster_id string, var string, row long, col long, value double")
+    pts = at_metres(spark, [(1, "antarctic", 0.5e3, 0.5e3), (2, "greenland", 0.0, -1e3), (3, "greenland", 9e5, 0.0)])
+    out = {r["id"]: r for r in covariates.attach_all(pts, ["measures_vel", "itslive", "ghf"], F.col("sheet"), meta, cells, "id").collect()}
+    assert out[1]["surface_v_m_yr"] == pytest.approx(5.0) and out[1]["surface_v_error_m_yr"] == pytest.approx(math.hypot(3, 8) / 5)
+    assert out[2]["surface_v_m_yr"] == pytest.approx(6.0, abs=1e-6) and out[3]["surface_v_m_yr"] is None and out[1]["ghf_mW_m2"] is None
+    one = covariates.attach_all(pts, ["measures_vel", "itslive"], "greenland", meta, cells, "id")
+    assert {r["id"]: r["surface_v_m_yr"] for r in one.collect()}[1] is None
