@@ -20,8 +20,8 @@ FIRST_SPLIT = 8
 LEAF_POINTS = 4096
 
 
-def with_leaves(points: DataFrame, keys: list[str], radius: float, x: str, y: str, leaf_points: int = LEAF_POINTS) -> DataFrame:
-    """points (distinct positions) with the cell they are in: level ``_lv`` and numbers ``_fx``, ``_fy``.
+def with_leaves(points: DataFrame, keys: list[str], radius: float, x: str, y: str, leaf_points: int = LEAF_POINTS) -> tuple[DataFrame, int]:
+    """points (distinct positions) with the cell they are in, level ``_lv`` and numbers ``_fx``, ``_fy``; and the deepest level.
 
     A cell of level n is ``radius / FIRST_SPLIT ** n`` wide. Cells over ``leaf_points`` positions go
     one level down, cell by cell, until none is left; most tables need a single check.
@@ -38,7 +38,7 @@ def with_leaves(points: DataFrame, keys: list[str], radius: float, x: str, y: st
             full = cut_lineage(full)
             last = full.isEmpty()
         if last:
-            return placed if settled is None else settled.unionByName(placed)
+            return (placed if settled is None else settled.unionByName(placed)), level
         same = _same(on)
         full = full.withColumnsRenamed({k: f"_h{k}" for k in on})
         done = placed.join(full, same, "left_anti")
@@ -47,6 +47,13 @@ def with_leaves(points: DataFrame, keys: list[str], radius: float, x: str, y: st
         level += 1
 
 
+def _nodes(leaves: DataFrame, keys: list[str], radius: float, x: str, y: str, level: int) -> DataFrame:
+    """Summaries of all cells of one level, whole or cut: box, positions, and whether the cell is cut further."""
+    size = radius / FIRST_SPLIT**level
+    return leaves.where(F.col("_lv") >= level).groupBy(*keys, F.floor(F.col(x) / size).alias("_nx"), F.floor(F.col(y) / size).alias("_ny")).agg(
+        F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"), F.max(y).alias("_y1"), F.sum("_copies").alias("_nc"), (F.max("_lv") > level).alias("_cut"))
+
+
 def _same(on: list[str]) -> Column:
     out = F.lit(True)
     for k in on:
@@ -54,21 +61,26 @@ def _same(on: list[str]) -> Column:
     return out
 
 
-def _cells(leaves: DataFrame, keys: list[str], radius: float, x: str, y: str) -> DataFrame:
-    """Summaries of cells, repeated for the nine coarse cells that may look at them."""
-    fine = leaves.groupBy(*keys, "_lv", "_fx", "_fy").agg(
-        F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"), F.max(y).alias("_y1"),
-        F.sum("_copies").alias("_nc"))
+def _around(cells: DataFrame, radius: float) -> DataFrame:
+    """Summaries repeated for the nine coarse cells that may look at them."""
     coarse_x, coarse_y = F.floor(F.col("_x0") / radius), F.floor(F.col("_y0") / radius)
     step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     return (
-        fine.withColumns({"_ox": coarse_x, "_oy": coarse_y})
+        cells.withColumns({"_ox": coarse_x, "_oy": coarse_y})
         .withColumn("_dx", F.explode(step)).withColumn("_dy", F.explode(step))
         .withColumns({"_cx": F.col("_ox") + F.col("_dx"), "_cy": F.col("_oy") + F.col("_dy")})
         .drop("_ox", "_oy", "_dx", "_dy")
     )
 
 
+def _cells(leaves: DataFrame, keys: list[str], radius: float, x: str, y: str) -> DataFrame:
+    """Summaries of leaf cells, repeated for the nine coarse cells that may look at them."""
+    fine = leaves.groupBy(*keys, "_lv", "_fx", "_fy").agg(
+        F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"), F.max(y).alias("_y1"),
+        F.sum("_copies").alias("_nc"))
+    return _around(fine, radius)
+
+
 def _gap(v: Column, lo: str, hi: str) -> Column:
     return F.greatest(F.col(lo) - v, v - F.col(hi), F.lit(0.0))
 
@@ -112,40 +124,81 @@ def nearest_within(
         w = W.partitionBy(*keys, "_rx", "_ry").orderBy(right_id)
         points = points.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn").withColumn(
             "_copies", F.lit(1))
-    leaf = with_leaves(points, keys, radius, "_rx", "_ry", leaf_points)
-    cells = _cells(leaf, keys, radius, "_rx", "_ry")
-
-    lx, ly = F.col("_lx"), F.col("_ly")
+    leaf, depth = with_leaves(points, keys, radius, "_rx", "_ry", leaf_points)
     seekers = left.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        *on, F.col(left_id).alias("_lid"), *carry, F.col(x).cast("double").alias("_lx"), F.col(y).cast("double").alias("_ly"),
-    ).withColumns({"_cx": F.floor(lx / radius), "_cy": F.floor(ly / radius)})
-
-    low2 = F.pow(_gap(lx, "_x0", "_x1"), 2) + F.pow(_gap(ly, "_y0", "_y1"), 2)
-    high2 = F.pow(_reach(lx, "_x0", "_x1"), 2) + F.pow(_reach(ly, "_y0", "_y1"), 2)
-    cand = seekers.join(cells, [*on, "_cx", "_cy"])
-    if keep is not None:
-        cand = cand.where(keep())
-    cand = cand.withColumns({"_low": low2, "_high": high2}).where(F.col("_low") <= r2)
-    group = W.partitionBy("_lid", *per)
-    if k == 1:
-        bound = F.min("_high").over(group)
-    else:
-        cand = cand.withColumn(
-            "_cum", F.sum("_nc").over(group.orderBy("_high", "_lv", "_fx", "_fy").rowsBetween(W.unboundedPreceding, 0)))
-        bound = F.coalesce(F.min(F.when(F.col("_cum") >= k, F.col("_high"))).over(group), F.lit(r2))
-    # A hair of slack keeps rounding of the two bounds from dropping the winner.
-    cand = cand.withColumn("_bound", F.least(bound, F.lit(r2)) * (1 + 1e-12) + 1e-9).where(F.col("_low") <= F.col("_bound"))
-    cand = cand.select(*on, "_lid", *carry, *per, "_lx", "_ly", "_lv", "_fx", "_fy")
-
-    leaf = leaf.drop("_copies")
+        *on, F.col(left_id).alias("_lid"), *carry, F.col(x).cast("double").alias("_lx"), F.col(y).cast("double").alias("_ly"))
+    cand = candidates(seekers, leaf, depth, radius, on=on, per=per, carry=carry, k=k, keep=keep)
+    lx, ly = F.col("_lx"), F.col("_ly")
     d2 = F.pow(F.col("_rx") - lx, 2) + F.pow(F.col("_ry") - ly, 2)
-    pairs = cand.join(leaf, [*keys, "_lv", "_fx", "_fy"]).withColumn("_d2", d2)
+    pairs = cand.join(leaf.drop("_copies"), [*keys, "_lv", "_fx", "_fy"]).withColumn("_d2", d2)
     pairs = pairs.where(F.col("_d2") < r2 if strict else F.col("_d2") <= r2)
-    rank = F.row_number().over(group.orderBy("_d2", right_id))
+    if k == 1:
+        # The nearest is a minimum: tasks bring one row per point and cell set to the shuffle.
+        best = pairs.groupBy("_lid", *carry, *per).agg(F.min(F.struct("_d2", right_id)).alias("_b")).select("_lid", *carry, *per, "_b.*")
+        return best.select(F.col("_lid").alias(left_id), *carry, *per, right_id, F.sqrt("_d2").alias("dist"), F.lit(1).alias("rank"))
+    rank = F.row_number().over(W.partitionBy("_lid", *per).orderBy("_d2", right_id))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(
         F.col("_lid").alias(left_id), *carry, *per, right_id, F.sqrt("_d2").alias("dist"), "rank")
 
 
+def candidates(seekers: DataFrame, leaf: DataFrame, depth: int, radius: float, *, on: list[str], per: list[str], carry: list[str], k: int = 1,
+               keep: Callable[[], Column] | None = None) -> DataFrame:
+    """(on, _lid, carry, per, _lx, _ly, _lv, _fx, _fy): leaf cells that may hold one of the k nearest of each seeker.
+
+    Seekers meet the cells of level 1 in their 3 x 3 coarse cells.  Seekers and cells are moved by coarse cell and stay there
+    for both passes: the first finds how far the k-th can be at most, the second keeps the cells that begin
+    nearer.  Only kept cells that are cut are followed to their parts, level by level, with the bound
+    drawn in each time, so a dense place costs a seeker no more than the cells its bound crosses.
+    """
+    keys = [*on, *per]
+    r2 = float(radius) ** 2
+    lx, ly = F.col("_lx"), F.col("_ly")
+    low2 = F.pow(_gap(lx, "_x0", "_x1"), 2) + F.pow(_gap(ly, "_y0", "_y1"), 2)
+    high2 = F.pow(_reach(lx, "_x0", "_x1"), 2) + F.pow(_reach(ly, "_y0", "_y1"), 2)
+    mine = [*on, "_lid", *carry, *per, "_lx", "_ly"]
+
+    def bounded(met: DataFrame, group: list[str]) -> DataFrame:
+        """met with the square of the distance that the k-th nearest does not pass, from counts of cells in order of their far corners."""
+        over = W.partitionBy(*group)
+        if k == 1:
+            return met.withColumn("_most", F.min("_high").over(over))
+        cum = F.sum("_nc").over(over.orderBy("_high", "_nx", "_ny").rowsBetween(W.unboundedPreceding, 0))
+        met = met.withColumn("_cum", cum)
+        return met.withColumn("_most", F.min(F.when(F.col("_cum") >= k, F.col("_high"))).over(over)).drop("_cum")
+
+    # A hair of slack keeps rounding of the two bounds from dropping the winner.
+    inside = F.col("_low") <= F.least(F.coalesce("_most", F.lit(r2)), F.lit(r2)) * (1 + 1e-12) + 1e-9
+    first = _nodes(leaf, keys, radius, "_rx", "_ry", 1)
+    around = _around(first, radius)
+    placed = seekers.withColumns({"_cx": F.floor(lx / radius), "_cy": F.floor(ly / radius)})
+
+    def met_with(rows: DataFrame) -> DataFrame:
+        met = rows.join(around, [*on, "_cx", "_cy"])
+        if keep is not None:
+            met = met.where(keep())
+        return met.withColumns({"_low": low2, "_high": high2}).where(F.col("_low") <= r2)
+
+    here = [*on, "_cx", "_cy", "_lid", *carry, "_lx", "_ly"]
+    if k == 1 and not per:
+        # Rows of a seeker are in one place by its coarse cell: a minimum without a further shuffle, no order needed.
+        far = met_with(placed).groupBy(*here).agg(F.min("_high").alias("_most"))
+        cand = met_with(far).where(inside)
+    else:
+        cand = bounded(met_with(placed), [*on, "_cx", "_cy", "_lid", *per]).where(inside)
+    cand = cand.select(*mine, F.lit(1).alias("_lv"), "_nx", "_ny", "_cut", "_nc", "_high", "_most")
+    for level in range(2, depth + 1):
+        # What is kept is read twice below.
+        cand = cut_lineage(cand)
+        parts = _nodes(leaf, keys, radius, "_rx", "_ry", level).withColumns(
+            {"_qx": F.floor(F.col("_nx") / FIRST_SPLIT), "_qy": F.floor(F.col("_ny") / FIRST_SPLIT)})
+        cut = cand.where("_cut").select(*mine, F.col("_nx").alias("_qx"), F.col("_ny").alias("_qy"), F.col("_most").alias("_before"))
+        opened = cut.join(parts, [*keys, "_qx", "_qy"]).withColumns({"_low": low2, "_high": high2}).where(F.col("_low") <= F.least("_before", F.lit(r2)) * (1 + 1e-12) + 1e-9)
+        opened = opened.select(*mine, F.lit(level).alias("_lv"), "_nx", "_ny", "_cut", "_nc", "_high", "_low")
+        whole = cand.where("not _cut").withColumn("_low", F.lit(0.0)).select(*opened.columns)
+        cand = bounded(whole.unionByName(opened), ["_lid", *per]).where(inside).drop("_low")
+    return cand.select(*mine, "_lv", F.col("_nx").alias("_fx"), F.col("_ny").alias("_fy"))
+
+
 def ball_counts(df: DataFrame, radius: float, *, id_col: str, on: Sequence[str] = (), xy: tuple[str, str] = ("x", "y"),
                 name: str = "n_ball", leaf_points: int = LEAF_POINTS) -> DataFrame:
     """Points within ``radius`` (inclusive, self counted) of every point.
@@ -158,7 +211,7 @@ def ball_counts(df: DataFrame, radius: float, *, id_col: str, on: Sequence[str]
     r2 = float(radius) ** 2
     places = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(
         *on, F.col(x).cast("double").alias("_rx"), F.col(y).cast("double").alias("_ry")).agg(F.count(F.lit(1)).alias("_copies"))
-    leaf = with_leaves(places, on, radius, "_rx", "_ry", leaf_points)
+    leaf, _ = with_leaves(places, on, radius, "_rx", "_ry", leaf_points)
     cells = _cells(leaf, on, radius, "_rx", "_ry")
     lx, ly = F.col("_lx"), F.col("_ly")
     centres = places.select(*on, F.col("_rx").alias("_lx"), F.col("_ry").alias("_ly")).withColumns(

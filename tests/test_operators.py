@@ -59,11 +59,11 @@ def test_only_full_cells_are_cut(spark):
     dense = pd.DataFrame({"x": 1000 + rng.random(20_000) * 30, "y": 1000 + rng.random(20_000) * 30})
     thin = pd.DataFrame({"x": rng.random(300) * 1e5 + 5000, "y": rng.random(300) * 1e5})
     b = spark.createDataFrame(pd.concat([dense, thin], ignore_index=True))
-    cells = near.with_leaves(b, [], 300.0, "x", "y", 1000).groupBy("_lv", "_fx", "_fy").count().toPandas()
+    cells = near.with_leaves(b, [], 300.0, "x", "y", 1000)[0].groupBy("_lv", "_fx", "_fy").count().toPandas()
     assert cells["count"].max() <= 1000 and cells["count"].sum() == 20_300
     assert set(cells.loc[cells["count"] <= 2, "_lv"]) >= {1} and len(cells[cells["_lv"] == 1]) >= 290
     # A point far from the dense place meets no more cells than before: its neighbours were not cut.
-    far = near._cells(near.with_leaves(b, [], 300.0, "x", "y", 1000).withColumn("_copies", F.lit(1)), [], 300.0, "x", "y")
+    far = near._cells(near.with_leaves(b, [], 300.0, "x", "y", 1000)[0].withColumn("_copies", F.lit(1)), [], 300.0, "x", "y")
     assert far.where("_x0 > 5000").groupBy("_cx", "_cy").count().agg(F.max("count")).first()[0] <= 10
 
 
@@ -111,6 +111,36 @@ def test_ranks_are_distinct_and_ordered(spark):
         assert list(part["rank"]) == list(range(1, len(part) + 1)) and part["v"].is_monotonic_increasing and (part["n_total"] == len(part)).all()
 
 
+@pytest.mark.parametrize("k,most", [(1, 24), (4, 60)])
+def test_candidates_stay_few_where_every_cell_is_cut(spark, k, most):
+    # 24 x 24 cells of radius / 8, each with 400 positions and room for 50: all of them are cut.
+    rng = np.random.default_rng(11)
+    xy = [(c * 10 + x, r * 10 + y) for c in range(24) for r in range(24) for x, y in rng.uniform(0, 10, (60, 2))]
+    right = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "right_id long, _rx double, _ry double").withColumn("_copies", F.lit(1)).repartition(8).cache()
+    seekers = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(85, 155, (60, 2)))], "_lid long, _lx double, _ly double")
+    leaf, depth = near.with_leaves(right, [], 80.0, "_rx", "_ry", 20)
+    assert depth == 2 and leaf.where("_lv = 1").count() == 0
+    found = near.candidates(seekers, leaf, depth, 80.0, on=[], per=[], carry=[], k=k)
+    held = found.join(leaf, ["_lv", "_fx", "_fy"]).groupBy("_lid").count().agg(F.max("count"), F.count("count")).first()
+    # Of 34,560 positions around each of them.
+    assert held[0] <= most and held[1] == 60
+    got = near.nearest_within(seekers.select(F.col("_lid").alias("left_id"), F.col("_lx").alias("x"), F.col("_ly").alias("y")), right.select("right_id", F.col("_rx").alias("x"), F.col("_ry").alias("y")), 80.0, k=k, leaf_points=20)
+    want = brute([tuple(r) for r in seekers.collect()], [(i, x, y) for i, (x, y) in enumerate(xy)], 80.0, k)
+    assert {(r["left_id"], r["rank"], r["right_id"]) for r in got.collect()} == {(i, n + 1, j) for i, js in want.items() for n, (j, _) in enumerate(js)}
+
+
+def test_one_nearest_needs_no_window_and_moves_seekers_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        pts = spark.range(100).select(F.col("id"), F.col("id").cast("double").alias("x"), (F.col("id") * 7 % 50).cast("double").alias("y"))
+        plan = near.nearest_within(pts.withColumnRenamed("id", "left_id"), pts.withColumnRenamed("id", "right_id"), 5.0)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Window" not in plan
+    # Nine coarse cells are dealt by _cx and _cy: seekers, and cells for either pass (one of them is reused at run time).
+    assert plan.count("Exchange hashpartitioning(_cx") <= 3
+
+
 def linear_raster(spark, n=11, nodata=None):
     cells = [("r", "v", r, c, 2.0 * (100 + c * 10) + 3.0 * (50 + r * 10) + 1) for r in range(n) for c in range(n)]
     if nodata:
