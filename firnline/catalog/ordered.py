@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from firnline.catalog.aggregates import LEVELS
 from firnline.catalog.filters import FLAG_MEANINGS, PREPARED, analysis_population, truth_set  # noqa: F401
 from firnline.catalog.registry import query
+from firnline.catalog.scalars import RULE_HITS
 from firnline.catalog.scans import rounded
 from firnline.operators import ordering as od, qc, raster, stats, track
 from firnline.operators.levels import site_levels
@@ -164,15 +165,13 @@ def f04(c):
     return per.select("name", "n", F.row_number().over(w).alias("panel")).orderBy("panel")
 
 
-@query("f05_errors_before_warnings", """
-WITH s AS (SELECT scenario_id, unnest([CASE WHEN altitude_m <= 0 THEN 0 END, CASE WHEN pa_efficiency > 1 THEN 2 END, CASE WHEN pa_efficiency > 0.5e0 THEN 1003 END,
-  CASE WHEN altitude_m > 0 AND altitude_m < 80 THEN 1021 END, CASE WHEN epsilon_r < 1 THEN 12 END, CASE WHEN surface_reflectivity_dB < -25 THEN 1026 END]) AS p FROM {scenarios_fx} WHERE payload_power_W IS NOT NULL)
-SELECT scenario_id, CAST(p AS INTEGER) AS position FROM s WHERE p IS NOT NULL ORDER BY scenario_id, position
+@query("f05_errors_before_warnings", f"""
+WITH {RULE_HITS}
+SELECT scenario_id, split_part(h, '|', 3) AS id, CAST(row_number() OVER (PARTITION BY scenario_id ORDER BY split_part(h, '|', 2), split_part(h, '|', 3)) AS INTEGER) AS position
+FROM r WHERE h IS NOT NULL ORDER BY scenario_id, position
 """)
 def f05(c):
-    hits = lb.check(lb.scalars(c("scenarios_fx")))
-    return hits.where(F.col("id").isin("altitude", "efficiency", "efficiency_ab", "low_altitude", "permittivity", "reflectivity_low")).select(
-        "scenario_id", F.col("position").cast("int").alias("position")).orderBy("scenario_id", "position")
+    return lb.check(lb.scalars(c("scenarios_fx"))).select("scenario_id", "id", F.col("position").cast("int").alias("position")).orderBy("scenario_id", "position")
 
 
 @query("g01_union_all", """

@@ -64,14 +64,16 @@ def fit_mixture_probit(df: DataFrame, group: str, margin: str, detected: str, *,
             else:
                 st["lam"] *= 10
                 if st["lam"] > 1e10:
-                    st["done"] = True
+                    # No step goes up any more: this is the top only if the quadratic through it promises next to nothing.
+                    promise = 0.5 * float(st["g"] @ np.linalg.lstsq(st["h"], st["g"], rcond=None)[0])
+                    st.update(done=True, stuck=promise > 100 * tol * (1 + abs(st["best"])))
             a = st["h"] + st["lam"] * np.diag(np.diag(st["h"]) + 1e-9)
             st["try"] = st["at"] + np.clip(np.linalg.lstsq(a, st["g"], rcond=None)[0], -2, 2)
     n_of = {r["g"]: r["n"] for r in counts.groupBy("g").agg(F.sum("n").alias("n")).collect()}
     out = []
     for g in groups:
         b = max((state[g, s] for s in range(len(STARTS))), key=lambda v: v["best"])
-        out.append((g, float(b["at"][0]), float(math.exp(b["at"][1])), float(1 / (1 + math.exp(-b["at"][2]))), int(n_of[g]), float(-b["best"]), bool(b["done"])))
+        out.append((g, float(b["at"][0]), float(math.exp(b["at"][1])), float(1 / (1 + math.exp(-b["at"][2]))), int(n_of[g]), float(-b["best"]), bool(b["done"] and not b.get("stuck"))))
     return df.sparkSession.createDataFrame(out, "season string, theta_dB double, tau_dB double, pi double, n bigint, nll double, converged boolean")
 
 

@@ -289,6 +289,9 @@ def fit_all(rows: DataFrame, design: Design, fits: Sequence[Fit], detection: Det
                 else:
                     st["lam"] = max(st["lam"] * 20, 1e-3)
                     if st["lam"] > 1e12:
+                        # No step goes up any more: either this is the top, as far as sums of doubles can tell, or the fit has failed.
+                        if f.gradient > 1e3 * tol * (1 + abs(st["best"])) ** 0.5:
+                            raise ArithmeticError(f"fit {f.fit_id} is stuck after {f.iterations} steps with a gradient of {f.gradient:.3g}")
                         st["done"] = True
                         continue
                 n = -st["h"]
