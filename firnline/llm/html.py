@@ -4,16 +4,20 @@ A tree builder reads tags with the usual implied ends (a paragraph ends where a
 one does), keeps raw text elements whole and takes stray end tags. The renderer walks the tree without recursion: it leaves out
 what is not shown (scripts, styles, templates, hidden elements and those that an inline style hides, closed details), collapses
 blanks except in preformatted text, puts blocks on lines of their own with empty lines where paragraphs, headings, lists and tables have
-a margin, marks and indents list items, and aligns the cells of a table in columns. All visible text is kept.
+a margin, marks and indents list items, and aligns the cells of a table in columns. All visible text is kept, that of formulas, drawings and
+the contents of objects too. Work grows in proportion to the page, however its tags are nested.
 
-Defined cases: NULL and empty pages give the empty text; markup that is cut off is read as far as it goes, a lone `<` is text; repeated
+Defined cases: NULL and empty pages give the empty text; a comment or an element that is cut off goes to the end, a tag that is cut off and a lone `<` are text; repeated
 ids are rendered per row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +28,7 @@ from firnline.llm.common import column, map_batches
 # Element names of the HTML standard by their role here.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style iframe noembed noframes noscript textarea title xmp".split())
-NOT_SHOWN = set("head script style template iframe noembed noframes noscript title datalist object audio video canvas svg math".split())
+NOT_SHOWN = set("head script style template iframe noembed noframes noscript title datalist audio video canvas annotation annotation-xml defs desc metadata".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary ul xmp caption".split())
 MARGIN = set("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 menu ol p pre table ul xmp".split())
 TABLE_PARTS = set("table thead tbody tfoot tr td th caption colgroup".split())
@@ -46,7 +50,8 @@ ENDS = {
 ENDS_PARAGRAPH = BLOCK - {"html", "body", "option", "optgroup", "legend", "caption"} | {"table"}
 HEAD_PARTS = set("base link meta title style script noscript template head html".split())
 
-TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# A tag that does not end before the next one begins is text, so no part of a page is looked through again and again.
+TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 BLANKS = re.compile(r"[ \t\n\r\f]+")
@@ -54,6 +59,11 @@ BLANKS = re.compile(r"[ \t\n\r\f]+")
 #: A column is as wide as its widest cell of at most so many characters; longer cells stand out.
 MOST_WIDTH = 80
 MOST_SPAN = 1000
+#: Lines are indented by at most so many blanks, and tables inside more tables than this are laid out as blocks.
+MOST_INDENT = 60
+#: Columns that would begin behind this place in a line are not aligned.
+MOST_EDGE = 500
+MOST_TABLES = 20
 
 
 class Node:
@@ -67,23 +77,28 @@ def parse(html: str) -> Node:
     """Tree of a page; texts are strings among the children."""
     root = Node("#root", {})
     stack = [root]
+    # Places in the stack of the open elements of each name.
+    places: defaultdict[str, list[int]] = defaultdict(list)
     at, size = 0, len(html)
 
     def text(raw: str) -> None:
         if raw:
             # Text ends the head.
-            if any(n.tag == "head" for n in stack) and raw.strip():
+            if places["head"] and raw.strip():
                 close({"head"}, set())
             stack[-1].children.append(unescape(raw))
 
+    def innermost(tags: set[str]) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=0)
+
     def close(tags: set[str], stops: set[str]) -> bool:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return True
-            if stack[i].tag in stops:
-                return False
-        return False
+        """End the innermost open element of these, and what is inside it, unless one of the stops is inside it."""
+        i = innermost(tags)
+        if not i or innermost(stops) > i:
+            return False
+        while len(stack) > i:
+            places[stack.pop().tag].pop()
+        return True
 
     while at < size:
         found = TOKEN.search(html, at)
@@ -108,7 +123,7 @@ def parse(html: str) -> Node:
         if found[3]:
             for a in ATTRIBUTE.finditer(found[3]):
                 attributes.setdefault(a[1].lower(), unescape(next((v for v in a.groups()[1:] if v is not None), "")))
-        if tag not in HEAD_PARTS and any(n.tag == "head" for n in stack):
+        if tag not in HEAD_PARTS and places["head"]:
             close({"head"}, set())
         if tag in ENDS_PARAGRAPH:
             close({"p"}, {"td", "th", "table", "caption", "button", "object"})
@@ -119,7 +134,7 @@ def parse(html: str) -> Node:
                     close({"tr"}, {"table", "thead", "tbody", "tfoot"})
             else:
                 close(ENDS[tag][0], ENDS[tag][1] | ({"td", "th", "table"} if tag != "body" else set()))
-        if tag in ("html", "body") and any(n.tag == tag for n in stack):
+        if tag in ("html", "body") and places[tag]:
             continue
         node = Node(tag, attributes)
         stack[-1].children.append(node)
@@ -132,7 +147,9 @@ def parse(html: str) -> Node:
             if tag in ("textarea", "title"):
                 raw = unescape(raw)
             node.children.append(raw)
-        elif not found[3].rstrip().endswith("/") or tag not in ("svg", "math", "path", "g", "use", "rect", "circle"):
+        elif not (found[3].rstrip().endswith("/") and (tag in ("svg", "math") or places["svg"] or places["math"])):
+            # Only formulas and drawings have elements that end themselves.
+            places[tag].append(len(stack))
             stack.append(node)
     return root
 
@@ -181,7 +198,11 @@ class Flow:
         if self.gap and self.lines and self.lines[-1]:
             self.lines.append("")
         self.gap = False
-        indent = "".join(self.indents)
+        # The innermost ones first: of deep lists only the last levels are told apart anyway.
+        depth, indent = len(self.indents), ""
+        while depth and len(indent) < MOST_INDENT:
+            depth -= 1
+            indent += self.indents[depth]
         if self.mark:
             indent = indent[: len(indent) - len(self.mark)] + self.mark
             self.mark = ""
@@ -205,7 +226,7 @@ class Table:
         self.rows[-1].append((lines, span))
 
     def text(self) -> list[str]:
-        """Rows with cells under each other; the last cell of a row is not padded."""
+        """Rows with cells under each other. A line of a cell begins where its column does, or two blanks behind a longer one before it."""
         widths: dict[int, int] = {}
         for row in self.rows:
             at = 0
@@ -213,17 +234,25 @@ class Table:
                 if span == 1:
                     widths[at] = max([widths.get(at, 0), *(len(x) for x in lines if len(x) <= MOST_WIDTH)])
                 at += span
+        columns = sorted(widths)
+        upto = [0, *accumulate(widths[c] for c in columns)]
         out = []
         for row in self.rows:
-            for k in range(max((len(lines) for lines, _ in row), default=0)):
-                text, at = "", 0
-                for i, (lines, span) in enumerate(row):
-                    text += lines[k] if k < len(lines) else ""
-                    at += span
-                    if i + 1 < len(row) and any(k < len(x) for x, _ in row[i + 1 :]):
-                        edge = sum(widths.get(c, 0) + 2 for c in range(at))
-                        text = text.ljust(edge) if len(text) + 2 <= edge else text + "  "
-                out.append(text.rstrip(" "))
+            height = max((len(lines) for lines, _ in row), default=0)
+            parts: list[list[str]] = [[] for _ in range(height)]
+            ends = [0] * height
+            at = 0
+            for i, (lines, span) in enumerate(row):
+                edge = min(upto[bisect_left(columns, at)] + 2 * at, MOST_EDGE)
+                for k, line in enumerate(lines):
+                    if i:
+                        gap = max(edge - ends[k], 2) if ends[k] else edge
+                        parts[k].append(" " * gap)
+                        ends[k] += gap
+                    parts[k].append(line)
+                    ends[k] += len(line)
+                at += span
+            out += ["".join(p).rstrip(" ") for p in parts]
         return out
 
 
@@ -275,12 +304,16 @@ def render(root: Node) -> str:
             elif tag in ("dd", "blockquote"):
                 flow.indents.append("  ")
             elif tag == "table":
-                tables.append(Table())
+                tables.append(Table() if len(tables) < MOST_TABLES else None)
                 lists.append(["table", 0])
+            elif tag in ("tr", "td", "th") and tables and not tables[-1]:
+                flow.line()
             elif tag == "tr" and tables:
                 tables[-1].rows.append([])
             elif tag in ("td", "th") and tables:
                 flows.append(Flow())
+            elif tag == "text":
+                flow.put(" ", False)
             work.append((node, False))
             children = node.children
             if tag == "details" and "open" not in node.attributes:
@@ -289,16 +322,16 @@ def render(root: Node) -> str:
                 children = [c for c in children if isinstance(c, Node) or c.strip()]
             work.extend((c, True) for c in reversed(children))
             continue
-        if tag in ("td", "th") and tables:
+        if tag in ("td", "th") and tables and tables[-1]:
             span = node.attributes.get("colspan", "")
             done = flows.pop().text()
             tables[-1].cell(done, min(max(int(span), 1), MOST_SPAN) if re.fullmatch(r"\d{1,9}", span) else 1)
             continue
         if tag == "table":
             lists.pop()
-            done = tables.pop().text()
+            done = tables.pop()
             flow.line()
-            for x in done:
+            for x in done.text() if done else []:
                 flow.add(x)
             flow.gap = True
             continue

@@ -42,19 +42,37 @@ SELECT lowest.d AS doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, lowes
 """
 
 
+def _license_runs() -> str:
+    """Rows (id, label, exact, runs, place, g, vote, decides, needed) as the operator has them, with the words of each run."""
+    k = licenses.RUN_WORDS
+
+    def runs(text: str) -> list[str]:
+        w = text.split()
+        return [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)]
+
+    rows = []
+    given = [(label, text, True) for label, text in licenses.PHRASES] + [(label, text, False) for label, text in licenses.TEMPLATES + licenses.MORE_TEMPLATES]
+    for number, (label, text, exact) in enumerate(given):
+        own = runs(text)
+        lists = [] if exact else [[g for wording in wordings for g in runs(wording)] for wordings in licenses.DECIDING.get(label, [])]
+        bits = {g: sum(1 << b for b, deciding in enumerate(lists) if g in deciding) for g in own}
+        head = f"{number}, '{label}', {exact}, {len(own)}"
+        rows += [f"({head}, {p}, '{g}', 1, {bits[g]}, {(1 << len(lists)) - 1})" for p, g in enumerate(own)]
+        # Deciding runs of another wording stand where the template has its own, without a vote.
+        for b, deciding in enumerate(lists):
+            place = min(p for p, g in enumerate(own) if g in deciding)
+            rows += [f"({head}, {place}, '{g}', 0, {1 << b}, {(1 << len(lists)) - 1})" for g in dict.fromkeys(deciding) if g not in bits]
+    return ", ".join(rows)
+
+
 def _license_sql() -> str:
-    rows = [(label, text, "true") for label, text in licenses.PHRASES] + [(label, text, "false") for label, text in licenses.TEMPLATES]
-    templates = ", ".join(f"({i}, '{label}', {exact}, '{text}')" for i, (label, text, exact) in enumerate(rows))
     k = licenses.RUN_WORDS
 
     def labels(of: str) -> str:
         return f"coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE {of})), ','), '')"
 
     return f"""
-WITH t(id, label, exact, text) AS (VALUES {templates}),
-tw AS (SELECT id, label, exact, string_split(text, ' ') AS w FROM t),
-tp AS (SELECT id, label, exact, w, len(w) - {k - 1} AS runs, unnest(range(0, len(w) - {k - 1})) AS place FROM tw),
-tg AS (SELECT id, label, exact, runs, place, array_to_string(list_slice(w, place + 1, place + {k}), ' ') AS g FROM tp),
+WITH tg(id, label, exact, runs, place, g, vote, decides, needed) AS (VALUES {_license_runs()}),
 w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
   FROM documents
@@ -62,20 +80,20 @@ w AS (
 dp AS (SELECT doc_id, w, unnest(range(0, len(w) - {k - 1})) AS p FROM w WHERE len(w) >= {k}),
 dg AS (SELECT doc_id, p, array_to_string(list_slice(w, p + 1, p + {k}), ' ') AS g FROM dp),
 votes AS (
-  SELECT doc_id, id, label, exact, runs, p - place AS diagonal, count(*) AS votes, min(place) AS low, max(place) AS high
-  FROM dg JOIN tg ON dg.g = tg.g GROUP BY doc_id, id, label, exact, runs, p - place
+  SELECT doc_id, id, label, exact, runs, needed, p - place AS diagonal, sum(vote) AS votes, bit_or(decides) AS decides, min(place) AS low, max(place) AS high
+  FROM dg JOIN tg ON dg.g = tg.g GROUP BY doc_id, id, label, exact, runs, needed, p - place
 ),
 begun AS (
   SELECT *, CASE WHEN exact OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, id ORDER BY diagonal) > {licenses.DIAGONAL_GAP}, true) THEN 1 ELSE 0 END AS begins FROM votes
 ),
 numbered AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id, id ORDER BY diagonal) AS span FROM begun),
 spans AS (
-  SELECT doc_id, id, label, exact, runs, span, sum(votes) AS votes, min(diagonal + low) AS first, max(diagonal + high + {k - 1}) AS last
-  FROM numbered GROUP BY doc_id, id, label, exact, runs, span
+  SELECT doc_id, id, label, exact, runs, needed, span, sum(votes) AS votes, bit_or(decides) AS decides, min(diagonal + low) AS first, max(diagonal + high + {k - 1}) AS last
+  FROM numbered GROUP BY doc_id, id, label, exact, runs, needed, span
 ),
 found AS (
   SELECT *, least(votes * 1e0 / runs, 1e0) AS cover FROM spans
-  WHERE CASE WHEN exact THEN votes = runs ELSE least(votes * 1e0 / runs, 1e0) >= {licenses.LEAST_COVER} AND last - first + 1 <= {licenses.MOST_STRETCH}e0 * (runs + {k - 1}) END
+  WHERE CASE WHEN exact THEN votes = runs ELSE decides = needed AND least(votes * 1e0 / runs, 1e0) >= {licenses.LEAST_COVER} AND last - first + 1 <= {licenses.MOST_STRETCH}e0 * (runs + {k - 1}) END
 ),
 by_doc AS (
   SELECT doc_id, count(*) FILTER (WHERE exact) AS n_base, min(first) FILTER (WHERE exact) AS first_word, max(first) FILTER (WHERE exact) AS last_word,

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from firnline.llm import html
@@ -38,6 +40,37 @@ def test_deep_and_long_pages():
     assert text("<td>a</td>").strip() == "a" and text("<" * 5000).startswith("<")
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<p>x = <math><mi>a</mi><mo>+</mo><mi>b</mi><annotation>tex</annotation></math></p>", "x = a+b"),
+    ("<svg><title>no</title><defs/><path d='M0'/><text>Label</text><text>two</text></svg><object>fallback</object>", "Label twofallback"),
+    ("a<svg><defs><text>no</text></defs></svg>b", "ab"), ("<object data=x><p>shown</p></object>", "shown"),
+])
+def test_formulas_drawings_and_objects_are_text(page, want):
+    assert text(page) == want
+
+
+HOSTILE = {
+    "open tags": "<a ", "nested blocks": "<div>x ", "stops": "<p><button>" + "<span>" * 400 + "<div>y ", "quotes": "<a \"b' ", "lists": "<ul><li>x", "tables": "<table><tr><td>x",
+    "cells": "<td>c", "closing": "</div></p>", "comments": "<!-", "spans": "<td colspan=1000>c", "self": "<svg><g/>", "entities": "&amp",
+}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_hostile_pages_of_a_megabyte_take_seconds(kind):
+    unit = HOSTILE[kind]
+    began = time.process_time()
+    got = text(unit * (1_000_000 // len(unit)))
+    assert time.process_time() - began < 15
+    if kind in ("nested blocks", "lists", "tables"):
+        assert got.count("x") == 1_000_000 // len(unit)
+
+
+def test_one_tall_cell_beside_many():
+    began = time.process_time()
+    got = text("<table><tr>" + "<td>c" * 100_000 + "<td>" + "t<br>" * 100_000)
+    assert time.process_time() - began < 15 and got.count("c") == got.count("t") == 100_000
+
+
 def test_rows(spark):
     rows = [(1, "u", "<p>a", "t"), (1, "u", "<p>b", "t"), (2, "u", None, "t"), (3, "u", "", "t"), (None, "u", "<td", "t")]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()

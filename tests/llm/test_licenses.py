@@ -2,8 +2,10 @@ import random
 import re
 
 import cases
+import duckdb
+from harness import compare
 
-from firnline.llm import licenses
+from firnline.llm import licenses, queries
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -69,3 +71,27 @@ def test_licenses_of_like_words_are_told_apart(spark):
     ]
     labels = {r.doc_id: r.labels for r in scan(spark, rows)}
     assert [labels[i] for i in range(1, 8)] == ["gpl-2", "gpl-2", "cc-by-sa", "", "", "cc-by", "apache-2"]
+
+
+NOTICES = [
+    "This work is licensed under the GNU General Public License, version 2.", "This work is licensed under the GNU General Public License, version 3.",
+    "Licensed under the Apache License, Version 1.1", "Licensed under the Apache License, Version 2.0 (the License)",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    "This work is licensed under the GNU Lesser General Public License, version 3.", "This work is licensed under the GNU Affero General Public License, version 3.",
+    "This work is licensed under a Creative Commons Attribution 3.0 International License", "under the MIT license, CC BY-NC, CC BY NC",
+]
+
+
+def test_sql_has_the_rules_of_the_operator(spark, tmp_path):
+    rng = random.Random(9)
+    texts = [f"{'word ' * rng.randint(0, 5)}{n} {'tail ' * rng.randint(0, 4)}" for n in NOTICES for _ in range(3)] + [" ".join(rng.sample(NOTICES, 3)) for _ in range(40)]
+    texts += [t for _, t in licenses.TEMPLATES] + [" ".join(w for w in t.split() if rng.random() > 0.08) for _, t in licenses.TEMPLATES for _ in range(5)] + ["", None]
+    path = str(tmp_path)
+    cases.table(spark, list(enumerate(texts))).select("doc_id", "text").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    r = compare(spark, con, "op10", queries.queries()["op10_license_scan"], queries.oracle_sql()["op10_license_scan"], path)
+    assert r["ok"], r["why"]
+    got = queries.queries()["op10_license_scan"](spark, path)
+    assert {x for r in got.collect() for x in r["labels"].split(",")} >= {"gpl-2", "gpl-3", "apache-2", "cc-by-sa", "cc-by-nc", "cc-by", "mit", "bsd", "isc"}
