@@ -1,7 +1,7 @@
 """Document fingerprints by a homomorphic multiset hash.
 
-A text is a multiset of paragraphs (its lines). Each paragraph is hashed into a wide vector: WIDE strong lanes of the whole paragraph
-modulo 2**32, and SKETCH lanes modulo 2**16 in which each of its word pairs adds or takes one at a place given by its hash. The
+A text is a multiset of paragraphs (its lines). Each paragraph is hashed into a wide vector: WIDE strong lanes, cut from the SHA-256 of the whole
+paragraph, and SKETCH lanes, all modulo 2**32, in the latter of which each of its word pairs adds or takes one at a place given by its hash. The
 fingerprint is the sum of the paragraphs' vectors, so it does not depend on their order, and a paragraph is put in or taken out by
 adding or subtracting its vector (`combine`). Equal texts have equal fingerprints; different multisets of paragraphs have different strong
 lanes but for a chance of about 2**-256. The likeness of two fingerprints is the cosine of their sketch lanes, which estimates that of the
@@ -34,36 +34,36 @@ def lanes(texts: DataFrame, keys: list[str]) -> DataFrame:
     """keys and the lanes (w0.., s0..) of the column text, summed over the paragraphs and word pairs of all rows with equal keys."""
     paragraphs = texts.select(*keys, F.explode(F.split("text", "\n")).alias("paragraph"))
     word = F.split("paragraph", " ")
-    pairs = paragraphs.select(*keys, "paragraph", word.alias("word")).select(
-        *keys, "paragraph", F.posexplode(F.arrays_zip(F.col("word").alias("a"), F.slice("word", F.lit(2), F.size("word")).alias("b"))).alias("at", "pair")
+    pairs = paragraphs.select(*keys, F.sha2(F.col("paragraph").cast("binary"), 256).alias("digest"), word.alias("word")).select(
+        *keys, "digest", F.posexplode(F.arrays_zip(F.col("word").alias("a"), F.slice("word", F.lit(2), F.size("word")).alias("b"))).alias("at", "pair")
     )
     h = F.xxhash64("pair.a", "pair.b")
     rows = pairs.select(
-        *keys, "paragraph", "at", h.bitwiseAND(SKETCH - 1).cast("int").alias("lane"), (F.shiftright(h, 6).bitwiseAND(1) * 2 - 1).alias("sign")
+        *keys, "digest", "at", h.bitwiseAND(SKETCH - 1).cast("int").alias("lane"), (F.shiftright(h, 6).bitwiseAND(1) * 2 - 1).alias("sign")
     )
-    wide = [F.sum(F.when(F.col("at") == 0, F.shiftrightunsigned(F.xxhash64("paragraph", F.lit(i)), 32)).otherwise(F.lit(0))).alias(f"w{i}") for i in range(WIDE)]
+    wide = [F.sum(F.when(F.col("at") == 0, F.conv(F.substring("digest", 8 * i + 1, 8), 16, 10).cast("long")).otherwise(F.lit(0))).alias(f"w{i}") for i in range(WIDE)]
     sketch = [F.sum(F.when(F.col("lane") == i, F.col("sign")).otherwise(F.lit(0))).alias(f"s{i}") for i in range(SKETCH)]
     return rows.groupBy(*keys).agg(*wide, *sketch)
 
 
 def packed() -> Column:
-    """The lanes as one array: strong lanes modulo 2**32, sketch lanes as signed numbers modulo 2**16."""
+    """The lanes as one array modulo 2**32, sketch lanes as signed numbers."""
     wide = [F.pmod(f"w{i}", F.lit(1 << 32)) for i in range(WIDE)]
-    sketch = [F.pmod(F.col(f"s{i}") + (1 << 15), F.lit(1 << 16)) - (1 << 15) for i in range(SKETCH)]
+    sketch = [F.pmod(F.col(f"s{i}") + (1 << 31), F.lit(1 << 32)) - (1 << 31) for i in range(SKETCH)]
     return F.array(*wide, *sketch)
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """Fingerprint arrays of the multisets put together, or of a without b for sign -1."""
     parts = [F.pmod(F.get(a, F.lit(i)) + sign * F.get(b, F.lit(i)), F.lit(1 << 32)) for i in range(WIDE)]
-    parts += [F.pmod(F.get(a, F.lit(i)) + sign * F.get(b, F.lit(i)) + (1 << 15), F.lit(1 << 16)) - (1 << 15) for i in range(WIDE, WIDE + SKETCH)]
+    parts += [F.pmod(F.get(a, F.lit(i)) + sign * F.get(b, F.lit(i)) + (1 << 31), F.lit(1 << 32)) - (1 << 31) for i in range(WIDE, WIDE + SKETCH)]
     return F.array(*parts)
 
 
 def written(lanes_array: Column) -> Column:
     """Fingerprint as lowercase hexadecimal digits."""
     wide = [F.lpad(F.hex(F.get(lanes_array, F.lit(i))), 8, "0") for i in range(WIDE)]
-    sketch = [F.lpad(F.hex(F.pmod(F.get(lanes_array, F.lit(i)), F.lit(1 << 16))), 4, "0") for i in range(WIDE, WIDE + SKETCH)]
+    sketch = [F.lpad(F.hex(F.pmod(F.get(lanes_array, F.lit(i)), F.lit(1 << 32))), 8, "0") for i in range(WIDE, WIDE + SKETCH)]
     return F.lower(F.concat(*wide, *sketch))
 
 
@@ -71,7 +71,7 @@ def likeness(a: Column, b: Column) -> Column:
     """0 to 1; 1 for equal fingerprints."""
 
     def dot(x: Column, y: Column) -> Column:
-        return reduce(add, (F.get(x, F.lit(i)) * F.get(y, F.lit(i)) for i in range(WIDE, WIDE + SKETCH))).cast("double")
+        return reduce(add, (F.get(x, F.lit(i)).cast("double") * F.get(y, F.lit(i)) for i in range(WIDE, WIDE + SKETCH)))
 
     norm = F.sqrt(dot(a, a) * dot(b, b))
     return F.when(a == b, F.lit(1.0)).when(norm == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(a, b) / norm)))

@@ -2,8 +2,8 @@
 
 Documents become token ids and an end id; longer ones are cut into pieces of a full sequence, the rest is their last piece. The packing
 problem depends only on how many pieces there are of each length, at most `capacity` numbers, so the plan is made on these
-counts: as long as a set of up to three pieces provably dominates every other set with the largest piece (Martello and Toth), it is
-fixed as a sequence, as often as its lengths allow; the pieces left are packed by best fit in order of decreasing length, equal sequences
+counts: where a set of up to three pieces provably dominates every other set with one of them (Martello and Toth), it is
+fixed as a sequence, as often as its lengths allow, from the largest length to the smallest and over again until no such set is left; the pieces left are packed by best fit in order of decreasing length, equal sequences
 together. The plan has rows (length, from rank, to rank, first sequence, offset). Pieces get their rank among those of their
 length (counted by length and bucket, buckets numbered by hash) and find their row by it.
 
@@ -145,9 +145,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     return given.mapInArrow(run, "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
 
 
-def _dominating(counts: dict[int, int], lengths: list[int], capacity: int) -> tuple[int, ...] | None:
-    """The largest length with up to two more whose set dominates every set with that length, or None. lengths ascend."""
-    large = lengths[-1]
+def _dominating(counts: dict[int, int], lengths: list[int], capacity: int, large: int) -> tuple[int, ...] | None:
+    """A length with up to two more whose set dominates every set with that length, or None. lengths ascend."""
     left = dict(counts)
     left[large] -= 1
     space = capacity - large
@@ -187,26 +186,34 @@ def _dominating(counts: dict[int, int], lengths: list[int], capacity: int) -> tu
 
 
 def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
-    """Sets that dominate all others with their largest piece, and how often they are fixed; then the counts that are left."""
+    """Sets that dominate all others with one of their pieces, and how often they are fixed; then the counts that are left.
+
+    All lengths are gone through from the largest on, again and again until none has a dominating set: what is fixed makes room for more.
+    """
     counts = {k: n for k, n in counts.items() if n}
-    lengths = sorted(counts)
-    fixed = []
-    while lengths:
-        found = _dominating(counts, lengths, capacity)
-        if found is None:
-            break
-        need = Counter(found)
-        # The set dominates again as long as its pieces are there: taking pieces away only removes sets.
-        times = min(counts[k] // n for k, n in need.items())
-        fixed.append((found, times))
-        for k, n in need.items():
-            counts[k] -= n * times
-            if not counts[k]:
-                del counts[k]
-                lengths.remove(k)
+    fixed, found_any = [], True
+    while found_any:
+        found_any = False
+        for large in sorted(counts, reverse=True):
+            while large in counts and (found := _dominating(counts, sorted(counts), capacity, large)):
+                need = Counter(found)
+                # The set dominates again as long as its pieces are there: taking pieces away only removes sets.
+                times = min(counts[k] // n for k, n in need.items())
+                fixed.append((found, times))
+                found_any = True
+                for k, n in need.items():
+                    counts[k] -= n * times
+                    if not counts[k]:
+                        del counts[k]
     return fixed, counts
 
 
+def fixed_pieces(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[int, int]:
+    """How many pieces the reduction fixes, and how many there are."""
+    fixed, _ = reduce_instance(counts, capacity)
+    return sum(len(found) * times for found, times in fixed), sum(counts.values())
+
+
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
     """Best fit by decreasing length over counts: equal sequences as one ([(length, pieces)], number of sequences)."""
     groups: dict[int, list[tuple[list[tuple[int, int]], int]]] = {}

@@ -62,6 +62,18 @@ def test_fixed_sets_are_part_of_a_best_packing():
     assert behind <= 4
 
 
+def test_reduction_goes_on_below_a_length_without_a_dominating_set():
+    large = {2040: 1, 1500: 1, 1000: 1, 900: 1}
+    assert packing.fixed_pieces(large) == (4, 4)
+    # Beside 2040 the short ones can stand in too many ways; that is no reason to leave 1500, which 548 fills up.
+    skewed = large | {548: 1, 1: 3, 5: 2}
+    fixed, left = packing.reduce_instance(skewed, 2048)
+    assert ((1500, 548), 1) in fixed and left == {2040: 1, 1000: 1, 900: 1, 1: 3, 5: 2}
+    many = {1024: 10**9, 1023: 10**9, 700: 5, 690: 5, 650: 5, 3: 1000, 2: 1000, 1: 1000}
+    fixed, left = packing.reduce_instance(many, 2048)
+    assert sum(t for s, t in fixed if 1024 in s) >= 5 * 10**8
+
+
 def test_counts_of_any_size_give_short_plans():
     counts = {k: (k * 7919) % 1000 * 10**6 + 1 for k in range(1, 2049)}
     rows = packing.plan(counts)
