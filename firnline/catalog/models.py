@@ -78,18 +78,18 @@ def i04(c):
 
 @query("i05_blocked_cv")
 def i05(c):
-    _, metrics = ft.cross_validate(split_rows(c), LINEAR, folds=fold_ids(c), censor_below=10.0, min_thickness_m=100.0)
-    return metrics
+    """One row per fold, and the pooled row with fold NULL."""
+    _, metrics = ft.cross_validate(split_rows(c), LINEAR, folds=fold_ids(c), censor_below=10.0, detection=DETECT, min_thickness_m=100.0)
+    metrics = cut_lineage(metrics)
+    pooled = ft.pooled_cv(metrics).select(F.lit(None).cast("int").alias("fold"), *[F.col(f"{m}_mean").alias(m) for m in ft.POOLED], "n_points", "n_censored", "n_total", "n_nd_val")
+    return metrics.select(*pooled.columns).unionByName(pooled)
 
 
 @query("i06_final_fit_and_test")
 def i06(c):
     rows = train_rows(c).where(~F.col("is_nondetect"))
     f = ft.fit_all(rows, LINEAR, [ft.Fit(ft.FINAL, censor_below=10.0)])[0]
-    test = split_rows(c).where(F.col("is_test") & qc.usable(TARGET, FEATURES, 100.0, THICKNESS))
-    p = ft.predictions(test, LINEAR, f, [TARGET, "obs_margin_dB"])
-    low = qc.censored(F.col("obs_margin_dB"), 10.0)
-    return p.agg(*[v.alias(k) for k, v in stats.score(F.when(~low, F.col(TARGET)), F.col("pred_mean"), F.col("pred_std")).items()], F.count_if(low).alias("n_censored"))
+    return ft.held_out_metrics(split_rows(c).where(F.col("is_test") & qc.usable(TARGET, FEATURES, 100.0, THICKNESS)), LINEAR, f)
 
 
 FIXED = Design("linear", features=(THICKNESS, "era5_t2m_mean_K"), indicators=())

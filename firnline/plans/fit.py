@@ -410,18 +410,62 @@ def log_scores(rows: DataFrame, design: Design, fits: Sequence[Fit], *, held_out
     return scored.groupBy("fit_id", "is_nondetect").agg(F.avg("s").alias("logscore"), F.count(F.lit(1)).alias("n"))
 
 
-def cross_validate(split: DataFrame, design: Design, *, folds: Sequence[int], censor_below: float | None = None,
-                   detection: Detection | None = None, min_thickness_m: float | None = None) -> tuple[list[Fit], DataFrame]:
-    """Blocked CV and final fit in one series of jobs; metrics per left-out fold (uncensored rows)."""
+#: Metrics of a fold that are pooled, and the counts that weigh them: the log score is over censored rows too.
+POOLED = {"rmse_dB": "n_points", "mae_dB": "n_points", "coverage_1sigma": "n_points", "logscore_dB": "n_total", "nd_logscore": "n_nd_val"}
+
+
+def with_log_scores(metrics: DataFrame, scores: DataFrame, fits: Sequence[Fit]) -> DataFrame:
+    """metrics per fold with the mean log score of its observed rows and of its non-detections, and their numbers."""
+    of_fold = F.create_map(*[F.lit(v) for f in fits if f.held_out is not None for v in (f.fit_id, f.held_out)])
+    one = lambda nd, c: F.max(F.when(F.col("is_nondetect") == nd, F.col(c)))
+    per_fold = scores.withColumn("fold", F.try_element_at(of_fold, F.col("fit_id"))).groupBy("fold").agg(
+        one(False, "logscore").alias("logscore_dB"), one(True, "logscore").alias("nd_logscore"), one(True, "n").alias("n_nd_val"))
+    joined = metrics.join(per_fold, "fold", "left")
+    return joined.withColumns({"n_nd_val": F.coalesce("n_nd_val", F.lit(0)), "n_total": F.col("n_points") + F.col("n_censored")})
+
+
+def pooled_cv(metrics: DataFrame) -> DataFrame:
+    """One row over all folds: mean (weighted by the rows behind it), least and greatest of each metric, and the summed counts.
+
+    A fold without a value, such as one without non-detections, has no weight in that metric.
+    """
+    aggs = []
+    for value, weight in POOLED.items():
+        w = F.when(F.col(value).isNotNull(), F.col(weight))
+        aggs += [F.try_divide(F.sum(F.col(value) * w), F.sum(w)).alias(f"{value}_mean"), F.min(value).alias(f"{value}_min"), F.max(value).alias(f"{value}_max")]
+    return metrics.agg(F.count(F.lit(1)).alias("n_folds"), *aggs, *[F.sum(n).alias(n) for n in ("n_points", "n_censored", "n_total", "n_nd_val")])
+
+
+def cross_validate(split: DataFrame, design: Design, *, folds: Sequence[int], censor_below: float | None = None, detection: Detection | None = None,
+                   min_thickness_m: float | None = None, draws: int = 1000, seed: int = 0) -> tuple[list[Fit], DataFrame]:
+    """Blocked CV and final fit in one series of jobs, and the metrics of each left-out fold.
+
+    RMSE, MAE and coverage are over uncensored rows, the log score over all observed ones (of a censored row the mass above its
+    value counts), the non-detection score over the fold's non-detections where a detection layer is fitted.
+    """
     rows = training_rows(split, design, min_thickness_m=min_thickness_m)
     fits = fit_all(rows, design, cv_fits(folds, censor_below), detection)
+    return fits, with_log_scores(_fold_metrics(rows, design, fits, censor_below), log_scores(rows, design, [f for f in fits if f.held_out is not None], draws=draws, seed=seed), fits)
+
+
+def _fold_metrics(rows: DataFrame, design: Design, fits: Sequence[Fit], censor_below: float | None) -> DataFrame:
     obs = rows.where(~F.col("is_nondetect"))
     pred = held_out_predictions(obs, design, fits, ["fold", design.target, "obs_margin_dB"])
     low = F.coalesce(F.col("obs_margin_dB") < censor_below, F.lit(False)) if censor_below is not None else F.lit(False)
-    metrics = pred.groupBy("fold").agg(
+    return pred.groupBy("fold").agg(
         *[v.alias(k) for k, v in stats.score(F.when(~low, F.col(design.target)), F.col("pred_mean"), F.col("pred_std")).items()],
         F.count_if(low).alias("n_censored"))
-    return fits, metrics
+
+
+def held_out_metrics(rows: DataFrame, design: Design, fit: Fit, *, draws: int = 1000, seed: int = 0) -> DataFrame:
+    """One row of metrics of a fit on rows it has not seen, with the log score over censored and other rows."""
+    low = F.coalesce(F.col("obs_margin_dB") < fit.censor_below, F.lit(False)) if fit.censor_below is not None else F.lit(False)
+    p = predictions(rows, design, fit, [design.target, "obs_margin_dB"])
+    one = p.agg(*[v.alias(k) for k, v in stats.score(F.when(~low, F.col(design.target)), F.col("pred_mean"), F.col("pred_std")).items()], F.count_if(low).alias("n_censored"))
+    given = rows.withColumn("is_nondetect", F.lit(False))
+    score = log_scores(given, design, [fit], held_out=False, draws=draws, seed=seed).agg(F.max("logscore").alias("logscore_dB"))
+    # Two one-row tables side by side.
+    return one.withColumn("n_total", F.col("n_points") + F.col("n_censored")).crossJoin(score)
 
 
 def fit_table(spark, design: Design, fits: Sequence[Fit], detection: bool = False) -> DataFrame:
