@@ -218,14 +218,25 @@ def a13(c):
 
 
 @query("a14_read_manifest", """
-SELECT o_orderkey AS doc_id, substr(sha256(concat(CAST(o_orderkey AS VARCHAR), o_orderpriority)), 1, 12) AS run_id, o_orderstatus AS stage FROM {orders}
+WITH d AS (SELECT s_suppkey AS doc_id, CASE WHEN s_suppkey % 11 = 5 THEN 'absent' WHEN s_suppkey % 9 = 4 THEN 'corrupt' WHEN s_suppkey % 7 = 3 THEN 'unasked' ELSE 'ok' END AS state, s_name FROM {supplier})
+SELECT doc_id, state, CASE WHEN state IN ('ok', 'unasked') THEN substr(sha256(concat(CAST(doc_id AS VARCHAR), s_name)), 1, 12) END AS run_id,
+  CASE WHEN state IN ('ok', 'unasked') THEN CASE WHEN doc_id % 2 = 0 THEN 'grid' ELSE 'augment' END END AS stage, CASE WHEN state IN ('ok', 'unasked') THEN CAST(doc_id % 4 AS INTEGER) END AS n_inputs
+FROM d
 """)
 def a14(c):
-    docs = c("orders").select("o_orderkey", F.to_json(F.struct(
-        F.substring(F.sha2(F.concat(F.col("o_orderkey").cast("string"), "o_orderpriority"), 256), 1, 12).alias("run_id"),
-        F.col("o_orderstatus").alias("stage"))).alias("manifest"))
-    m = F.from_json("manifest", "run_id string, stage string")
-    return docs.select(F.col("o_orderkey").alias("doc_id"), m.alias("m")).select("doc_id", "m.run_id", "m.stage")
+    """Manifests in files of their own, some cut off or missing, and one that nobody asked for in seven."""
+    key = F.col("s_suppkey")
+    inputs = F.transform(F.slice(F.array(*[F.lit(f"snap-{i}") for i in range(4)]), F.lit(1), (key % 4).cast("int")), lambda v: F.concat(v, key.cast("string")))
+    document = F.to_json(F.struct(
+        F.substring(F.sha2(F.concat(key.cast("string"), "s_name"), 256), 1, 12).alias("run_id"),
+        F.when(key % 2 == 0, "grid").otherwise("augment").alias("stage"), inputs.alias("inputs")), {"pretty": "true"})
+    text = F.when(key % 9 == 4, F.expr("left(d, length(d) - 5)")).otherwise(F.col("d"))
+    docs = c("supplier").where(key % 11 != 5).withColumn("d", document).select(key.alias("doc_id"), text.alias("value"))
+    path = stages.write_documents(docs, new_path(c.spark, "manifests"))
+    broken = (key % 11 == 5) | (key % 9 == 4)
+    wanted = c("supplier").where(broken | (key % 7 != 3)).select(key.alias("doc_id"))
+    found = stages.read_documents(c.spark, path, "run_id string, stage string, inputs array<string>", wanted)
+    return found.select("doc_id", "state", "run_id", "stage", F.when(F.col("inputs").isNotNull(), F.size("inputs")).alias("n_inputs"))
 
 
 @query("a15_csv_round_trip", """
@@ -293,7 +304,7 @@ FROM {metrics_fx} ORDER BY cv_rmse_dB
 def a20(c):
     m = c("metrics_fx")
     st = lambda **k: F.struct(*[F.col(v).alias(n) for n, v in k.items()])
-    docs = m.select(F.to_json(F.struct(
+    docs = m.select("model", F.to_json(F.struct(
         "model", "run_id",
         F.struct(st(mean="rmse_mean", min="rmse_min", max="rmse_max").alias("rmse_dB"), st(mean="mae_mean").alias("mae_dB"),
                  st(mean="coverage_mean").alias("coverage_1sigma"),
@@ -301,8 +312,10 @@ def a20(c):
                  F.col("n_points").alias("n_points")).alias("pooled_cv"),
         F.struct(F.col("censored").alias("enabled")).alias("censoring"),
         F.when(F.col("test_rmse").isNotNull(), st(rmse_dB="test_rmse")).alias("test"))).alias("doc"))
-    parsed = docs.select(F.from_json("doc", stages.METRICS_SCHEMA).alias("d")).select("d.*")
-    return stages.benchmark_rows(parsed)
+    # One file of documents per model and task, read back by path.
+    path = new_path(c.spark, "metrics")
+    docs.select("model", F.col("doc").alias("value")).write.partitionBy("model").text(path)
+    return stages.benchmark_rows(c.spark.read.schema(stages.METRICS_SCHEMA).option("pathGlobFilter", "*.txt").json(f"{path}/*"))
 
 
 @query("a21_source_labels", """

@@ -33,6 +33,32 @@ def read_manifest(spark: SparkSession, path: str, schema: T.StructType | str | N
     return reader.json(f"{path}.manifest")
 
 
+def write_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "value") -> str:
+    """One file per row, in a folder named by its key, so that a file that cannot be read still says whose it is."""
+    docs.select(key, F.col(text).alias("value")).repartition(key).sortWithinPartitions(key).write.mode("overwrite").partitionBy(key).text(path)
+    return path
+
+
+def read_documents(spark: SparkSession, path: str, schema: str, wanted: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """(key, path, state, columns of ``schema``) of every JSON document below ``path``, each a file of any number of lines.
+
+    ``state`` is ``ok``; ``corrupt`` for a file that is no JSON document or has a value of another kind; and, where the keys that
+    should be there are given, ``absent`` for those without a file and ``unasked`` for files without such a key.
+    """
+    found = spark.read.schema(f"{schema}, _corrupt string, {key} long").option("multiLine", True).option("mode", "PERMISSIVE").option(
+        "columnNameOfCorruptRecord", "_corrupt").json(path)
+    fields = [f.name for f in T.StructType.fromDDL(schema).fields]
+    rows = found.select(key, F.col("_metadata.file_path").alias("path"), F.when(F.col("_corrupt").isNotNull(), "corrupt").otherwise("ok").alias("state"), *fields)
+    # Of a broken document no value counts, not even those before the break.
+    rows = rows.select(key, "path", "state", *[F.when(F.col("state") == "ok", F.col(n)).alias(n) for n in fields])
+    if wanted is None:
+        return rows
+    asked = wanted.select(key).distinct().withColumn("_asked", F.lit(True))
+    joined = asked.join(rows, key, "full")
+    state = F.when(F.col("path").isNull(), "absent").when(F.col("_asked").isNull(), "unasked").otherwise(F.col("state"))
+    return joined.withColumn("state", state).drop("_asked")
+
+
 def read_run_id(spark: SparkSession, path: str) -> str:
     return read_manifest(spark, path, "run_id string").first()["run_id"]
 
