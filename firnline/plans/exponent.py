@@ -21,7 +21,6 @@ from firnline.functions import labels
 from firnline.functions.normal import add_db, hash_normal, soft_min
 from firnline.functions.radio import pair_exponent
 from firnline.operators.levels import site_levels
-from firnline.operators.ordering import quantiles_of
 from firnline.session import cut_lineage
 
 NU = 4.0
@@ -282,7 +281,8 @@ def pass_pairs(t: DataFrame, clip_levels: DataFrame, min_gap: float = 200.0) ->
         "segment", labels.segment(F.col("frame_id")))
     j = seg.join(clip_levels.select("season", "segment", "S_dB").where("S_dB is not null"), ["season", "segment"])
     keys = ["site_id", "sheet", "season", "frame_id"]
-    passes = quantiles_of(j, keys, {"P": ("surface_power_dB", 0.5), "R": ("r_surf", 0.5)}, extra={"S": F.min("S_dB")})
+    median = lambda c: F.percentile(F.col(c).cast("double"), 0.5)
+    passes = j.groupBy(*keys).agg(median("surface_power_dB").alias("P"), median("r_surf").alias("R"), F.min("S_dB").alias("S"))
     a, b = passes.alias("a"), passes.alias("b")
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys[:3]]
     pairs = a.join(b, [*on, F.col("b.R") - F.col("a.R") >= min_gap])
