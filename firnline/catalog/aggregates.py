@@ -493,12 +493,8 @@ SELECT scenario_id, ice_sheet, part, count(*) AS n, round(100 * avg(CASE WHEN ro
   round(count(*) * 25e0 / 1e6, 9) AS area_Mkm2 FROM p GROUP BY scenario_id, ice_sheet, part
 """)
 def d37(c):
-    s = cell_snr(c)
-    keys = ["scenario_id", "ice_sheet"]
-    a = lb.coverage(s.withColumn("snr_dB", F.round("snr_dB", 9)), 30.0, keys)
-    b = lb.coverage(s, 30.0, keys, predictive=True).select(*keys, "part", F.col("pct").alias("pct_predictive"))
-    j = a.join(b, [*keys, "part"])
-    return j.select(*keys, "part", "n", F.round("pct", 6).alias("pct"), F.round("pct_predictive", 6).alias("pct_predictive"), F.round("area_Mkm2", 9).alias("area_Mkm2"))
+    return lb.coverage(cell_snr(c), 30.0, ["scenario_id", "ice_sheet"]).select(
+        "scenario_id", "ice_sheet", "part", "n", F.round("pct", 6).alias("pct"), F.round("pct_predictive", 6).alias("pct_predictive"), F.round("area_Mkm2", 9).alias("area_Mkm2"))
 
 
 @query("d38_clamped_histogram", f"""

@@ -404,11 +404,10 @@ def cell_snr(c):
 
 
 @query("c22_scenario_cells", """
-SELECT scenario_id, count(*) AS n_cells, round(sum(thickness_m), 3) AS thickness_sum FROM {cells_fx} CROSS JOIN {designs_fx} GROUP BY scenario_id
+SELECT grid_id, scenario_id, thickness_m, altitude_m FROM {cells_fx} CROSS JOIN {designs_fx}
 """)
 def c22(c):
-    return lb.with_scenarios(c("cells_fx"), c("designs_fx")).groupBy("scenario_id").agg(
-        F.count(F.lit(1)).alias("n_cells"), F.round(F.sum("thickness_m"), 3).alias("thickness_sum"))
+    return lb.with_scenarios(c("cells_fx"), c("designs_fx")).select("grid_id", "scenario_id", "thickness_m", "altitude_m")
 
 
 @query("c23_sidelobe_lookup", f"WITH {SIDE} SELECT grid_id, scenario_id, round(level, 6) AS sidelobe_dB FROM lv")
