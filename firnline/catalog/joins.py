@@ -10,9 +10,9 @@ from firnline.catalog.scans import MEAN_FIELD, XY3031, rounded, sampled, sampled
 from firnline.session import new_path
 from firnline.functions import geo, labels, parse, radio
 from firnline.operators import near, qc, raster
-from firnline.plans import exponent, linkbudget as lb, sites, split
+from firnline.plans import exponent, lineage, linkbudget as lb, sites, split
 from firnline.schema import SHEET_CODE, TARGET
-from firnline.sources import covariates
+from firnline.sources import covariates, stages
 
 
 def layer(c, raster_id, *names):
@@ -165,6 +165,28 @@ def c07(c):
     return rounded(matched(c).select("grid_id", "obs_dist_m", TARGET, "obs_margin_dB", "is_nondetect", "nd_delta_dB", "C_dB", "collection", "institution"))
 
 
+#: Held-out cells of the split stage, one of each sheet.
+HELD_OUT = ["ant:-47:-12", "grl:-45:-12"]
+
+
+@query("c26_split_stage", f"""
+WITH {OBS},
+t AS (SELECT *, cell IN {tuple(HELD_OUT)} AS is_test FROM (SELECT *, concat(CASE WHEN ice_sheet = 'greenland' THEN 'grl' ELSE 'ant' END, ':', CAST(CAST(floor(x / 25000e0) AS BIGINT) AS VARCHAR), ':', CAST(CAST(floor(y / 25000e0) AS BIGINT) AS VARCHAR)) AS cell FROM sp) u),
+n AS (SELECT cell, count(*) AS n_obs FROM t WHERE required_surface_snr_dB IS NOT NULL AND NOT is_test GROUP BY cell),
+o AS (SELECT cell, sum(n_obs) OVER (ORDER BY md5(concat('42:', cell)), cell) - n_obs AS before, sum(n_obs) OVER () AS total FROM n)
+SELECT t.grid_id, t.cell AS cell_id, t.is_test, CAST(CASE WHEN t.is_test THEN -1 ELSE coalesce(floor(before * 5e0 / total), -1) END AS INTEGER) AS fold,
+  round(t.obs_dist_m, 6) AS obs_dist_m, round(t.required_surface_snr_dB, 6) AS required_surface_snr_dB, round(t.obs_margin_dB, 6) AS obs_margin_dB, t.is_nondetect, round(t.C_dB, 6) AS C_dB, t.institution
+FROM t LEFT JOIN o ON t.cell = o.cell
+""")
+def c26(c):
+    """The whole stage: observations, nearest one per point, cells, held-out cells, folds, written with its manifest and read back."""
+    config = {"cutoff_m": 1000.0, "cell_size_m": 25_000.0, "n_folds": 5, "seed": 42}
+    points = split.run_split(c("grid_fx"), c("traces_fx"), test_cells=HELD_OUT, exclude=["2017_Antarctica_Basler"], calibration={}, **config)
+    path = stages.write_stage(points, lineage.manifest("split", config, ["snap-a", "snap-b"], test_cells=HELD_OUT), new_path(c.spark, "split"))
+    return rounded(c.spark.read.parquet(path).select(
+        "grid_id", "cell_id", "is_test", "fold", "obs_dist_m", TARGET, "obs_margin_dB", "is_nondetect", "C_dB", "institution"))
+
+
 STRONG = """
 hm AS (SELECT trace_id, collection, frame_id, x, y, required_surface_snr_dB AS v FROM {traces_fx}
   WHERE required_surface_snr_dB IS NOT NULL AND bed_power_dB - coalesce(post_bed_noise_interp_dB, post_bed_noise_dB) > 15e0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from firnline.catalog.registry import query
 from firnline.functions import radio
 from firnline.operators import raster
-from firnline.plans import lineage
+from firnline.plans import augment, lineage
 from firnline.session import new_path
 from firnline.sources import covariates, stages, traces
 
@@ -329,3 +329,21 @@ FROM {datasets_fx}
 """)
 def a21(c):
     return c("datasets_fx").select("doc_id", stages.source_labels(F.col("name"), F.col("version")).alias("label"))
+
+
+@query("a22_augment_stage", f"""
+WITH {XY3031}, {sampled('bed')}, {sampled('thickness')}, {sampled('vx')}, {sampled('vy')}, {sampled('HF')}
+SELECT t.trace_id, t.collection, t.bed_power_dB, round(b.value, 5) AS bedmachine_bed_m, round(h.value, 5) AS bedmachine_thickness_m, round(sqrt(x.value * x.value + y.value * y.value), 5) AS surface_v_m_yr,
+  round(g.value * 1000, 5) AS ghf_mW_m2, substr(sha256(concat('snap-b', sha256('{{{{"products": ["bedmachine", "measures_vel", "ghf"]}}}}'))), 1, 12) AS run_id
+FROM {{traces_fx}} t LEFT JOIN s_bed b ON t.trace_id = b.trace_id LEFT JOIN s_thickness h ON t.trace_id = h.trace_id
+LEFT JOIN s_vx x ON t.trace_id = x.trace_id LEFT JOIN s_vy y ON t.trace_id = y.trace_id LEFT JOIN s_HF g ON t.trace_id = g.trace_id
+WHERE t.snapshot_id = 'snap-b' AND t.qc_pass AND coalesce(t.surface_elevation - t.bed_elevation >= 100, true)
+""")
+def a22(c):
+    """The whole stage: pinned traces, quality and thickness, all products of the sheet, written with its manifest and read back."""
+    products = ["bedmachine", "measures_vel", "ghf"]
+    out = augment.augment(c("traces_fx"), "snap-b", products, "antarctic", c("raster_meta_fx"), c("raster_cells_fx"), min_thickness_m=100.0)
+    path = new_path(c.spark, "augmented")
+    augment.write_augmented(out, path, {"products": products}, ["snap-b"])
+    return rounded(c.spark.read.parquet(path).select(
+        "trace_id", "collection", "bed_power_dB", "bedmachine_bed_m", "bedmachine_thickness_m", "surface_v_m_yr", "ghf_mW_m2", "run_id"), 5, keep=("bed_power_dB",))
