@@ -162,7 +162,7 @@ FROM (SELECT CAST(floor((max(event_id) + 1) / 100e0) AS BIGINT) AS ny FROM {even
 # Trace places on their own sheet: Greenland ones in the north, and some at the seam of longitudes.
 RELATIONS["places_fx"] = """
 SELECT trace_id, ice_sheet,
-  CASE WHEN trace_id % 50 = 3 THEN 179.9e0 - (trace_id % 3) * 179.95e0 WHEN ice_sheet = 'greenland' THEN -55e0 + ((trace_id * 7919) % 10007) / 500e0 ELSE longitude END AS longitude,
+  CASE WHEN trace_id % 50 = 3 THEN 179.9e0 - (trace_id % 3) * 179.93e0 WHEN ice_sheet = 'greenland' THEN -55e0 + ((trace_id * 7919) % 10007) / 500e0 ELSE longitude END AS longitude,
   CASE WHEN ice_sheet = 'greenland' THEN 66e0 + ((trace_id * 104729) % 10007) / 1000e0 ELSE latitude END AS latitude
 FROM {traces_fx}
 """
