@@ -79,7 +79,7 @@ def i04(c):
 @query("i05_blocked_cv")
 def i05(c):
     """One row per fold, and the pooled row with fold NULL."""
-    _, metrics = ft.cross_validate(split_rows(c), LINEAR, folds=fold_ids(c), censor_below=10.0, detection=DETECT, min_thickness_m=100.0)
+    _, metrics = ft.cross_validate(split_rows(c), LINEAR, folds=fold_ids(c), censor_below=10.0, detection=DETECT, min_thickness_m=100.0, draws=200)
     metrics = cut_lineage(metrics)
     pooled = ft.pooled_cv(metrics).select(F.lit(None).cast("int").alias("fold"), *[F.col(f"{m}_mean").alias(m) for m in ft.POOLED], "n_points", "n_censored", "n_total", "n_nd_val")
     return metrics.select(*pooled.columns).unionByName(pooled)
